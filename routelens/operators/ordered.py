@@ -2,9 +2,9 @@
 
 Running totals, ranks, quantiles and rank-based areas need a global order per key. A plain
 window would pull the whole key into a single task, so values are placed on a fixed grid of
-``FAN`` blocks, each cut into ``FAN`` cells. Windows then only ever run over the distinct
-values of one cell, over the cells of one block, or over the blocks of one key. The grid is a
-pure function of the value, so a retried task reproduces it exactly.
+``CELLS`` cells. One window runs over the distinct values of a cell, another over the at most
+``CELLS`` cell totals of a key. The grid is a pure function of the value, so a retried task
+reproduces it exactly.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-FAN = 1024
+CELLS = 1 << 18
 
 
 def squash(x: Column, scale: float = 100.0) -> Column:
@@ -24,12 +24,10 @@ def squash(x: Column, scale: float = 100.0) -> Column:
 
 
 def with_grid(df: DataFrame, position: Column, descending: bool = False) -> DataFrame:
-    """Add block and cell numbers that increase in the requested order."""
+    """Add a cell number that increases in the requested order."""
     unit = F.least(F.greatest(position.cast("double"), F.lit(0.0)), F.lit(1.0))
-    block = F.least(F.floor(unit * FAN), F.lit(FAN - 1))
-    cell = F.least(F.floor(unit * (FAN * FAN)), F.lit(FAN * FAN - 1))
-    sign = -1 if descending else 1
-    return df.withColumn("_block", block * sign).withColumn("_cell", cell * sign)
+    cell = F.least(F.floor(unit * CELLS), F.lit(CELLS - 1))
+    return df.withColumn("_cell", -cell if descending else cell)
 
 
 def _before(w, name: str) -> Column:
@@ -53,29 +51,18 @@ def running_totals(
     """
     keys = list(keys)
     d = with_grid(df, F.col(order) if position is None else position, descending)
-    cells = d.groupBy(*keys, "_block", "_cell").agg(*[F.sum(s).alias(s) for s in sums])
-    in_block = W.partitionBy(*keys, "_block").orderBy("_cell")
-    cells = cells.select(*keys, "_block", "_cell", *[_before(in_block, s).alias(f"_in_{s}") for s in sums], *sums)
-    blocks = cells.groupBy(*keys, "_block").agg(*[F.sum(s).alias(s) for s in sums])
-    in_key = W.partitionBy(*keys).orderBy("_block")
-    whole = W.partitionBy(*keys)
-    blocks = blocks.select(
+    cells = d.groupBy(*keys, "_cell").agg(*[F.sum(s).alias(s) for s in sums])
+    in_key, whole = W.partitionBy(*keys).orderBy("_cell"), W.partitionBy(*keys)
+    offsets = cells.select(
         *keys,
-        "_block",
-        *[_before(in_key, s).alias(f"_pre_{s}") for s in sums],
-        *[F.sum(s).over(whole).alias(f"tot_{s}") for s in sums],
-    )
-    offsets = cells.drop(*sums).join(blocks, [*keys, "_block"]).select(
-        *keys,
-        "_block",
         "_cell",
-        *[(F.col(f"_in_{s}") + F.col(f"_pre_{s}")).alias(f"_off_{s}") for s in sums],
-        *[f"tot_{s}" for s in sums],
+        *[_before(in_key, s).alias(f"_off_{s}") for s in sums],
+        *[F.sum(s).over(whole).alias(f"tot_{s}") for s in sums],
     )
     direction = F.col(order).desc() if descending else F.col(order).asc()
-    w = W.partitionBy(*keys, "_block", "_cell").orderBy(direction, *ties).rowsBetween(W.unboundedPreceding, 0)
+    w = W.partitionBy(*keys, "_cell").orderBy(direction, *ties).rowsBetween(W.unboundedPreceding, 0)
     inner = d.select("*", *[F.sum(s).over(w).alias(f"_cum_{s}") for s in sums])
-    joined = inner.join(offsets, [*keys, "_block", "_cell"])
+    joined = inner.join(offsets, [*keys, "_cell"])
     return joined.select(
         *df.columns,
         *[(F.col(f"_cum_{s}") + F.col(f"_off_{s}")).alias(f"cum_{s}") for s in sums],
@@ -86,21 +73,19 @@ def running_totals(
 def order_area(df: DataFrame, keys: Sequence[str], order: str, pos: str, neg: str) -> DataFrame:
     """``area`` = sum over pairs of (positive above negative) + half the ties, with class totals.
 
-    The statistic of an ordered concatenation is ``a1 + a2 + pos2 * neg1``, so three small
-    aggregations (cell, block, key) replace a global sort.
+    The statistic of an ordered concatenation is ``a1 + a2 + pos2 * neg1``, so two small
+    aggregations (cell, then key) replace a global sort.
     """
     keys = list(keys)
-    d = with_grid(df, F.col(order))
-    level = [*keys, "_block", "_cell"]
-    w = W.partitionBy(*level).orderBy(order)
-    d = d.select(*level, pos, neg, (F.col(pos) * (_before(w, neg) + F.col(neg) / 2.0)).alias("area"))
-    for _ in range(2):
-        d = d.groupBy(*level).agg(F.sum(pos).alias(pos), F.sum(neg).alias(neg), F.sum("area").alias("area"))
-        child = level[-1]
-        level = level[:-1]
-        w = W.partitionBy(*level).orderBy(child)
-        d = d.select(*level, pos, neg, (F.col("area") + F.col(pos) * _before(w, neg)).alias("area"))
-    return d.groupBy(*keys).agg(F.sum(pos).alias(pos), F.sum(neg).alias(neg), F.sum("area").alias("area"))
+    in_cell = W.partitionBy(*keys, "_cell").orderBy(order)
+    d = with_grid(df, F.col(order)).select(
+        *keys, "_cell", pos, neg, (F.col(pos) * (_before(in_cell, neg) + F.col(neg) / 2.0)).alias("area")
+    )
+    total = [F.sum(c).alias(c) for c in (pos, neg, "area")]
+    cells = d.groupBy(*keys, "_cell").agg(*total)
+    in_key = W.partitionBy(*keys).orderBy("_cell")
+    cells = cells.select(*keys, pos, neg, (F.col("area") + F.col(pos) * _before(in_key, neg)).alias("area"))
+    return cells.groupBy(*keys).agg(*total)
 
 
 def quantiles(

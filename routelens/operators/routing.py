@@ -2,7 +2,7 @@
 
 Rows are wide: ``score__a``, ``available__a``, ``latency_ms__a``, ``cal__a`` and ``head__a``
 per action. Everything per row is a plain expression over those columns, so a policy adds no
-shuffle; only costs, shares and chosen parameters are aggregates, read back as scalars.
+shuffle; only costs, shares and chosen parameters are aggregates: a few numbers, read back by the driver.
 """
 
 from __future__ import annotations
@@ -29,9 +29,9 @@ def latencies(pool) -> list[Column]:
 
 
 def one_row(df: DataFrame, pool: Sequence[str]) -> list[Column]:
-    """The columns of a one-row frame as scalar subqueries, one per action."""
-    packed = df.select(F.struct(*[F.col(a) for a in pool]).alias("s")).scalar()
-    return [packed[a] for a in pool]
+    """The fitted values of a one-row frame as literals, one per action (like model coefficients)."""
+    row = df.select(*pool).first()
+    return [F.lit(row[a]) for a in pool]
 
 
 # ------------------------------------------------------------------------------ targets
@@ -269,17 +269,17 @@ def escalation(df: DataFrame, pool, costs, kind: str, beta: Column | None = None
                     E.pick(lat, F.col("_next")).alias("l2"), conf.alias("conf")).drop("_first", "_next")
 
 
-def choose_tau(val: DataFrame, ceiling: Column, points: int = 25, upper: float = 0.6, label="label_supported") -> DataFrame:
+def choose_tau(val: DataFrame, ceiling: float, points: int = 25, upper: float = 0.6, label="label_supported") -> DataFrame:
     """Best validation AUROC among the signal quantiles whose mean latency respects the ceiling."""
     probs = [upper * i / (points - 1) for i in range(points)]
     q = quantile_points(val.withColumn("scope", F.lit("ALL")), ["scope"], "conf", probs)
-    grid = q.agg(F.array_sort(F.collect_set(F.round("value", 9))).alias("g")).scalar()
-    x = val.withColumn("tau", F.explode(grid))
+    taus = q.agg(F.array_sort(F.collect_set(F.round("value", 9)))).first()[0]  # at most ``points`` numbers
+    x = val.withColumn("tau", F.explode(F.array(*[F.lit(t) for t in taus])))
     esc = F.col("conf") < F.col("tau")
     x = x.select("tau", label, F.when(esc, F.col("p2")).otherwise(F.col("p1")).alias("p"),
                  (F.col("l1") + F.when(esc, F.col("l2")).otherwise(F.lit(0.0))).alias("ms"))
     led = M.auroc(x, ["tau"], "p", label).join(x.groupBy("tau").agg(F.avg("ms").alias("mean_ms")), "tau")
-    ok = led.filter(F.col("mean_ms") <= ceiling)
+    ok = led.filter(F.col("mean_ms") <= F.lit(ceiling))
     return ok.agg(F.coalesce(F.max_by("tau", F.struct(F.round("auroc", 12), -F.col("tau"))), F.lit(0.0)).alias("tau"))
 
 

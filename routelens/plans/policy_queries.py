@@ -34,11 +34,12 @@ def setup(spark, sf):
     fit = s.filter("side = 'fit'")
     heads = R.cell_heads(fit, POOL, CELL)
     d = s.join(heads, list(CELL), "left").fillna(0.5, subset=[f"head__{a}" for a in POOL])
+    d = d.persist()  # read again by every fitted parameter; a lost block is recomputed
     return d, R.one_row(R.mean_costs(fit, POOL), POOL)
 
 
 def chosen_beta(d, costs):
-    return R.choose_beta(R.beta_ledger(d.filter("side = 'val'"), POOL, costs, BETA_GRID), EPS).scalar()
+    return R.choose_beta(R.beta_ledger(d.filter("side = 'val'"), POOL, costs, BETA_GRID), EPS).first()[0]
 
 
 def routed(d, costs, beta):
@@ -165,7 +166,7 @@ SELECT episode_key, selected_action, round(p,6) AS p, CASE WHEN p>=0.5::double T
  round(vms,6) AS verifier_ms, round(vms+feature_latency_ms,6) AS ms FROM routed WHERE side='test'""", *_ROUTED))
 def route_rows(spark, sf):
     d, costs = setup(spark, sf)
-    r = routed(d.filter("side = 'test'"), costs, chosen_beta(d, costs))
+    r = routed(d.filter("side = 'test'"), costs, F.lit(chosen_beta(d, costs)))
     f = R.prediction_frame(r, ["episode_key"], F.col("feature_latency_ms"))
     out = rounded(f.select("episode_key", "selected_action", "p", "verifier_ms", "ms", "d", "ok"))
     return out.withColumn("d", F.col("d").cast("int")).withColumn("ok", F.col("ok").cast("int"))
@@ -182,7 +183,7 @@ FROM scoped JOIN au USING (scope) GROUP BY scope""", *_ROUTED, _SCOPED, "au AS (
 def route_confirmatory_report(spark, sf):
     d, costs = setup(spark, sf)
     beta = chosen_beta(d, costs)
-    r = routed(d.filter("side = 'test'").withColumn("beta", beta), costs, F.col("beta"))
+    r = routed(d.filter("side = 'test'").withColumn("beta", F.lit(beta)), costs, F.col("beta"))
     f = R.prediction_frame(r, ["dataset_key", "content_doc_key", "beta"], F.col("feature_latency_ms"))
     x = f.withColumn("scope", F.explode(F.array(F.lit("ALL"), F.col("dataset_key"))))
     base = x.groupBy("scope").agg(
@@ -197,7 +198,7 @@ SELECT coalesce(dataset_key,'ALL') AS dataset_key, count(*) AS n_rows, round(avg
  round(avg((selected_action='v_high')::int),6) AS v_high, round(avg((selected_action<>'v_cheap')::int),6) AS upgrade_rate FROM routed WHERE side='test' GROUP BY GROUPING SETS ((), (dataset_key))""", *_ROUTED))
 def call_shares(spark, sf):
     d, costs = setup(spark, sf)
-    r = routed(d.filter("side = 'test'"), costs, chosen_beta(d, costs))
+    r = routed(d.filter("side = 'test'"), costs, F.lit(chosen_beta(d, costs)))
     g = r.rollup("dataset_key").agg(F.count("*").alias("n_rows"), *[F.avg((F.col("selected_action") == a).cast("double")).alias(a) for a in POOL],
                                     F.avg((F.col("selected_action") != "v_cheap").cast("double")).alias("upgrade_rate"))
     return rounded(g.withColumn("dataset_key", F.coalesce("dataset_key", F.lit("ALL"))))
@@ -208,7 +209,7 @@ SELECT round(sum(vms)/sum(n),6) AS verifier_ms, round(sum(f)/sum(n),6) AS featur
  SELECT dataset_key, count(*) AS n, sum(vms) AS vms, sum(feature_latency_ms) AS f, sum(vms+feature_latency_ms) AS e FROM routed WHERE side='test' GROUP BY 1)""", *_ROUTED))
 def latency_breakdown(spark, sf):
     d, costs = setup(spark, sf)
-    f = R.prediction_frame(routed(d.filter("side = 'test'"), costs, chosen_beta(d, costs)), ["dataset_key"], F.col("feature_latency_ms"))
+    f = R.prediction_frame(routed(d.filter("side = 'test'"), costs, F.lit(chosen_beta(d, costs))), ["dataset_key"], F.col("feature_latency_ms"))
     g = f.groupBy("dataset_key").agg(F.count("*").alias("n"), F.sum("verifier_ms").alias("v"), F.sum("feature_ms").alias("f"), F.sum("ms").alias("e"))
     n = F.sum("n")
     return rounded(g.agg((F.sum("v") / n).alias("verifier_ms"), (F.sum("f") / n).alias("feature_ms"), (F.sum("e") / n).alias("total_ms"),
@@ -220,7 +221,7 @@ SELECT round(avg(((p>=0.5::double)=(label_supported=1))::int*exp(-0.4::double*""
  round((avg((p>=0.5::double)::int) FILTER (label_supported=1)+avg((p<0.5::double)::int) FILTER (label_supported=0))/2,6) AS bacc, round(avg(vms),6) AS mean_ms FROM routed WHERE side='test'""", *_ROUTED))
 def selection_utility(spark, sf):
     d, costs = setup(spark, sf)
-    r = routed(d.filter("side = 'test'"), costs, chosen_beta(d, costs))
+    r = routed(d.filter("side = 'test'"), costs, F.lit(chosen_beta(d, costs)))
     y, dec = F.col("label_supported"), F.col("p") >= 0.5
     disc = E.pick(E.discounts(F.lit(0.4), costs), F.col("sel"))
     return rounded(r.agg(F.avg((dec == (y == 1)).cast("double") * disc).alias("utility"),
@@ -231,7 +232,7 @@ def selection_utility(spark, sf):
 SELECT {NAME} AS selected_action, count(*) AS n_rows, round(avg({pick('c', 'sel')}),6) AS mean_p FROM (SELECT *, {argmax(UTIL, ['a0', 'a1', 'false'])} AS sel FROM base, best WHERE side='test') GROUP BY ALL""", *_SETUP, *_LEDGER))
 def serving_mask(spark, sf):
     d, costs = setup(spark, sf)
-    r = R.select_action(d.filter("side = 'test'"), POOL, R.utilities(POOL, costs, chosen_beta(d, costs)), blocked=("v_high",))
+    r = R.select_action(d.filter("side = 'test'"), POOL, R.utilities(POOL, costs, F.lit(chosen_beta(d, costs))), blocked=("v_high",))
     return rounded(r.groupBy("selected_action").agg(F.count("*").alias("n_rows"), F.avg("p").alias("mean_p")))
 
 
@@ -287,7 +288,7 @@ def _control_sql(renorm: bool) -> str:
 
 def _control(spark, sf, renormalise):
     d, costs = setup(spark, sf)
-    r = routed(d.filter("side = 'test'"), costs, chosen_beta(d, costs))
+    r = routed(d.filter("side = 'test'"), costs, F.lit(chosen_beta(d, costs)))
     shares = R.one_row(R.action_shares(r, POOL), POOL)
     t = d.filter("side = 'test'")
     c = R.matched_random(t, POOL, shares, 5, renormalise=renormalise)
@@ -310,7 +311,7 @@ SELECT draw, count(*) AS n_rows, round(avg(CASE WHEN (p2>=0.5::double)=(label_su
   SELECT *, least((u>w0)::int+(u>w0+w1)::int+(u>w0+w1+w2)::int,2) AS pk FROM (SELECT *, """ + u_sql("'control'", "draw", "episode_key") + """ AS u FROM routed, sh, range(16) r(draw) WHERE side='test'))) GROUP BY draw""", *_ROUTED, _SHARES))
 def control_bank(spark, sf):
     d, costs = setup(spark, sf)
-    r = routed(d.filter("side = 'test'"), costs, chosen_beta(d, costs))
+    r = routed(d.filter("side = 'test'"), costs, F.lit(chosen_beta(d, costs)))
     shares = R.one_row(R.action_shares(r, POOL), POOL)
     t = d.filter("side = 'test'").withColumn("draw", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(15).cast("bigint"))))
     c = R.matched_random(t, POOL, shares, F.col("draw"), renormalise=False)
@@ -353,12 +354,12 @@ def matched_random_chain(spark, sf):
 
 def _escalated(spark, sf, kind):
     d, costs = setup(spark, sf)
-    beta = chosen_beta(d, costs)
+    beta = F.lit(chosen_beta(d, costs))
     r = routed(d, costs, beta)
-    ref = r.filter("side = 'val'").agg((F.avg("verifier_ms") * 1.5).alias("c")).scalar()
+    ref = r.filter("side = 'val'").agg(F.avg("verifier_ms") * 1.5).first()[0]
     x = R.escalation(r, POOL, costs, kind, beta)
-    tau = R.choose_tau(x.filter("side = 'val'"), ref).scalar()
-    e = R.escalate(x.filter("side = 'test'").withColumn("tau", tau), F.col("tau"))
+    tau = R.choose_tau(x.filter("side = 'val'"), ref).first()[0]
+    e = R.escalate(x.filter("side = 'test'").withColumn("tau", F.lit(tau)), F.col("tau"))
     g = e.withColumn("system", F.lit(kind)).groupBy("system").agg(
         F.max("tau").alias("tau"), F.avg("verifier_ms").alias("mean_ms"), F.avg("calls").alias("mean_calls"), F.count("*").alias("n_rows"))
     return rounded(g.join(M.auroc(e.withColumn("system", F.lit(kind)), ["system"], "p", "label_supported"), "system"))
@@ -541,7 +542,7 @@ def live_substitution(spark, sf):
     from routelens.plans.views import VERIFIERS
 
     d, costs = setup(spark, sf)
-    r = routed(d.filter("side = 'test'"), costs, chosen_beta(d, costs))
+    r = routed(d.filter("side = 'test'"), costs, F.lit(chosen_beta(d, costs)))
     plan = r.select("episode_key", "selected_action", E.pick(R.cols("score", POOL), F.col("sel")).alias("score"))
     rerun = plan.select("episode_key", "selected_action", F.least(F.greatest(F.col("score") + 0.02 * (uniform("live", F.col("episode_key")) - 0.5), F.lit(0.0)), F.lit(1.0)).alias("live"))
     j = r.join(rerun, ["episode_key", "selected_action"], "left")
