@@ -293,7 +293,7 @@ def _segments(spark, sf):
     return span_overlap_labels(response_sentences(a), spans, "pair_id")
 
 
-@query("segment_and_label", "J8 T27", p_sql("SELECT pair_id, sidx, sent_start, sent_end, n_over AS "overlaps", (n_over=0)::int AS label_supported FROM seg", _SPANS, _OFF, _SEGM))
+@query("segment_and_label", "J8 T27", p_sql("SELECT pair_id, sidx, sent_start, sent_end, n_over AS \"overlaps\", (n_over=0)::int AS label_supported FROM seg", _SPANS, _OFF, _SEGM))
 def segment_and_label(spark, sf):
     return _segments(spark, sf).select("pair_id", "sidx", "sent_start", "sent_end", "overlaps", "label_supported")
 
