@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from routelens.config import AURC_POINTS, COVERAGE_LEVELS, ECE_BINS
-from routelens.operators.ordered import order_area, quantiles, running_totals, squash
+from routelens.operators.ordered import CELLS, order_area, quantiles, running_totals, squash
 
 
 def score_ledger(df: DataFrame, keys: Sequence[str], score: str, label: str, weight: str | None = None) -> DataFrame:
@@ -31,8 +31,8 @@ def score_ledger(df: DataFrame, keys: Sequence[str], score: str, label: str, wei
     )
 
 
-def auroc_from_ledger(ledger: DataFrame, keys: Sequence[str], name: str = "auroc") -> DataFrame:
-    area = order_area(ledger, keys, "score", "pos", "neg")
+def auroc_from_ledger(ledger: DataFrame, keys: Sequence[str], name: str = "auroc", cells: int = CELLS) -> DataFrame:
+    area = order_area(ledger, keys, "score", "pos", "neg", cells)
     value = F.when(
         (F.col("pos") > 0) & (F.col("neg") > 0), F.col("area") / (F.col("pos").cast("double") * F.col("neg"))
     )

@@ -2,7 +2,7 @@
 
 Running totals, ranks, quantiles and rank-based areas need a global order per key. A plain
 window would pull the whole key into a single task, so values are placed on a fixed grid of
-``CELLS`` cells. One window runs over the distinct values of a cell, another over the at most
+``CELLS`` cells (more for narrow distributions, fewer when there are many keys). One window runs over the distinct values of a cell, another over the at most
 ``CELLS`` cell totals of a key. The grid is a pure function of the value, so a retried task
 reproduces it exactly.
 """
@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-CELLS = 1 << 18
+CELLS = 1 << 14
 
 
 def squash(x: Column, scale: float = 100.0) -> Column:
@@ -23,10 +23,10 @@ def squash(x: Column, scale: float = 100.0) -> Column:
     return F.lit(0.5) + F.lit(0.5) * x / (F.abs(x) + F.lit(scale))
 
 
-def with_grid(df: DataFrame, position: Column, descending: bool = False) -> DataFrame:
+def with_grid(df: DataFrame, position: Column, descending: bool = False, cells: int = CELLS) -> DataFrame:
     """Add a cell number that increases in the requested order."""
     unit = F.least(F.greatest(position.cast("double"), F.lit(0.0)), F.lit(1.0))
-    cell = F.least(F.floor(unit * CELLS), F.lit(CELLS - 1))
+    cell = F.least(F.floor(unit * cells), F.lit(cells - 1))
     return df.withColumn("_cell", -cell if descending else cell)
 
 
@@ -70,7 +70,7 @@ def running_totals(
     )
 
 
-def order_area(df: DataFrame, keys: Sequence[str], order: str, pos: str, neg: str) -> DataFrame:
+def order_area(df: DataFrame, keys: Sequence[str], order: str, pos: str, neg: str, cells: int = CELLS) -> DataFrame:
     """``area`` = sum over pairs of (positive above negative) + half the ties, with class totals.
 
     The statistic of an ordered concatenation is ``a1 + a2 + pos2 * neg1``, so two small
@@ -78,14 +78,14 @@ def order_area(df: DataFrame, keys: Sequence[str], order: str, pos: str, neg: st
     """
     keys = list(keys)
     in_cell = W.partitionBy(*keys, "_cell").orderBy(order)
-    d = with_grid(df, F.col(order)).select(
+    d = with_grid(df, F.col(order), cells=cells).select(
         *keys, "_cell", pos, neg, (F.col(pos) * (_before(in_cell, neg) + F.col(neg) / 2.0)).alias("area")
     )
     total = [F.sum(c).alias(c) for c in (pos, neg, "area")]
-    cells = d.groupBy(*keys, "_cell").agg(*total)
+    by_cell = d.groupBy(*keys, "_cell").agg(*total)
     in_key = W.partitionBy(*keys).orderBy("_cell")
-    cells = cells.select(*keys, pos, neg, (F.col("area") + F.col(pos) * _before(in_key, neg)).alias("area"))
-    return cells.groupBy(*keys).agg(*total)
+    by_cell = by_cell.select(*keys, pos, neg, (F.col("area") + F.col(pos) * _before(in_key, neg)).alias("area"))
+    return by_cell.groupBy(*keys).agg(*total)
 
 
 def quantiles(

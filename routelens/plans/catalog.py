@@ -1,4 +1,11 @@
 """Importing this module registers every query."""
 
-from routelens.plans import data_queries, metric_queries, policy_queries, resampling_queries, text_queries  # noqa: F401
+from routelens.plans import (  # noqa: F401
+    data_queries,
+    metric_queries,
+    model_queries,
+    policy_queries,
+    resampling_queries,
+    text_queries,
+)
 from routelens.plans.registry import COVERS, ORACLES, QUERIES  # noqa: F401
