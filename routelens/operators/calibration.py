@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
@@ -34,8 +35,12 @@ def fit_platt(df: DataFrame, score: str, label: str = "label_supported", availab
 
 
 def fit_calibrators(df: DataFrame, pool: Sequence[str], label: str = "label_supported") -> dict[str, tuple[float, float]]:
-    """One calibrator per action over the wide score matrix."""
-    return {a: fit_platt(df, f"score__{a}", label, f"available__{a}") for a in pool}
+    """One calibrator per action over the wide score matrix; the small fits run side by side."""
+    x = df.select(label, *[f"{f}__{a}" for a in pool for f in ("score", "available")]).persist()
+    with ThreadPoolExecutor(len(pool)) as ex:
+        fits = list(ex.map(lambda a: fit_platt(x, f"score__{a}", label, f"available__{a}"), pool))
+    x.unpersist()
+    return dict(zip(pool, fits))
 
 
 def apply_calibrators(df: DataFrame, fitted: dict[str, tuple[float, float]], zero_unavailable: bool = False) -> DataFrame:

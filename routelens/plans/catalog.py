@@ -2,9 +2,11 @@
 
 from routelens.plans import (  # noqa: F401
     data_queries,
+    io_queries,
     metric_queries,
     model_queries,
     policy_queries,
+    report_queries,
     resampling_queries,
     text_queries,
 )
