@@ -7,7 +7,6 @@ from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array  # noqa: F401  (part of the public surface)
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,15 +21,15 @@ def fit_platt(df: DataFrame, score: str, label: str = "label_supported", availab
     the mean loss. A one-class fit gives slope 0 and the smoothed class rate.
     """
     d = df if available is None else df.filter(F.col(available))
-    d = d.filter(F.col(score).isNotNull()).select(F.array(logit(F.col(score))).alias("x"), F.col(label).cast("double").alias("label"), logit(F.col(score)).alias("z"))
+    d = d.filter(F.col(score).isNotNull()).select(F.col(label).cast("double").alias("label"), logit(F.col(score)).alias("z"))
     n, pos = d.agg(F.count("*"), F.sum("label")).first()
     if not n or pos in (0.0, float(n)):
         import math
 
         rate = min(max((pos or 0.0) / n if n else 0.5, 1e-6), 1 - 1e-6)
         return math.log(rate / (1 - rate)), 0.0
-    v = VectorAssembler(inputCols=["z"], outputCol="features").transform(d.select("z", "label"))
-    m = LogisticRegression(regParam=1.0 / n, elasticNetParam=0.0, standardization=False, maxIter=100, tol=1e-10).fit(v)
+    v = VectorAssembler(inputCols=["z"], outputCol="features").transform(d)
+    m = LogisticRegression(regParam=1.0 / n, elasticNetParam=0.0, standardization=False, maxIter=30, tol=1e-9).fit(v)
     return float(m.intercept), float(m.coefficients[0])
 
 

@@ -76,14 +76,14 @@ def apply_classifier(df: DataFrame, model, features: Sequence[str], name: str) -
 
 def multinomial_router(fit: DataFrame, features: Sequence[str], label: str = "oracle_action"):
     """Scaled, class-balanced multinomial logistic model of the cheapest correct action."""
-    n = fit.count()
-    sizes = fit.groupBy(label).agg(F.count("*").alias("_n"))
-    k = sizes.count()
-    w = fit.join(sizes, label).withColumn("_w", F.lit(float(n)) / (F.lit(float(k)) * F.col("_n"))).drop("_n")
+    sizes = {r[0]: r[1] for r in fit.groupBy(label).agg(F.count("*")).collect()}  # one row per action
+    n, k = sum(sizes.values()), len(sizes)
+    balance = F.create_map(*[F.lit(v) for a, c in sizes.items() for v in (a, n / (k * c))])
+    w = fit.withColumn("_w", balance[F.col(label)])
     return Pipeline(stages=[
         StringIndexer(inputCol=label, outputCol="_y", stringOrderType="alphabetAsc", handleInvalid="keep"),
         VectorAssembler(inputCols=list(features), outputCol="_x"), StandardScaler(inputCol="_x", outputCol="_xs", withMean=True),
-        LogisticRegression(featuresCol="_xs", labelCol="_y", weightCol="_w", family="multinomial", probabilityCol="_prob", rawPredictionCol="_raw", predictionCol="_pred", regParam=1.0 / max(n, 1)),
+        LogisticRegression(featuresCol="_xs", labelCol="_y", weightCol="_w", family="multinomial", probabilityCol="_prob", rawPredictionCol="_raw", predictionCol="_pred", regParam=1.0 / max(n, 1), maxIter=30),
     ]).fit(w)
 
 
