@@ -142,9 +142,11 @@ def beta_ledger(val: DataFrame, pool, costs, grid: Sequence[float], feature_ms="
 
 def choose_beta(ledger: DataFrame, tolerance: float) -> DataFrame:
     """Cheapest beta within the tolerance of the best AUROC; the first one on ties."""
-    best = ledger.agg(F.max("auroc").alias("m")).scalar()
-    return ledger.filter(F.round(F.col("auroc"), 12) >= F.round(best - F.lit(tolerance), 12)).agg(
-        F.min_by("beta", F.struct(F.round("mean_ms", 9), F.col("beta"))).alias("beta"))
+    rows = F.collect_list(F.struct("beta", "auroc", "mean_ms"))  # one row per grid value
+    x = ledger.agg(rows.alias("r"))
+    best = F.array_max(F.transform("r", lambda v: v["auroc"]))
+    near = F.filter("r", lambda v: F.round(v["auroc"], 12) >= F.round(best - F.lit(tolerance), 12))
+    return x.select(F.array_min(F.transform(near, lambda v: F.struct(F.round(v["mean_ms"], 9).alias("ms"), v["beta"].alias("beta"))))["beta"].alias("beta"))
 
 
 def choose_beta_product(ledger: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import functions as F
@@ -40,6 +41,12 @@ def stack(frames):
     return reduce(lambda a, b: a.unionByName(b), frames)
 
 
+def side_by_side(fn, items, threads: int = 4):
+    """Run independent fits from a small driver thread pool; Spark interleaves their jobs."""
+    with ThreadPoolExecutor(threads) as ex:
+        return list(ex.map(fn, items))
+
+
 def fitted(d, features=FEATURES, kind="regret", learner="forest", seed=17, pool=POOL):
     """Calibrate, fit heads and attach both; returns the rows and the fit-side costs."""
     c = K.apply_calibrators(d, K.fit_calibrators(part(d, "fit"), pool))
@@ -124,11 +131,11 @@ def correctness_heads(spark, sf):
 @query("learner_sweep", "H4 X11")
 def learner_sweep(spark, sf):
     d = featured(spark, sf)
-    out = []
-    for name in ("boosted", "ridge", "tree"):
+    def arm(name):
         x, costs = fitted(d, learner=name)
-        out.append(scored(route_with(x, costs)[0], name))
-    return rounded(stack(out))
+        return scored(route_with(x, costs)[0], name)
+
+    return rounded(stack(side_by_side(arm, ("boosted", "ridge", "tree"))))
 
 
 @query("no_verifier_arm", "H5 X4")
@@ -279,13 +286,13 @@ def rotation_protocol(spark, sf):
     """Out-of-fold predictions over three rotations of group folds; every row is predicted once."""
     d = featured(spark, sf).drop("side")
     x = d.join(S.fold_groups(d, 17, 3), "content_doc_key").persist()
-    out = []
-    for t in range(3):
+    def rotation(t):
         gap = F.pmod(F.col("fold") - F.lit(t), F.lit(3))
         s = x.withColumn("side", F.when(gap == 0, "test").when(gap == 1, "val").otherwise("fit"))
         f, costs = fitted(s, learner="tree")
-        out.append(part(route_with(f, costs)[0], "test").withColumn("rotation", F.lit(t)))
-    o = stack(out).withColumn("system", F.lit("router"))
+        return part(route_with(f, costs)[0], "test").withColumn("rotation", F.lit(t))
+
+    o = stack(side_by_side(rotation, range(3))).withColumn("system", F.lit("router"))
     return rounded(o.groupBy("system").agg(F.count("*").alias("n_rows"), F.count_distinct("episode_key").alias("episodes"), F.avg("verifier_ms").alias("mean_ms")).join(M.auroc(o, ["system"], "p", "label_supported"), "system"))
 
 
@@ -315,10 +322,11 @@ def ablation_arms(spark, sf):
 def per_corpus_training(spark, sf):
     """In-domain training per corpus against the best fixed verifier of that corpus."""
     d = featured(spark, sf)
-    out = []
-    for c in ("de", "en", "es", "fr"):
+    def corpus(c):
         x, costs = fitted(d.filter(F.col("dataset_key") == c), ("log_chars", "n_lines"), learner="tree")
-        out.append(scored(route_with(x, costs)[0], c))
+        return scored(route_with(x, costs)[0], c)
+
+    out = side_by_side(corpus, ("de", "en", "es", "fr"))
     fixed = M.auroc(calls(spark, sf).filter("role = 'test'"), ["dataset_key", "verifier"]).groupBy("dataset_key").agg(F.max_by("verifier", F.struct("auroc", "verifier")).alias("best_fixed"), F.max("auroc").alias("best_fixed_auroc"))
     return rounded(stack(out).join(fixed.withColumnRenamed("dataset_key", "system"), "system", "left"))
 
@@ -339,27 +347,27 @@ def pool_subset_lattice(spark, sf):
 @query("learning_curve", "X9 F8")
 def learning_curve(spark, sf):
     d = featured(spark, sf)
-    out = []
-    for frac in (0.25, 1.0):
+    def size(frac):
         g = S.subsample_groups(part(d, "fit"), 23, frac)
         s = part(d, "fit").join(g, "content_doc_key").unionByName(d.filter("side <> 'fit'"))
         x, costs = fitted(s, learner="tree")
-        out.append(scored(route_with(x, costs)[0], f"fraction_{frac}"))
-    return rounded(stack(out))
+        return scored(route_with(x, costs)[0], f"fraction_{frac}")
+
+    return rounded(stack(side_by_side(size, (0.25, 1.0))))
 
 
 @query("few_shot_curve", "X14 F9 W11")
 def few_shot_curve(spark, sf):
     """Training on the other corpora plus k target rows; the knee is where 95 % of the gain is reached."""
     d = featured(spark, sf)
-    out = []
-    for k in (0, 50, 200):
+    def shots(k):
         fit = S.few_shot(part(d, "fit"), "fr", k, 31)
         s = fit.unionByName(d.filter("side <> 'fit'"))
         x, costs = fitted(s, ("log_chars", "n_lines"), learner="tree")
         r = route_with(x, costs)[0]
-        out.append(scored(r.filter("dataset_key = 'fr'"), "fr").withColumn("k", F.lit(k)))
-    c = stack(out).persist()
+        return scored(r.filter("dataset_key = 'fr'"), "fr").withColumn("k", F.lit(k))
+
+    c = stack(side_by_side(shots, (0, 50, 200))).persist()
     ends = c.agg(F.min_by("auroc", "k").alias("a"), F.max_by("auroc", "k").alias("b")).first()
     gain = ends["b"] - ends["a"]
     hit = F.col("auroc") >= F.lit(ends["a"] + 0.95 * gain) if gain > 0 else F.lit(False)
@@ -369,9 +377,9 @@ def few_shot_curve(spark, sf):
 @query("leave_one_corpus_policies", "X15 F6")
 def leave_one_corpus_policies(spark, sf):
     d = featured(spark, sf)
-    out = []
-    for c in ("de", "fr"):
+    def heldout(c):
         s = d.withColumn("side", F.when(F.col("dataset_key") == c, "test").when(F.col("side") == "val", "val").otherwise("fit"))
         x, costs = fitted(s, ("log_chars", "n_lines"), learner="tree")
-        out.append(scored(route_with(x, costs)[0], c))
-    return rounded(stack(out))
+        return scored(route_with(x, costs)[0], c)
+
+    return rounded(stack(side_by_side(heldout, ("de", "fr"))))

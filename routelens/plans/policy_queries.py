@@ -30,11 +30,10 @@ def sides(spark, sf):
 
 def setup(spark, sf):
     """Rows with their head values, and the fit-side cost of each action."""
-    s = sides(spark, sf)
+    s = sides(spark, sf).persist()  # read again by every fitted parameter; a lost block is recomputed
     fit = s.filter("side = 'fit'")
     heads = R.cell_heads(fit, POOL, CELL)
     d = s.join(heads, list(CELL), "left").fillna(0.5, subset=[f"head__{a}" for a in POOL])
-    d = d.persist()  # read again by every fitted parameter; a lost block is recomputed
     return d, R.one_row(R.mean_costs(fit, POOL), POOL)
 
 
