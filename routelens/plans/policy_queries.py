@@ -356,7 +356,7 @@ def _escalated(spark, sf, kind):
     beta = F.lit(chosen_beta(d, costs))
     r = routed(d, costs, beta)
     ref = r.filter("side = 'val'").agg(F.avg("verifier_ms") * 1.5).first()[0]
-    x = R.escalation(r, POOL, costs, kind, beta)
+    x = R.escalation(r, POOL, costs, kind, beta).persist()
     tau = R.choose_tau(x.filter("side = 'val'"), ref).first()[0]
     e = R.escalate(x.filter("side = 'test'").withColumn("tau", F.lit(tau)), F.col("tau"))
     g = e.withColumn("system", F.lit(kind)).groupBy("system").agg(

@@ -11,7 +11,7 @@ from routelens.operators import features as T
 from routelens.operators.joins import span_overlap_labels
 from routelens.plans.metric_queries import rounded
 from routelens.plans.registry import query
-from routelens.plans.views import POOL, pairs, table, u_sql, wide, with_sql
+from routelens.plans.views import POOL, pairs, text_table, u_sql, wide, with_sql
 
 WS = "' \t\n\r\f'||chr(11)"
 
@@ -45,13 +45,13 @@ IDF = "ln(1+(n_sent-df+0.5::double)/(df+0.5::double))"
 
 @query("tokenize_documents", "T1", f"SELECT doc_id, len(t) AS n_tokens, len(list_distinct(t)) AS n_types, coalesce(list_aggregate(t,'max'),'') AS last_token FROM (SELECT doc_id, {tok_sql('text')} AS t FROM documents)")
 def tokenize_documents(spark, sf):
-    t = table(spark, sf, "documents").select("doc_id", X.tokens(F.col("text")).alias("t"))
+    t = text_table(spark, sf, "documents").select("doc_id", X.tokens(F.col("text")).alias("t"))
     return t.select("doc_id", F.size("t").cast("bigint").alias("n_tokens"), F.size(F.array_distinct("t")).cast("bigint").alias("n_types"), F.coalesce(F.array_max("t"), F.lit("")).alias("last_token"))
 
 
 @query("split_sentences", "T2 T3", f"SELECT doc_id, generate_subscripts(ss,1)::int-1 AS sidx, unnest(ss) AS sentence FROM (SELECT doc_id, {sent_sql('text')} AS ss FROM documents)")
 def split_sentences(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.posexplode(X.sentences(F.col("text"))).alias("sidx", "sentence"))
+    return text_table(spark, sf, "documents").select("doc_id", F.posexplode(X.sentences(F.col("text"))).alias("sidx", "sentence"))
 
 
 @query("document_index", "T4 T5", p_sql(f"SELECT doc_key, term, any_value(df) AS df, sum(tf)::bigint AS tf, round(any_value({IDF}),6) AS idf FROM post GROUP BY ALL", SENT, TOKS, POST))
@@ -81,7 +81,7 @@ q AS (SELECT doc_id, u.term, count(*) AS qf FROM sent, unnest({tok_sql('s')}) u(
 SELECT doc_id, round(max(score),6) AS top1, count(*) AS matched FROM (SELECT doc_id, sidx, sum(qf*{IDF}*tf*2.5::double/(tf+1.5::double*(0.25::double+0.75::double*sl/al))) AS score FROM q JOIN post USING (doc_id, term) JOIN stat USING (doc_id) GROUP BY ALL) GROUP BY doc_id""")
 def document_passage_bm25(spark, sf):
     """Each document's opening sentence against all its sentences."""
-    d = table(spark, sf, "documents")
+    d = text_table(spark, sf, "documents")
     sent = T.sentence_table(d, key="doc_id", text="text")
     q = sent.filter("sidx = 0").select("doc_id", F.explode("toks").alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("qf"))
     s = T.bm25(q, T.postings(sent, "doc_id"), ["doc_id"], "doc_id")
@@ -156,7 +156,7 @@ def compact_feature_frame(spark, sf):
 
 @query("value_and_entity_spans", "T14 T15 T16")
 def value_and_entity_spans(spark, sf):
-    s = table(spark, sf, "documents").select("doc_id", F.array_distinct(X.tokens(F.col("text"))).alias("sset"), F.posexplode(X.sentences(F.col("text"))).alias("sidx", "s"))
+    s = text_table(spark, sf, "documents").select("doc_id", F.array_distinct(X.tokens(F.col("text"))).alias("sset"), F.posexplode(X.sentences(F.col("text"))).alias("sidx", "s"))
     return s.select("doc_id", "sidx", F.array_join(F.array_sort(X.value_spans(F.col("s"))), "|").alias("amounts"),
                     F.array_join(F.array_sort(X.entity_spans(F.col("s"))), "|").alias("names"), F.size(X.summary_entity_spans(F.col("s"), F.col("sset"))).alias("n_summary_names"))
 
@@ -169,14 +169,14 @@ SELECT doc_id, round(CASE WHEN len(ls)>0 THEN len(list_filter(ls, lambda l: rege
  OR (len(regexp_extract_all(lower(trim(l,{WS})),'[a-z0-9'']+'))<=8 AND (ends_with(trim(l,{WS}),':') OR (regexp_matches(l,'\\p{{L}}') AND replace(upper(trim(l,{WS})),'ß','ß')=trim(l,{WS}))))))/len(ls)::double ELSE 0 END,6) AS ratio
 FROM (SELECT doc_id, list_filter({_LINES}, lambda l: trim(l,{WS})<>'') AS ls FROM documents)""")
 def structured_line_ratio(spark, sf):
-    return rounded(table(spark, sf, "documents").select("doc_id", X.structured_line_ratio(F.col("text")).alias("ratio")))
+    return rounded(text_table(spark, sf, "documents").select("doc_id", X.structured_line_ratio(F.col("text")).alias("ratio")))
 
 
 @query("source_lexical_entropy", "T18", f"""
 SELECT doc_id, round(coalesce(e,0),6) AS source_lexical_entropy FROM documents LEFT JOIN (SELECT doc_id, CASE WHEN count(*)>1 THEN (ln(sum(n))-sum(n*ln(n))/sum(n))/ln(count(*)) END AS e FROM (
  SELECT doc_id, u.t, count(*)::double AS n FROM documents, unnest({tok_sql('text')}) u(t) WHERE NOT list_contains({STOP_SQL}, u.t) GROUP BY ALL) GROUP BY doc_id) USING (doc_id)""")
 def source_lexical_entropy(spark, sf):
-    return rounded(T.lexical_entropy(table(spark, sf, "documents"), "doc_id", "text"))
+    return rounded(T.lexical_entropy(text_table(spark, sf, "documents"), "doc_id", "text"))
 
 
 @query("score_vector_entropy", "T19", with_sql("""
@@ -205,7 +205,7 @@ def evidence_features(spark, sf):
 @query("entity_value_conflicts", "T22")
 def entity_value_conflicts(spark, sf):
     """Entity-value pairs of each document's sentences against its own top evidence."""
-    d = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("pair_id"), F.sha2("text", 256).alias("doc_key"), F.col("text").alias("source"), F.col("text").alias("summary"))
+    d = text_table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("pair_id"), F.sha2("text", 256).alias("doc_key"), F.col("text").alias("source"), F.col("text").alias("summary"))
     return rounded(T.conflict_features(d, T.evidence_table(d)))
 
 
@@ -223,7 +223,7 @@ SELECT doc_id, round(ln(1+len(t)),6) AS log_tokens, round(({_wc('t', X.LOGIC_WOR
  round({_wc('t', X.PRONOUNS)}/greatest(len(t),1)::double,6) AS pronouns, len(ss)::double AS sentences, list_max(list_transform(ss, lambda z: len(regexp_extract_all(lower(z),'[a-z0-9'']+'))))::double AS longest
 FROM (SELECT doc_id, text, {tok_sql('text')} AS t, {sent_sql('text')} AS ss FROM documents)""")
 def marker_densities(spark, sf):
-    d = table(spark, sf, "documents").select(F.col("doc_id").alias("pair_id"), F.col("text").alias("summary"), F.col("text").alias("source"))
+    d = text_table(spark, sf, "documents").select(F.col("doc_id").alias("pair_id"), F.col("text").alias("summary"), F.col("text").alias("source"))
     m = T.marker_features(d)
     return rounded(m.select(F.col("pair_id").alias("doc_id"), F.col("log_source_token_count").alias("log_tokens"), F.col("logic_marker_density").alias("logic"), F.col("attribution_marker_density").alias("attribution"),
                             F.col("pronoun_reference_density").alias("pronouns"), F.col("summary_sentence_count").alias("sentences"), F.col("max_summary_sentence_tokens").alias("longest")))
@@ -312,7 +312,7 @@ def annotation_replay_audit(spark, sf):
 @query("token_windows", "T29", f"""
 SELECT doc_id, w::int AS window, (w*192)::int AS start, (least(n,w*192+256)-w*192)::bigint AS n_tokens FROM (SELECT doc_id, n, unnest(range(CASE WHEN n<=256 THEN 1 ELSE ceil((n-256)/192.0::double)::bigint+1 END)) AS w FROM (SELECT doc_id, len({tok_sql('text')}) AS n FROM documents))""")
 def token_windows(spark, sf):
-    w = T.token_windows(table(spark, sf, "documents"), X.tokens(F.col("text")), F.lit(256), ["doc_id"])
+    w = T.token_windows(text_table(spark, sf, "documents"), X.tokens(F.col("text")), F.lit(256), ["doc_id"])
     return w.select("doc_id", "window", "start", F.size("tokens").cast("bigint").alias("n_tokens"))
 
 
@@ -329,7 +329,7 @@ def prompt_budget_windows(spark, sf):
 
 @query("packed_chunks", "T30")
 def packed_chunks(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", F.transform(X.sentences(F.col("text")), lambda s: F.size(F.split(s, r"\s+"))).alias("sizes"))
+    d = text_table(spark, sf, "documents").select("doc_id", F.transform(X.sentences(F.col("text")), lambda s: F.size(F.split(s, r"\s+"))).alias("sizes"))
     x = d.select("doc_id", F.explode(F.arrays_zip(F.col("sizes"), T.packed_chunks(F.col("sizes"), 100).alias("chunk"))).alias("x"))
     return x.groupBy("doc_id", F.col("x.chunk").alias("chunk")).agg(F.count("*").alias("sentences"), F.sum("x.sizes").alias("words"))
 

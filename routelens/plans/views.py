@@ -28,6 +28,16 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def text_table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A table for CPU-heavy text work: a scan with fewer splits than cores is spread out first.
+
+    Large inputs arrive with enough splits and are left alone, so they pay no shuffle.
+    """
+    df = table(spark, sf, name)
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def episodes(spark: SparkSession, sf: str, text: bool = False) -> DataFrame:
     """Labelled documents times three candidate variants."""
     docs = table(spark, sf, "documents")
@@ -95,7 +105,7 @@ def wide(spark: SparkSession, sf: str) -> DataFrame:
 
 def pairs(spark: SparkSession, sf: str) -> DataFrame:
     """Consecutive user -> assistant turns: source = user text, summary = assistant text."""
-    c = table(spark, sf, "conversations")
+    c = text_table(spark, sf, "conversations")
     user = c.filter(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("source"))
     reply = c.filter(F.col("role") == "assistant").select(
         "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("summary")
