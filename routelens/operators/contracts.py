@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# A scoring input may hold no column whose name contains one of these.
-GOLD_TOKENS = ("label", "gold", "error_type", "hallucination", "annotation")
+# A label-free table may hold no column whose name contains one of these.
+GOLD_TOKENS = ("label", "gold", "correct", "quality", "unsupported", "error_type", "annotation", "target")
 
 
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:

@@ -149,14 +149,26 @@ def choose_beta(ledger: DataFrame, tolerance: float) -> DataFrame:
     return x.select(F.array_min(F.transform(near, lambda v: F.struct(F.round(v["mean_ms"], 9).alias("ms"), v["beta"].alias("beta"))))["beta"].alias("beta"))
 
 
-def choose_beta_product(ledger: DataFrame) -> DataFrame:
-    """Earlier rule: largest product of scaled quality gain and scaled speed gain."""
-    lim = ledger.agg(F.struct(F.min("auroc").alias("a0"), F.max("auroc").alias("a1"),
-                              F.min("mean_ms").alias("m0"), F.max("mean_ms").alias("m1")).alias("s")).scalar()
-    q = F.when(lim["a1"] > lim["a0"], (F.col("auroc") - lim["a0"]) / (lim["a1"] - lim["a0"])).otherwise(F.lit(0.0))
-    s = F.when(lim["m1"] > lim["m0"], (lim["m1"] - F.col("mean_ms")) / (lim["m1"] - lim["m0"])).otherwise(F.lit(0.0))
+def action_aurocs(val: DataFrame, pool, label="label_supported") -> dict[str, float]:
+    """AUROC of each action's raw score over the rows where it is available; 0.5 for one class."""
+    x = val.select(F.col(label).alias("y"), F.explode(F.array(*[
+        F.struct(F.lit(a).alias("action"), F.col(f"score__{a}").alias("p"), F.col(f"available__{a}").alias("av")) for a in pool])).alias("s"))
+    got = {r["action"]: r["auroc"] for r in M.auroc(x.select("y", "s.*").filter("av"), ["action"]).collect()}  # one row per action
+    return {a: 0.5 if got.get(a) is None else got[a] for a in pool}
+
+
+def choose_beta_product(ledger: DataFrame, aurocs: dict[str, float], costs: dict[str, float]) -> DataFrame:
+    """Earlier rule: largest product of quality gain and speed gain, the first beta on ties.
+
+    Both gains are scaled between the cheapest action and the best other action on validation.
+    """
+    fast = min(costs, key=lambda a: costs[a])
+    good = max((a for a in costs if a != fast), key=lambda a: aurocs[a])
+    dq, ds = aurocs[good] - aurocs[fast], costs[good] - costs[fast]
+    q = F.greatest((F.col("auroc") - aurocs[fast]) / dq, F.lit(0.0)) if dq > 0 else F.lit(None).cast("double")
+    s = F.greatest((F.lit(costs[good]) - F.col("mean_ms")) / ds, F.lit(0.0)) if ds > 0 else F.lit(None).cast("double")
     x = ledger.withColumn("gain", F.round(q * s, 12))
-    return x.agg(F.max_by("beta", F.struct("gain", -F.col("beta"))).alias("beta"), F.max("gain").alias("gain"))
+    return x.agg(F.coalesce(F.max_by("beta", F.when(F.col("gain").isNotNull(), F.struct("gain", -F.col("beta")))), F.min("beta")).alias("beta"), F.max("gain").alias("gain"))
 
 
 # ------------------------------------------------------------------------------ baselines and controls

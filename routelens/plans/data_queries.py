@@ -41,7 +41,7 @@ def conform_common_schema(spark, sf):
 @query("label_free_projection", "P2", with_sql("""
 SELECT episode_key, doc_id, k, dataset_key, generator_id, content_doc_key, n_chars, role, round(feature_latency_ms,6) AS feature_latency_ms FROM episodes""", "episodes"))
 def label_free_projection(spark, sf):
-    e = C.label_free(episodes(spark, sf)).drop("quality", "toxic")
+    e = C.label_free(episodes(spark, sf)).drop("toxic")
     return rounded(e).withColumn("k", F.col("k").cast("int"))
 
 

@@ -106,7 +106,7 @@ def payloads(spark, sf):
     e = table(spark, sf, "events")
     u = lambda t: uniform(t, F.col("event_id"))
     label = F.when(u("lab") < 0.45, "SUPPORTED").when(u("lab") < 0.95, "UNSUPPORTED").otherwise("MAYBE")
-    err = F.when(u("err") < 0.5, "NONE").when(u("err") < 0.95, "NUMBER").otherwise("STRANGE")
+    err = F.when(u("err") < 0.5, "NONE").when(u("err") < 0.95, "MIXED").otherwise("STRANGE")
     spans = F.when(u("span") < 0.4, F.array().cast("array<string>")).when(u("span") < 0.8, F.array(F.col("event_type"))).otherwise(F.array(F.lit("absent")))
     pay = F.to_json(F.struct(label.alias("label"), (u("prob") * 1.05).alias("support_probability"), F.array(F.floor(u("ev") * 11).cast("int")).alias("evidence_ids"), spans.alias("unsupported_spans"), err.alias("error_type")))
     return e.select("event_id", F.concat(F.lit("an event of type "), "event_type").alias("claim"), pay.alias("json"))

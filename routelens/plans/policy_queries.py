@@ -152,12 +152,15 @@ def beta_choice(spark, sf):
     return R.choose_beta(R.beta_ledger(d.filter("side = 'val'"), POOL, costs, BETA_GRID), EPS)
 
 
-@query("beta_choice_product", "R6", sql("""
-SELECT arg_max(beta, (g, -beta)) AS beta, round(max(g),6) AS gain FROM (SELECT beta, round(coalesce((auroc-a0)/nullif(a1-a0,0),0)*coalesce((m1-mean_ms)/nullif(m1-m0,0),0),12) AS g
- FROM ledger, (SELECT min(auroc) AS a0, max(auroc) AS a1, min(mean_ms) AS m0, max(mean_ms) AS m1 FROM ledger))""", *_SETUP, *_LEDGER))
+@query("beta_choice_product", "R6 R1", sql("""
+SELECT arg_max(beta, (g, -beta)) AS beta, round(max(g),6) AS gain FROM (SELECT beta, round(greatest((auroc-qf)/(qg-qf),0)*greatest((cg-mean_ms)/(cg-cf),0),12) AS g FROM ledger,
+ (SELECT arg_min(auroc, cost) AS qf, min(cost) AS cf FROM act), (SELECT max(auroc) AS qg, arg_max(cost, (auroc, -i)) AS cg FROM act WHERE cost>(SELECT min(cost) FROM act)))""", *_SETUP, *_LEDGER,
+    "ua AS (SELECT i, s AS p, label_supported FROM (SELECT label_supported, unnest([0,1,2]) AS i, unnest([s0,s1,s2]) AS s, unnest([a0,a1,a2]) AS a FROM base WHERE side='val') WHERE a)",
+    "act AS (SELECT x.i, auroc, [k0,k1,k2][x.i+1] AS cost FROM (" + _AUC.format(k="i", t="ua", y="label_supported") + ") x, costs)"))
 def beta_choice_product(spark, sf):
     d, costs = setup(spark, sf)
-    return rounded(R.choose_beta_product(R.beta_ledger(d.filter("side = 'val'"), POOL, costs, BETA_GRID)))
+    val, price = d.filter("side = 'val'"), R.mean_costs(d.filter("side = 'fit'"), POOL).first().asDict()
+    return rounded(R.choose_beta_product(R.beta_ledger(val, POOL, costs, BETA_GRID), R.action_aurocs(val, POOL), price))
 
 
 @query("route_rows", "R3 R4 R22", sql("""

@@ -180,8 +180,8 @@ def test_judge_rules(spark):
 
     cases = {
         "ok": row(), "bad_label": row(label="X"), "bad_probability": row(support_probability=1.5), "bad_evidence": row(evidence_ids=[0, 1, 2, 3]),
-        "ungrounded_span": row(label="UNSUPPORTED", error_type="NUMBER", unsupported_spans=["zzz"]), "label_error_mismatch": row(error_type="NUMBER"),
-        "supported_with_span": row(unsupported_spans=["cat"]), "unsupported_without_span": row(label="UNSUPPORTED", error_type="NUMBER"),
+        "ungrounded_span": row(label="UNSUPPORTED", error_type="MIXED", unsupported_spans=["zzz"]), "label_error_mismatch": row(error_type="MIXED"),
+        "supported_with_span": row(unsupported_spans=["cat"]), "unsupported_without_span": row(label="UNSUPPORTED", error_type="MIXED"),
     }
     df = spark.createDataFrame([(k, json.dumps(v)) for k, v in cases.items()], "k string, j string")
     p = F.from_json("j", G.PAYLOAD)
