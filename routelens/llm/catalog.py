@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from routelens.llm import order_minhash
+from routelens.llm import language_id, order_minhash, quality_gam, token_counts, toxicity_crf
 
 QUERIES: dict[str, Callable] = {
+    "op1_quality_gam": quality_gam.op1_quality_gam,
     "op3_order_minhash_near_dedup": order_minhash.op3_order_minhash_near_dedup,
+    "op5_language_id": language_id.op5_language_id,
+    "op8_toxicity_crf": toxicity_crf.op8_toxicity_crf,
+    "op10_token_counts": token_counts.op10_token_counts,
 }
 
 ORACLES: dict[str, str] = {}

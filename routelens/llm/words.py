@@ -69,12 +69,13 @@ def parts(texts: pa.Array, size: int = PART_BYTES) -> Iterator[tuple[int, int, n
         lo = hi
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end, row and 64-bit hash of every word, in text order."""
+def word_spans(data: np.ndarray, offsets: np.ndarray, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, ...]:
+    """Start, end, row and 64-bit hash of every word, in text order; then a hash of its first bytes for each of ``prefixes``."""
     n = len(data)
+    none = tuple(np.zeros(0, np.uint64) for _ in range(len(prefixes) + 1))
     if not n:
         z = np.zeros(0, np.int64)
-        return z, z, z, np.zeros(0, np.uint64)
+        return z, z, z, *none
     low = _LOWER[data]
     inside = low != 0
     edge = offsets[(offsets > 0) & (offsets < n)]
@@ -91,10 +92,11 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     end = np.flatnonzero(inside & ~after) + 1
     row = np.searchsorted(offsets, start, side="right") - 1
     if not len(start):
-        return start, end, row, np.zeros(0, np.uint64)
+        return start, end, row, *none
     longest = int((end - start).max())
     within = np.arange(n, dtype=np.int64) - start[np.maximum(np.cumsum(first) - 1, 0)]
     np.clip(within, 0, longest - 1, out=within)
     value = low.astype(np.uint64) * powers(longest)[within]
     hashed = mix(np.add.reduceat(value, start) + (end - start).astype(np.uint64))
-    return start, end, row, hashed
+    cut = [mix(np.add.reduceat(np.where(within < p, value, np.uint64(0)), start) + np.uint64(p << 32)) for p in prefixes]
+    return start, end, row, hashed, *cut
