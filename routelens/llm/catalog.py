@@ -4,14 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from routelens.llm import language_id, order_minhash, quality_gam, token_counts, toxicity_crf
+from routelens.llm import language_id, order_minhash, quality_gam, range_shards, source_mix, token_counts, toxicity_crf, winnow
 
 QUERIES: dict[str, Callable] = {
     "op1_quality_gam": quality_gam.op1_quality_gam,
     "op3_order_minhash_near_dedup": order_minhash.op3_order_minhash_near_dedup,
+    "op4_source_mix": source_mix.op4_source_mix,
     "op5_language_id": language_id.op5_language_id,
+    "op6_range_shards": range_shards.op6_range_shards,
     "op8_toxicity_crf": toxicity_crf.op8_toxicity_crf,
+    "op9_winnow_decontamination": winnow.op9_winnow_decontamination,
     "op10_token_counts": token_counts.op10_token_counts,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_source_mix": source_mix.OP4_SQL,
+    "op9_winnow_decontamination": winnow.OP9_SQL,
+}

@@ -131,6 +131,19 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: list[str
     return rows.mapInArrow(run, schema)
 
 
+def identified(docs: DataFrame, model: tuple[list[str], np.ndarray], least: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` with a determined language and a score of at least ``least``."""
+    bounded_batches(docs.sparkSession)
+    langs, logp = model
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            best, score = score_texts(batch.column("text"), langs, logp)
+            yield batch.filter(pa.array([b != UNDETERMINED and s >= least for b, s in zip(best, score, strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     return fold(F.col(doc_id), 3) == 1
 
