@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from routelens.llm import language_id, order_minhash, quality_gam, range_shards, source_mix, token_counts, toxicity_crf, winnow
+from routelens.llm import hnsw, language_id, order_minhash, quality_gam, range_shards, source_mix, token_counts, toxicity_crf, winnow
 
 QUERIES: dict[str, Callable] = {
     "op1_quality_gam": quality_gam.op1_quality_gam,
+    "op2_hnsw_nearest": hnsw.op2_hnsw_nearest,
     "op3_order_minhash_near_dedup": order_minhash.op3_order_minhash_near_dedup,
     "op4_source_mix": source_mix.op4_source_mix,
     "op5_language_id": language_id.op5_language_id,
