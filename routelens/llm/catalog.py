@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from routelens.llm import hnsw, language_id, order_minhash, quality_gam, range_shards, source_mix, token_counts, toxicity_crf, winnow
+from routelens.llm import hnsw, language_id, order_minhash, pii_crf, quality_gam, range_shards, source_mix, token_counts, toxicity_crf, winnow
 
 QUERIES: dict[str, Callable] = {
     "op1_quality_gam": quality_gam.op1_quality_gam,
@@ -13,6 +13,7 @@ QUERIES: dict[str, Callable] = {
     "op4_source_mix": source_mix.op4_source_mix,
     "op5_language_id": language_id.op5_language_id,
     "op6_range_shards": range_shards.op6_range_shards,
+    "op7_pii_crf": pii_crf.op7_pii_crf,
     "op8_toxicity_crf": toxicity_crf.op8_toxicity_crf,
     "op9_winnow_decontamination": winnow.op9_winnow_decontamination,
     "op10_token_counts": token_counts.op10_token_counts,
