@@ -105,7 +105,7 @@ def score_texts(texts: pa.Array, langs: list[str], logp: np.ndarray) -> tuple[li
         if not langs:
             best += [UNDETERMINED] * (hi - lo)
             continue
-        total = np.stack([np.bincount(row, weights=logp[bucket, k], minlength=hi - lo) for k in range(len(langs))], axis=1)
+        total = np.stack([np.bincount(row, weights=logp[bucket, k], minlength=hi - lo) for k in range(len(langs))], axis=1).astype(float)
         total *= np.minimum(1.0, EVIDENCE / np.maximum(n, 1))[:, None]
         total = np.exp(total - total.max(axis=1, keepdims=True))
         total /= total.sum(axis=1, keepdims=True)

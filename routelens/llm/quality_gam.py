@@ -115,7 +115,7 @@ def features_of(texts: pa.Array) -> np.ndarray:
             whole = np.add.reduceat(mix(hashed + order), first)
             lines = np.bincount(row[first], minlength=n)
             f["line_words"] = np.log1p(count / np.maximum(lines, 1))
-            f["repeated_lines"] = 1 - _distinct(row[first], whole, n)[0] / np.maximum(lines, 1)
+            f["repeated_lines"] = np.where(lines > 0, 1 - _distinct(row[first], whole, n)[0] / np.maximum(lines, 1), 0)
         out[lo:hi] = np.stack([f[name] for name in FEATURES], axis=1)
     out[~np.isfinite(out)] = 0
     return out

@@ -6,7 +6,8 @@ and expectation-maximisation shares every toxic document out among its candidate
 a family of copies lose their share to words that explain many different documents, and are not picked. Occurrences of picked
 words in toxic documents are the toxic tokens of the training sentences (at most ``FIT_SENTENCES`` of each kind). The
 field has hashed word, neighbour-word and length features and two tags; forward-backward marginals of every token of
-every whole text give a document's expected number of toxic tokens and its largest marginal, and a logistic curve over
+every whole text give a document's expected number of toxic tokens (from marginals of at least ``FLOOR``, so that
+long texts do not add up traces) and its largest marginal, and a logistic curve over
 these two, fitted on the same bounded sample, is the score. Tokens with a marginal of at least one half are reported as
 spans of code points.
 
@@ -32,15 +33,17 @@ from routelens.llm.tables import bounded_batches, fold, table
 from routelens.llm.words import mix, parts, word_spans
 
 FIT_ROWS = 4_000
-FIT_SENTENCES = 10_000
+FIT_SENTENCES = 6_000
 CANDIDATES = 2_000
-MIN_DOCS = 4
+MIN_DOCS = 3
+MIN_EXPLAINED = 1.0
 MIN_RATIO = 12.0
 MIN_SHARE = 0.005
 SENTENCE = 256
 BUCKETS = 1 << 20
 PREFIXES = (4, 5, 6)
 ACCEPT = 0.5
+FLOOR = 0.2
 
 _ENDS = np.zeros(256, bool)
 _ENDS[list(b".!?\n")] = True
@@ -71,9 +74,9 @@ def word_features(units: np.ndarray, length: np.ndarray, lengths: np.ndarray) ->
     before[1:] = np.where(follows[1:], units[:-1, 0], np.uint64(0))
     after[:-1] = np.where(follows[1:], units[1:, 0], np.uint64(0))
     slots = [units[:, 0], *units.T, before, after]
-    ids = np.empty((n, len(slots) + 2), np.int64)
+    ids = np.empty((n, len(slots) + 2), np.int32)
     for slot, x in enumerate(slots):
-        ids[:, slot] = (mix(x + np.uint64(slot)) & np.uint64(BUCKETS - 1)).astype(np.int64)
+        ids[:, slot] = (mix(x + np.uint64(slot)) & np.uint64(BUCKETS - 1)).astype(np.int32)
     ids[:, -2] = BUCKETS + np.minimum(length, 31)
     ids[:, -1] = BUCKETS + 32
     return ids
@@ -109,7 +112,7 @@ def pick_units(rows: pd.DataFrame, rounds: int = 60) -> set[int]:
         part = share[word]
         part /= np.bincount(doc, part)[doc]
         share = np.bincount(word, part, len(names))
-    return set(names[share >= max(MIN_DOCS, MIN_SHARE * len(docs))].tolist())
+    return set(names[share >= max(MIN_EXPLAINED, MIN_SHARE * len(docs))].tolist())
 
 
 def _sentence_batches(picked: set[int]):
@@ -152,7 +155,7 @@ class ToxicityModel:
                 continue
             size = sentences(data, offsets, start, row)
             p = self.field.marginals(self.field.emissions(word_features(units, end - start, size)), Chains(size))[0][:, 1]
-            out[lo:hi, 0] = np.bincount(row, p, hi - lo)
+            out[lo:hi, 0] = np.bincount(row, np.where(p >= FLOOR, p, 0.0), hi - lo)
             np.maximum.at(out[lo:hi, 1], row, p)
             if spans and (p >= 0.5).any():
                 point = np.cumsum((data & 0xC0) != 0x80)  # code points up to and with each byte
