@@ -19,18 +19,19 @@ class RouterConfig:
 
     pool: tuple[str, ...] = ("v_cheap", "v_mid", "v_high")
     features: tuple[str, ...] = (
-        "claim_token_count",
         "structured_source_line_ratio",
-        "bm25_top1",
-        "tfidf_top1",
-        "word_coverage",
-        "evidence_span_normalized",
+        "bm25_mean3",
+        "entity_coverage",
+        "entity_value_colocation",
+        "year_count",
+        "conflicting_value_rate",
     )
     beta_grid: tuple[float, ...] = BETA_GRID
     quality_tolerance: float = 0.005
     validation_fraction: float = 0.2
     folds: int = 10
     latency_ceiling: float = 1.5
-    num_trees: int = 20
-    max_depth: int = 6
-    draws: int = 50
+    num_trees: int = 200
+    max_depth: int = 10
+    min_leaf: int = 5
+    draws: int = 2000

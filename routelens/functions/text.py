@@ -15,7 +15,7 @@ WORD = r"[\p{L}\p{N}_]+"
 NUMBER = r"(?U)(?<!\w)\d[\d,]*(?:\.\d+)?(?!\w)"
 YEAR = r"(?U)\b(?:19|20)\d{2}\b"
 ENTITY = r"(?U)\b[A-Z][A-Za-z0-9'-]+\b"
-DISPLAY = r"[A-Za-z][A-Za-z0-9'-]*|[0-9][0-9,]*(?:\.[0-9]+)?"
+DISPLAY = r"[A-Za-z][A-Za-z0-9'-]*|\d[\d,]*(?:\.\d+)?"
 VALUE = (r"(?i)(?U)(?<!\w)(?:[$£€]\s*)?\d[\d,]*(?:\.\d+)?(?:\s*(?:%|percent|million|billion|thousand|km|kg|miles?|"
          r"years?|months?|days?|hours?|minutes?))?(?!\w)")
 DATE = (r"(?i)(?U)\b(?:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|jun(?:e)?|jul(?:y)?|aug(?:ust)?|"
@@ -65,8 +65,8 @@ def found(x: Column, pattern: str) -> Column:
 
 
 def tokens(x: Column) -> Column:
-    """Lower-cased ASCII word tokens."""
-    return found(F.lower(x), r"[a-z0-9']+")
+    """ASCII word tokens, matched first and lower-cased then: letters that fold into ASCII do not become tokens."""
+    return F.transform(found(x, TOKEN), F.lower)
 
 
 def unicode_words(x: Column) -> Column:

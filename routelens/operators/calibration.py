@@ -18,16 +18,13 @@ def fit_platt(df: DataFrame, score: str, label: str = "label_supported", availab
     """(intercept, slope) of an L2-penalised logistic fit on the logit of the clipped score.
 
     Only available rows take part. The penalty equals C = 1 of the summed loss, so it is 1/n of
-    the mean loss. A one-class fit gives slope 0 and the smoothed class rate.
+    the mean loss. A one-class fit gives slope 0 and exactly that class; no rows give one half.
     """
     d = df if available is None else df.filter(F.col(available))
     d = d.filter(F.col(score).isNotNull()).select(F.col(label).cast("double").alias("label"), logit(F.col(score)).alias("z"))
     n, pos = d.agg(F.count("*"), F.sum("label")).first()
     if not n or pos in (0.0, float(n)):
-        import math
-
-        rate = min(max((pos or 0.0) / n if n else 0.5, 1e-6), 1 - 1e-6)
-        return math.log(rate / (1 - rate)), 0.0
+        return (0.0 if not n else float("inf") if pos else float("-inf")), 0.0
     v = VectorAssembler(inputCols=["z"], outputCol="features").transform(d)
     m = LogisticRegression(regParam=1.0 / n, elasticNetParam=0.0, standardization=False, maxIter=30, tol=1e-9).fit(v)
     return float(m.intercept), float(m.coefficients[0])

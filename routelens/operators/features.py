@@ -58,9 +58,9 @@ def bm25(queries: DataFrame, post: DataFrame, ids: Sequence[str], key: str = "do
     return j.groupBy(*ids, "sidx").agg(F.sum(part).alias("score"))
 
 
-def top_three(scores: DataFrame, ids: Sequence[str]) -> DataFrame:
-    """The three best sentences (score desc, position asc) folded into one row per query."""
-    w = W.partitionBy(*ids).orderBy(F.round("score", 12).desc(), "sidx")
+def top_three(scores: DataFrame, ids: Sequence[str], last_wins: bool = False) -> DataFrame:
+    """The three best sentences folded into one row per query; of equal scores the first position wins, or the last."""
+    w = W.partitionBy(*ids).orderBy(F.round("score", 12).desc(), F.desc("sidx") if last_wins else F.asc("sidx"))
     r = scores.withColumn("_r", F.row_number().over(w)).filter("_r <= 3")
     at = lambda c, i: F.max(F.when(F.col("_r") == i, F.col(c)))
     return r.groupBy(*ids).agg(
@@ -69,14 +69,14 @@ def top_three(scores: DataFrame, ids: Sequence[str]) -> DataFrame:
     ).withColumn("top", F.transform("_top", lambda x: x["sidx"])).drop("_top")
 
 
-def top_columns(name: str, n: Column) -> list[Column]:
-    """Top-1, mean of top-3, gap and normalised position; sentences without a score count as zero."""
+def top_columns(name: str, n: Column, last_wins: bool = False) -> list[Column]:
+    """Top-1, mean of top-3, gap and position; sentences without a score count as zero, so without any all of them tie."""
     z = F.lit(0.0)
     return [
         F.coalesce("s1", z).alias(f"{name}_top1"),
         (F.coalesce("s_sum", z) / F.least(n, F.lit(3))).alias(f"{name}_mean3"),
         (F.coalesce("s1", z) - F.coalesce("s2", z)).alias(f"{name}_gap12"),
-        F.coalesce("i1", F.lit(0)).alias(f"{name}_index"),
+        F.coalesce("i1", n - 1 if last_wins else F.lit(0)).alias(f"{name}_index"),
     ]
 
 
@@ -84,13 +84,13 @@ def _query_terms(pairs: DataFrame, toks: Column) -> DataFrame:
     return pairs.select("pair_id", "doc_key", F.explode(toks).alias("term")).groupBy("pair_id", "doc_key", "term").agg(F.count("*").alias("qf"))
 
 
-def bm25_features(pairs: DataFrame, sent: DataFrame | None = None) -> DataFrame:
+def bm25_features(pairs: DataFrame, sent: DataFrame | None = None, last_wins: bool = False) -> DataFrame:
     """The whole summary as one query against the source's sentences."""
     sent = sentence_table(sources(pairs)) if sent is None else sent
-    top = top_three(bm25(_query_terms(pairs, X.tokens(F.col("summary"))), postings(sent), ["pair_id"]), ["pair_id"])
+    top = top_three(bm25(_query_terms(pairs, X.tokens(F.col("summary"))), postings(sent), ["pair_id"]), ["pair_id"], last_wins)
     n = F.size(X.sentences(F.col("source")))
     base = pairs.select("pair_id", n.alias("n_sent"))
-    return base.join(top, "pair_id", "left").select("pair_id", "n_sent", *top_columns("bm25", F.col("n_sent")))
+    return base.join(top, "pair_id", "left").select("pair_id", "n_sent", *top_columns("bm25", F.col("n_sent"), last_wins))
 
 
 def ngrams(x: Column) -> Column:
@@ -168,11 +168,11 @@ def local_features(pairs: DataFrame) -> DataFrame:
 
 
 def retrieval_features(pairs: DataFrame) -> DataFrame:
-    """Top-1 / top-3 / gap of the three retrievers, their agreement and normalised positions."""
-    out = bm25_features(pairs)
+    """Top-1 / top-3 / gap of the three retrievers, their agreement and normalised positions; the last of equal sentences wins."""
+    out = bm25_features(pairs, last_wins=True)
     for name, scores in (("tfidf", tfidf_scores(pairs)), ("rougeL", rouge_scores(pairs))):
-        top = top_three(scores, ["pair_id"])
-        out = out.join(top, "pair_id", "left").select(*out.columns, *top_columns(name, F.col("n_sent")))
+        top = top_three(scores, ["pair_id"], last_wins=True)
+        out = out.join(top, "pair_id", "left").select(*out.columns, *top_columns(name, F.col("n_sent"), last_wins=True))
     names = ("bm25", "tfidf", "rougeL")
     b, t, r = (F.col(f"{n}_index") for n in names)
     last = F.greatest(F.col("n_sent") - 1, F.lit(1))

@@ -13,11 +13,14 @@ from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearReg
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from routelens.config import RouterConfig
 from routelens.functions.expr import clip
 from routelens.operators import routing as R
 
+FOREST = RouterConfig()
+
 LEARNERS = {
-    "forest": lambda seed, kw: RandomForestRegressor(seed=seed, featureSubsetStrategy="sqrt", **kw),
+    "forest": lambda seed, kw: RandomForestRegressor(seed=seed, featureSubsetStrategy="0.5", **kw),
     "boosted": lambda seed, kw: GBTRegressor(seed=seed, maxIter=20, maxDepth=4, stepSize=0.06),
     "ridge": lambda seed, kw: LinearRegression(regParam=1.0, elasticNetParam=0.0, solver="normal"),
     "tree": lambda seed, kw: DecisionTreeRegressor(seed=seed, maxDepth=10, minInstancesPerNode=5),
@@ -30,9 +33,12 @@ def assemble(df: DataFrame, features: Sequence[str]) -> DataFrame:
 
 def fit_heads(fit: DataFrame, pool: Sequence[str], features: Sequence[str], kind="regret", learner="forest", seed=17,
               threads: int = 3, **params) -> dict:
-    """One regressor per action on its available rows; fits run side by side from a small pool."""
-    kw = {"numTrees": 20, "maxDepth": 6, **params}
-    x = assemble(fit.select("*", *[t.alias(f"target__{a}") for a, t in zip(pool, R.targets(pool, kind))]), features).persist()
+    """One regressor per action on its available rows; fits run side by side from a small pool.
+
+    ``kind`` names a target, or is a list with one target expression for each action.
+    """
+    kw = {"numTrees": FOREST.num_trees, "maxDepth": FOREST.max_depth, "minInstancesPerNode": FOREST.min_leaf, **params}
+    x = assemble(fit.select("*", *[t.alias(f"target__{a}") for a, t in zip(pool, R.targets(pool, kind) if isinstance(kind, str) else kind)]), features).persist()
 
     def one(a):
         est = LEARNERS[learner](seed, kw).setFeaturesCol("features").setLabelCol(f"target__{a}").setPredictionCol(f"head__{a}")
@@ -58,7 +64,7 @@ def fit_classifier(fit: DataFrame, features: Sequence[str], target, name: str, l
     rate, lo, hi = x.agg(F.avg("_t"), F.min("_t"), F.max("_t")).first()
     if lo == hi:
         return 0.5 if rate is None else float(rate)
-    kw = {"numTrees": 20, "maxDepth": 6, **params}
+    kw = {"numTrees": FOREST.num_trees, "maxDepth": FOREST.max_depth, "minInstancesPerNode": FOREST.min_leaf, **params}
     est = RandomForestClassifier(seed=seed, **kw) if learner == "forest" else GBTClassifier(seed=seed, maxIter=10, maxDepth=4)
     est = est.setFeaturesCol("features").setLabelCol("_t").setProbabilityCol(f"_p_{name}").setRawPredictionCol(f"_r_{name}").setPredictionCol(f"_c_{name}")
     if weight:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -67,3 +67,13 @@ def completeness(predictions: DataFrame, expected: DataFrame, keys: Sequence[str
     j = got.join(want, list(keys), "full_outer")
     return j.agg(F.count("w").alias("expected"), F.count("g").alias("found"),
                  F.count_if(F.col("g").isNull()).alias("missing"), F.count_if(F.col("w").isNull()).alias("unknown"), F.count_if(F.col("g") > 1).alias("duplicated"))
+
+
+def rolled_up_status(status: Column) -> Column:
+    """One status for all parts of a verifier: finished or skipped only as a whole; work in progress shows first."""
+    every = lambda x: F.bool_and(status == x)
+    some = lambda x: F.bool_or(status == x)
+    return (
+        F.when(every("SCORED"), "SCORED").when(every("SKIPPED"), "SKIPPED").when(some("RUNNING"), "RUNNING")
+        .when(some("SCORED"), "PARTIAL").when(some("FAILED"), "FAILED").otherwise("PENDING")
+    )

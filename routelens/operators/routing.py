@@ -283,6 +283,11 @@ def escalation(df: DataFrame, pool, costs, kind: str, beta: Column | None = None
                     E.pick(lat, F.col("_next")).alias("l2"), conf.alias("conf")).drop("_first", "_next")
 
 
+def latency_ceiling(verifier_ms: Column, feature_ms: Column, factor: float = 1.5) -> Column:
+    """Verifier time that keeps a row's whole latency, features included, within ``factor`` of one call's."""
+    return factor * (verifier_ms + feature_ms) - feature_ms
+
+
 def choose_tau(val: DataFrame, ceiling: float, points: int = 25, upper: float = 0.6, label="label_supported") -> DataFrame:
     """Best validation AUROC among the signal quantiles whose mean latency respects the ceiling."""
     probs = [upper * i / (points - 1) for i in range(points)]

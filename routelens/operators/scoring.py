@@ -28,19 +28,40 @@ def pending(inputs: DataFrame, cached: DataFrame) -> DataFrame:
     return inputs.join(done, ["episode_key", "verifier"], "left_anti")
 
 
+OVERFLOW, FAILURE, UNPARSED = "context_overflow", "scorer_error", "parse_failure"
+
+
+def _outcomes(score: Callable, batch: pd.DataFrame) -> pd.DataFrame:
+    """(score, parse_ok, reason) of a batch; a batch that raises is scored row by row, so only the failing rows are lost."""
+    try:
+        got = score(batch)
+    except Exception as e:
+        if len(batch) == 1:
+            return pd.DataFrame({"score": [None], "parse_ok": [False], "reason": [f"{FAILURE}: {type(e).__name__}"]}, index=batch.index)
+        return pd.concat([_outcomes(score, batch.iloc[[i]]) for i in range(len(batch))])
+    if isinstance(got, pd.Series):  # a missing score is an input that did not fit
+        got = pd.DataFrame({"score": got, "parse_ok": True, "reason": None}, index=batch.index)
+    missing = got["score"].isna()
+    reason = got["reason"].where(got["reason"].notna(), None)
+    return got.assign(reason=[None if not m else r or (OVERFLOW if ok else UNPARSED) for m, ok, r in zip(missing, got["parse_ok"], reason, strict=True)])
+
+
 def score_rows(rows: DataFrame, factory: Callable, verifier: str) -> DataFrame:
-    """Run one scorer over its rows; a failing row becomes an unavailable result, not a failed job."""
+    """Run one scorer over its rows; a failing row becomes an unavailable result with a reason, not a failed job.
+
+    The scorer returns a series of scores, or a frame with score, parse_ok and reason. Rows that failed or could not be
+    parsed are not ``parse_ok`` and are pending again in the next run.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         score = factory()
         for b in batches:
-            out = pd.DataFrame({"episode_key": b["episode_key"], "verifier": verifier, "score": 0.5, "parse_ok": True, "available": False, "reason": "context_overflow"})
-            got = score(b)
-            ok = got.notna()
-            out.loc[ok.values, "score"] = got[ok].values
-            out.loc[ok.values, "available"] = True
-            out.loc[ok.values, "reason"] = None
-            yield out
+            got = _outcomes(score, b)
+            ok = got["score"].notna()
+            yield pd.DataFrame({
+                "episode_key": b["episode_key"], "verifier": verifier, "score": got["score"].astype("float64").fillna(0.5),
+                "parse_ok": got["parse_ok"].astype(bool), "available": ok, "reason": got["reason"],
+            })
 
     return rows.select("episode_key", "source", "summary").repartition("episode_key").mapInPandas(run, RESULT)
 

@@ -26,15 +26,19 @@ def cut_table(df: DataFrame, keys: Sequence[str], score="p", label="y") -> DataF
 
 
 def youden_threshold(df, keys, score="p", label="y") -> DataFrame:
-    """First (highest) score that maximises TPR - FPR, clipped to [0, 1]; 0.5 for one class."""
+    """First (highest) score that maximises TPR - FPR, clipped to [0, 1]; 0.5 for one class.
+
+    The curve starts above the top score, where the difference is 0: without a gain nothing is flagged and the threshold is 1.
+    """
     cuts = cut_table(df, keys, score, label)
     P, N = F.col("tp") + F.col("fn"), F.col("fp") + F.col("tn")
     j = F.col("tp") / P - F.col("fp") / N
     best = cuts.groupBy(*keys).agg(
         F.max_by("threshold", F.struct(F.round(F.when((P > 0) & (N > 0), j), 12), F.col("threshold"))).alias("t"),
+        F.max(F.round(F.when((P > 0) & (N > 0), j), 12)).alias("gain"),
         F.max((P > 0) & (N > 0)).alias("two"),
     )
-    value = F.when(F.col("two"), F.least(F.greatest(F.col("t"), F.lit(0.0)), F.lit(1.0))).otherwise(F.lit(0.5))
+    value = F.when(F.col("gain") <= 0, F.lit(1.0)).when(F.col("two"), F.least(F.greatest(F.col("t"), F.lit(0.0)), F.lit(1.0))).otherwise(F.lit(0.5))
     return best.select(*keys, value.alias("threshold"))
 
 

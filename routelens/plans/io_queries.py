@@ -23,7 +23,7 @@ CONV = T.StructType([T.StructField("conv_id", T.LongType()), T.StructField("turn
 def jsonl_scan(spark, sf):
     path = scratch_path(spark, "jsonl")
     table(spark, sf, "conversations").write.json(path)
-    return IO.read_jsonl(spark, path, CONV).filter("_corrupt_record is null").select("conv_id", "turn", "role", F.length("text").cast("bigint").alias("n"))
+    return IO.strict(IO.read_jsonl(spark, path, CONV).persist()).select("conv_id", "turn", "role", F.length("text").cast("bigint").alias("n"))
 
 
 @query("keyed_archive_scan", "S2", "SELECT conv_id::varchar AS doc_key, 'L'||(count(*)%2) AS label, count(*)::int AS n_sentences, sha256(string_agg(text,' ' ORDER BY turn)) AS text_hash FROM conversations GROUP BY conv_id")
@@ -54,22 +54,28 @@ def result_csv_scan(spark, sf):
 
 @query("prediction_store_resume", "S7 S8 S9 X16 X19", with_sql("SELECT verifier, dataset_key, count(*) AS n_rows FROM scores GROUP BY ALL", "scores"))
 def prediction_store_resume(spark, sf):
-    """Parts written in two runs: the second writes only the configurations the first left out."""
+    """Parts written in two runs: the second writes the configurations that the first left out or broke off."""
     path = scratch_path(spark, "predictions")
     s = scores(spark, sf).select("verifier", "dataset_key", "episode_key", "score")
     keys = ["verifier", "dataset_key"]
-    IO.write_table(s.filter("dataset_key in ('de', 'en')"), path, keys)
-    todo = IO.unfinished(s.select(*keys).distinct(), spark.read.parquet(path), keys)
+    IO.write_table(s.filter("dataset_key in ('de', 'en')").filter(~((F.col("dataset_key") == "de") & (uniform("lost", F.col("episode_key")) < 0.5))), path, keys)
+    todo = IO.unfinished(s, spark.read.parquet(path), keys, "episode_key")
     IO.write_table(s.join(todo, keys), path, keys)
     return spark.read.parquet(path).groupBy(*keys).agg(F.count("*").alias("n_rows"))
 
 
-@query("file_hash_inventory", "S11")
+@query("file_hash_inventory", "S11", with_sql("SELECT count(DISTINCT verifier)+1 AS files, 1::bigint AS missing, 1::bigint AS added, 1::bigint AS changed FROM scores", "scores"))
 def file_hash_inventory(spark, sf):
+    """One file a verifier is hashed; then one is lost, one is new and one has other rows."""
     path = scratch_path(spark, "inventory")
-    scores(spark, sf).write.parquet(path)
-    inv = IO.file_inventory(spark, path)
-    return IO.verify_inventory(inv, IO.file_inventory(spark, path))
+    rows = scores(spark, sf).select("verifier", "episode_key", "score").persist()
+    for step in ("recorded", "now"):
+        changed = F.col("verifier").eqNullSafe("v_high") & F.lit(step == "now")
+        kept = rows.withColumn("score", F.when(changed, F.col("score") + 1).otherwise(F.col("score")))
+        names = {"recorded": ["v_cheap", "v_high", "v_mid"], "now": ["v_high", "v_mid", "v_new"]}[step]
+        for name in names:
+            kept.filter(F.col("verifier") == name.replace("v_new", "v_cheap")).orderBy("episode_key").coalesce(1).write.csv(f"{path}/{step}/{name}")
+    return IO.verify_inventory(*[IO.folder_inventory(spark, f"{path}/{step}") for step in ("recorded", "now")])
 
 
 @query("score_manifest", "S12", with_sql("""
@@ -107,7 +113,7 @@ def payloads(spark, sf):
     u = lambda t: uniform(t, F.col("event_id"))
     label = F.when(u("lab") < 0.45, "SUPPORTED").when(u("lab") < 0.95, "UNSUPPORTED").otherwise("MAYBE")
     err = F.when(u("err") < 0.5, "NONE").when(u("err") < 0.95, "MIXED").otherwise("STRANGE")
-    spans = F.when(u("span") < 0.4, F.array().cast("array<string>")).when(u("span") < 0.8, F.array(F.col("event_type"))).otherwise(F.array(F.lit("absent")))
+    spans = F.when(u("span") < 0.4, F.array().cast("array<string>")).when(u("span") < 0.8, F.array(F.upper("event_type"))).otherwise(F.array(F.lit("absent")))
     pay = F.to_json(F.struct(label.alias("label"), (u("prob") * 1.05).alias("support_probability"), F.array(F.floor(u("ev") * 11).cast("int")).alias("evidence_ids"), spans.alias("unsupported_spans"), err.alias("error_type")))
     return e.select("event_id", F.concat(F.lit("an event of type "), "event_type").alias("claim"), pay.alias("json"))
 

@@ -257,7 +257,7 @@ _CUTS = """cuts AS (SELECT verifier, p AS t, npos, nneg, sum(pos) OVER w AS tp,
 
 
 @query("threshold_youden", "Q3", calls_sql(
-    "SELECT verifier, round(arg_max(t, (round(tp/npos-fp/nneg,12), t)),6) AS threshold FROM cuts GROUP BY verifier", _CUTS))
+    "SELECT verifier, CASE WHEN max(round(tp/npos-fp/nneg,12))<=0 THEN 1.0 ELSE round(arg_max(t, (round(tp/npos-fp/nneg,12), t)),6) END AS threshold FROM cuts GROUP BY verifier", _CUTS))
 def threshold_youden(spark, sf):
     return rounded(Q.youden_threshold(calls(spark, sf), ["verifier"]))
 

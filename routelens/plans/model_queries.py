@@ -21,6 +21,8 @@ from routelens.plans.policy_queries import BANDS, EPS, PRICE, sides
 from routelens.plans.registry import query
 from routelens.plans.views import POOL, table
 
+ROTATIONS = 10
+PROBE_FOLDS = 5
 FEATURES = ("log_chars", "n_lines", "is_de", "is_en", "is_es", "is_fr")
 
 
@@ -33,6 +35,11 @@ def featured(spark, sf):
     return s.withColumns({f"is_{c}": (F.col("dataset_key") == c).cast("double") for c in ("de", "en", "es", "fr")}).persist()
 
 
+def corpora(d) -> list[str]:
+    """The corpora that occur; they are a handful of names."""
+    return sorted(r[0] for r in d.select("dataset_key").distinct().collect())
+
+
 def part(d, side):
     return d.filter(F.col("side") == side)
 
@@ -168,9 +175,12 @@ def pairwise_router(spark, sf):
 def reward_regression(spark, sf):
     """Heads on the discounted correctness itself."""
     d = featured(spark, sf)
-    x, _ = fitted(d, kind="correctness", learner="ridge")
     costs = R.one_row(R.mean_costs(part(d, "fit"), POOL), POOL)
-    return rounded(scored(R.select_action(part(x, "test"), POOL, R.utilities(POOL, costs, F.lit(0.4))), "reward"))
+    c = K.apply_calibrators(d, K.fit_calibrators(part(d, "fit"), POOL))
+    factors = E.discounts(F.lit(0.4), costs)
+    rewards = [t * f for t, f in zip(R.targets(POOL, "correctness"), factors, strict=True)]
+    x = H.apply_heads(c, H.fit_heads(part(c, "fit"), POOL, FEATURES, rewards, "ridge"), FEATURES)
+    return rounded(scored(R.select_action(part(x, "test"), POOL, R.cols("head", POOL)), "reward"))
 
 
 @query("hyper_parameter_search", "H8 H9")
@@ -243,7 +253,7 @@ def learned_deferral(spark, sf):
     wrong = (F.col(f"cal__{first}") >= 0.5).cast("int") != F.col("label_supported")
     x = H.apply_classifier(x, H.fit_classifier(part(x, "fit"), FEATURES, wrong, "risk", minInstancesPerNode=5), FEATURES, "risk")
     r, _ = route_with(x, costs)
-    ceiling = part(r, "val").agg(F.avg("verifier_ms") * 1.5).first()[0]
+    ceiling = part(r, "val").agg(F.avg(R.latency_ceiling(F.col("verifier_ms"), F.col("feature_latency_ms")))).first()[0]
     e = R.escalation(r, POOL, costs, "cascade").withColumn("conf", -F.col("risk")).persist()
     tau = R.choose_tau(part(e, "val"), ceiling).first()[0]
     return rounded(scored(R.escalate(e, F.lit(tau)), "learned_deferral"))
@@ -251,16 +261,16 @@ def learned_deferral(spark, sf):
 
 @query("corpus_identity_probe", "H15 X13")
 def corpus_identity_probe(spark, sf):
-    """Can the features tell the corpus? Grouped three-fold accuracy against the majority share."""
+    """Can the features tell the corpus? Grouped five-fold accuracy against the majority share."""
     d = featured(spark, sf)
-    x = d.join(S.fold_groups(d, 41, 3), "content_doc_key").persist()
+    x = d.join(S.fold_groups(d, 41, PROBE_FOLDS), "content_doc_key").persist()
     feats = ("log_chars", "n_lines")
     from pyspark.ml.feature import StringIndexer
 
     idx = StringIndexer(inputCol="dataset_key", outputCol="ds").fit(x)
     x = H.assemble(idx.transform(x), feats)
     est = H.RandomForestClassifier(labelCol="ds", featuresCol="features", numTrees=10, maxDepth=5, seed=17)
-    out = stack([est.fit(x.filter(F.col("fold") != f)).transform(x.filter(F.col("fold") == f)).select("ds", "prediction") for f in range(3)])
+    out = stack([est.fit(x.filter(F.col("fold") != f)).transform(x.filter(F.col("fold") == f)).select("ds", "prediction") for f in range(PROBE_FOLDS)])
     top = x.groupBy("ds").count().agg((F.max("count") / F.sum("count")).alias("m")).first()[0]
     return rounded(out.agg(F.count("*").alias("n_rows"), F.avg((F.col("ds") == F.col("prediction")).cast("double")).alias("accuracy")).withColumn("majority", F.lit(top)))
 
@@ -283,16 +293,17 @@ def forest_prefix_curve(spark, sf):
 
 @query("rotation_protocol", "X2 F4")
 def rotation_protocol(spark, sf):
-    """Out-of-fold predictions over three rotations of group folds; every row is predicted once."""
+    """Out-of-fold predictions over ten rotations of group folds; every row is predicted once."""
     d = featured(spark, sf).drop("side")
-    x = d.join(S.fold_groups(d, 17, 3), "content_doc_key").persist()
+    x = d.join(S.fold_groups(d, 17, ROTATIONS), "content_doc_key").persist()
+
     def rotation(t):
-        gap = F.pmod(F.col("fold") - F.lit(t), F.lit(3))
+        gap = F.pmod(F.col("fold") - F.lit(t), F.lit(ROTATIONS))
         s = x.withColumn("side", F.when(gap == 0, "test").when(gap == 1, "val").otherwise("fit"))
         f, costs = fitted(s, learner="tree")
         return part(route_with(f, costs)[0], "test").withColumn("rotation", F.lit(t))
 
-    o = stack(side_by_side(rotation, range(3))).withColumn("system", F.lit("router"))
+    o = stack(side_by_side(rotation, range(ROTATIONS))).withColumn("system", F.lit("router"))
     return rounded(o.groupBy("system").agg(F.count("*").alias("n_rows"), F.count_distinct("episode_key").alias("episodes"), F.avg("verifier_ms").alias("mean_ms")).join(M.auroc(o, ["system"], "p", "label_supported"), "system"))
 
 
@@ -326,7 +337,7 @@ def per_corpus_training(spark, sf):
         x, costs = fitted(d.filter(F.col("dataset_key") == c), ("log_chars", "n_lines"), learner="tree")
         return scored(route_with(x, costs)[0], c)
 
-    out = side_by_side(corpus, ("de", "en", "es", "fr"))
+    out = side_by_side(corpus, corpora(d))
     fixed = M.auroc(calls(spark, sf).filter("role = 'test'"), ["dataset_key", "verifier"]).groupBy("dataset_key").agg(F.max_by("verifier", F.struct("auroc", "verifier")).alias("best_fixed"), F.max("auroc").alias("best_fixed_auroc"))
     return rounded(stack(out).join(fixed.withColumnRenamed("dataset_key", "system"), "system", "left"))
 
@@ -353,7 +364,7 @@ def learning_curve(spark, sf):
         x, costs = fitted(s, learner="tree")
         return scored(route_with(x, costs)[0], f"fraction_{frac}")
 
-    return rounded(stack(side_by_side(size, (0.25, 1.0))))
+    return rounded(stack(side_by_side(size, (0.1, 0.25, 0.5, 0.75, 1.0))))
 
 
 @query("few_shot_curve", "X14 F9 W11")
@@ -382,4 +393,4 @@ def leave_one_corpus_policies(spark, sf):
         x, costs = fitted(s, ("log_chars", "n_lines"), learner="tree")
         return scored(route_with(x, costs)[0], c)
 
-    return rounded(stack(side_by_side(heldout, ("de", "fr"))))
+    return rounded(stack(side_by_side(heldout, corpora(d))))

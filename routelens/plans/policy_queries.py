@@ -358,7 +358,7 @@ def _escalated(spark, sf, kind):
     d, costs = setup(spark, sf)
     beta = F.lit(chosen_beta(d, costs))
     r = routed(d, costs, beta)
-    ref = r.filter("side = 'val'").agg(F.avg("verifier_ms") * 1.5).first()[0]
+    ref = r.filter("side = 'val'").agg(F.avg(R.latency_ceiling(F.col("verifier_ms"), F.col("feature_latency_ms")))).first()[0]
     x = R.escalation(r, POOL, costs, kind, beta).persist()
     tau = R.choose_tau(x.filter("side = 'val'"), ref).first()[0]
     e = R.escalate(x.filter("side = 'test'").withColumn("tau", F.lit(tau)), F.col("tau"))
@@ -381,10 +381,10 @@ def _esc_sql(kind: str) -> tuple[str, list[str]]:
     views = [
         *_ROUTED,
         f"e0 AS (SELECT *, coalesce({nxt},{first}) AS nx FROM routed)",
-        f"e1 AS (SELECT side, label_supported, vms, {p1} AS p1, {p2} AS p2, {'l0' if kind == 'cascade' else 'vms'} AS b1, {pick('l', 'nx')} AS b2, {conf} AS conf FROM e0)",
+        f"e1 AS (SELECT side, label_supported, vms, {p1} AS p1, {p2} AS p2, {'l0' if kind == 'cascade' else 'vms'} AS b1, feature_latency_ms AS fms, {pick('l', 'nx')} AS b2, {conf} AS conf FROM e0)",
         "taus AS (SELECT DISTINCT round(unnest(q),9) AS tau FROM (SELECT quantile_cont(conf, [" + ",".join(f"{0.6 * i / 24!r}::double" for i in range(25)) + "]) AS q FROM e1 WHERE side='val'))",
         "ev AS (SELECT tau, label_supported, CASE WHEN conf<tau THEN p2 ELSE p1 END AS p, b1+CASE WHEN conf<tau THEN b2 ELSE 0 END AS ms FROM e1, taus WHERE side='val')",
-        "tl AS (SELECT tau, auroc FROM (" + _AUC.format(k="tau", t="ev", y="label_supported") + ") JOIN (SELECT tau, avg(ms) AS m FROM ev GROUP BY 1) USING (tau) WHERE m<=(SELECT 1.5::double*avg(vms) FROM e1 WHERE side='val'))",
+        "tl AS (SELECT tau, auroc FROM (" + _AUC.format(k="tau", t="ev", y="label_supported") + ") JOIN (SELECT tau, avg(ms) AS m FROM ev GROUP BY 1) USING (tau) WHERE m<=(SELECT avg(1.5::double*(vms+fms)-fms) FROM e1 WHERE side='val'))",
         "tb AS (SELECT coalesce(arg_max(tau, (round(auroc,12), -tau)),0) AS tau FROM tl)",
         f"ee AS (SELECT '{kind}' AS system, tau, label_supported, CASE WHEN conf<tau THEN p2 ELSE p1 END AS p, b1+CASE WHEN conf<tau THEN b2 ELSE 0 END AS ms, 1+(conf<tau)::int AS calls FROM e1, tb WHERE side='test')",
         "au AS (" + _AUC.format(k="system", t="ee", y="label_supported") + ")",

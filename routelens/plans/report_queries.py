@@ -174,12 +174,12 @@ def stage_effect_table(spark, sf):
 
 
 @query("status_roll_up", "S13", with_sql("""
-SELECT verifier, CASE WHEN bool_and(st='SCORED') THEN 'SCORED' WHEN bool_or(st='FAILED') THEN 'FAILED' WHEN bool_or(st='PARTIAL') THEN 'PARTIAL' ELSE 'PENDING' END AS status, round(sum(rate*n)/sum(n),6) AS parse_rate, sum(n)::bigint AS n_rows FROM (
- SELECT verifier, dataset_key, count(*) AS n, avg(available::int) AS rate, CASE WHEN avg(available::int)>=0.985::double THEN 'SCORED' WHEN avg(available::int)>0.5::double THEN 'PARTIAL' ELSE 'FAILED' END AS st FROM scores GROUP BY ALL) GROUP BY verifier""", "scores"))
+SELECT verifier, CASE min(rank)*10+max(rank) WHEN 11 THEN 'SCORED' WHEN 22 THEN 'SKIPPED' ELSE CASE WHEN bool_or(rank=3) THEN 'RUNNING' WHEN min(rank)=1 THEN 'PARTIAL' WHEN bool_or(rank=4) THEN 'FAILED' ELSE 'PENDING' END END AS status, round(sum(rate*n)/sum(n),6) AS parse_rate, sum(n)::bigint AS n_rows FROM (
+ SELECT verifier, dataset_key, count(*) AS n, avg(available::int) AS rate, CASE WHEN avg(available::int)>=0.985::double THEN 1 WHEN avg(available::int)>=0.95::double THEN 5 WHEN avg(available::int)>0::double THEN 4 ELSE 2 END AS rank FROM scores GROUP BY ALL) GROUP BY verifier""", "scores"))
 def status_roll_up(spark, sf):
     g = scores(spark, sf).groupBy("verifier", "dataset_key").agg(F.count("*").alias("n"), F.avg(F.col("available").cast("int")).alias("rate"))
-    g = g.withColumn("st", F.when(F.col("rate") >= 0.985, "SCORED").when(F.col("rate") > 0.5, "PARTIAL").otherwise("FAILED"))
-    s = F.when(F.bool_and(F.col("st") == "SCORED"), "SCORED").when(F.bool_or(F.col("st") == "FAILED"), "FAILED").when(F.bool_or(F.col("st") == "PARTIAL"), "PARTIAL").otherwise("PENDING")
+    g = g.withColumn("st", F.when(F.col("rate") >= 0.985, "SCORED").when(F.col("rate") >= 0.95, "PENDING").when(F.col("rate") > 0, "FAILED").otherwise("SKIPPED"))
+    s = P.rolled_up_status(F.col("st"))
     return rounded(g.groupBy("verifier").agg(s.alias("status"), (F.sum(F.col("rate") * F.col("n")) / F.sum("n")).alias("parse_rate"), F.sum("n").alias("n_rows")))
 
 

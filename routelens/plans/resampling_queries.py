@@ -10,7 +10,7 @@ from routelens.plans.metric_queries import rounded
 from routelens.plans.registry import query
 from routelens.plans.views import scores, u_sql, with_sql
 
-DRAWS = 50
+DRAWS = 2000
 
 
 def systems(spark, sf):
@@ -80,20 +80,20 @@ def bootstrap_corpus_stratified(spark, sf):
 
 
 _CTRL = f"""ctl AS (SELECT 'control' AS system, c.j, episode_key, content_doc_key, y, p FROM (SELECT *, ['v_cheap','v_mid','v_high'][least(floor(u*3)::bigint,2)+1] AS want FROM (
- SELECT e.*, j, {u_sql(chr(39) + 'ctl' + chr(39), 'j', 'episode_key')} AS u FROM (SELECT DISTINCT episode_key AS ek FROM sy) k JOIN sy e ON e.episode_key=k.ek, range(8) r(j))) c WHERE system=want)"""
+ SELECT e.*, j, {u_sql(chr(39) + 'ctl' + chr(39), 'j', 'episode_key')} AS u FROM (SELECT DISTINCT episode_key AS ek FROM sy) k JOIN sy e ON e.episode_key=k.ek, range(16) r(j))) c WHERE system=want)"""
 
 
 @query("bootstrap_redrawn_control", "B6", with_sql(ci_sql("delta", "dl", "system"), "scores", SYS, draws_sql("content_doc_key", 6), _CTRL,
     """bl AS (SELECT system, draw, p, sum(y*m)::double AS pos, sum((1-y)*m)::double AS neg FROM (SELECT system, content_doc_key, p, y, draw, m FROM sy JOIN dr ON dr.g=content_doc_key WHERE system='v_high'
- UNION ALL SELECT system, content_doc_key, p, y, draw, m FROM ctl JOIN dr ON dr.g=content_doc_key AND j=('0x'||substr(sha256('ctl|'||draw),1,8))::bigint%8) GROUP BY ALL),""" + auc_sql("content_doc_key").split("GROUP BY ALL),", 1)[1], DELTA))
+ UNION ALL SELECT system, content_doc_key, p, y, draw, m FROM ctl JOIN dr ON dr.g=content_doc_key AND j=('0x'||substr(sha256('ctl|'||draw),1,8))::bigint%16) GROUP BY ALL),""" + auc_sql("content_doc_key").split("GROUP BY ALL),", 1)[1], DELTA))
 def bootstrap_redrawn_control(spark, sf):
-    """Each draw compares against one of eight random controls, chosen by the draw."""
+    """Each draw compares against one of sixteen random controls, chosen by the draw."""
     s = systems(spark, sf)
     dr = B.draw_table(s, "content_doc_key", DRAWS, 6)
-    x = s.withColumn("j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(7).cast("bigint"))))
+    x = s.withColumn("j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(15).cast("bigint"))))
     want = F.get(F.array(F.lit("v_cheap"), F.lit("v_mid"), F.lit("v_high")), F.least(F.floor(uniform("ctl", F.col("j"), F.col("episode_key")) * 3), F.lit(2)).cast("int"))
     ctl = x.filter(F.col("system") == want).withColumn("system", F.lit("control"))
-    a = B.draw_aurocs(ctl, dr.withColumn("j", hash32("ctl", F.col("draw")) % 8), ["system"], "content_doc_key", on=["j"])
+    a = B.draw_aurocs(ctl, dr.withColumn("j", hash32("ctl", F.col("draw")) % 16), ["system"], "content_doc_key", on=["j"])
     b = B.draw_aurocs(s.filter("system = 'v_high'"), dr, ["system"], "content_doc_key")
     return rounded(B.intervals(B.paired_delta(a.unionByName(b), "system", "v_high"), ["system"]))
 

@@ -23,7 +23,7 @@ def sent_sql(x: str) -> str:
 
 
 def tok_sql(x: str) -> str:
-    return f"regexp_extract_all(lower({x}),'[a-z0-9'']+')"
+    return f"list_transform(regexp_extract_all({x},'[A-Za-z0-9'']+'), lambda z: lower(z))"
 
 
 # letters outside ASCII become a word character that no pattern contains, so that ASCII word
@@ -77,13 +77,13 @@ def bm25_top(spark, sf):
 WITH sent AS (SELECT doc_id, len(ss) AS n_sent, unnest(ss) AS s, generate_subscripts(ss,1)-1 AS sidx FROM (SELECT doc_id, {sent_sql('text')} AS ss FROM documents)),
 st AS (SELECT doc_id, n_sent, sidx, {tok_sql('s')} AS t FROM sent), stat AS (SELECT doc_id, greatest(avg(len(t)),1.0::double) AS al FROM st GROUP BY 1),
 post AS (SELECT *, count(*) OVER (PARTITION BY doc_id, term) AS df FROM (SELECT doc_id, n_sent, sidx, len(t) AS sl, u.term, count(*) AS tf FROM st, unnest(t) u(term) GROUP BY ALL)),
-q AS (SELECT doc_id, u.term, count(*) AS qf FROM sent, unnest({tok_sql('s')}) u(term) WHERE sidx=0 GROUP BY ALL)
+q AS (SELECT doc_id, u.term, count(*) AS qf FROM sent, unnest({tok_sql('s')}) u(term) GROUP BY ALL)
 SELECT doc_id, round(max(score),6) AS top1, count(*) AS matched FROM (SELECT doc_id, sidx, sum(qf*{IDF}*tf*2.5::double/(tf+1.5::double*(0.25::double+0.75::double*sl/al))) AS score FROM q JOIN post USING (doc_id, term) JOIN stat USING (doc_id) GROUP BY ALL) GROUP BY doc_id""")
 def document_passage_bm25(spark, sf):
-    """Each document's opening sentence against all its sentences."""
+    """The terms of each whole document against its sentences."""
     d = text_table(spark, sf, "documents")
     sent = T.sentence_table(d, key="doc_id", text="text")
-    q = sent.filter("sidx = 0").select("doc_id", F.explode("toks").alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("qf"))
+    q = sent.select("doc_id", F.explode("toks").alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("qf"))
     s = T.bm25(q, T.postings(sent, "doc_id"), ["doc_id"], "doc_id")
     return rounded(s.groupBy("doc_id").agg(F.max("score").alias("top1"), F.count("*").alias("matched")))
 

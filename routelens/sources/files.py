@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,22 +42,80 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
 
 
 def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
-    """All-or-nothing overwrite through the commit protocol; with partitions, only those written change."""
-    w = df.write.mode("overwrite")
-    if partition_by:
-        w = w.option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by)
-    w.parquet(path)
-
-
-def unfinished(grid: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Configurations without a finished part."""
-    return grid.join(done.select(*keys).distinct(), list(keys), "left_anti")
+    """All-or-nothing write: the table is written beside its place and then swapped in by two renames.
+
+    With partitions only the partitions that ``df`` holds are replaced, each by its own swap. A job that fails while it
+    writes leaves the old table as it was.
+    """
+    spark = df.sparkSession
+    staged = f"{path.rstrip('/')}._staged-{uuid.uuid4().hex}"
+    (df.write.partitionBy(*partition_by) if partition_by else df.write).parquet(staged)
+    jvm = spark.sparkContext._jvm
+    to_path = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+    fs = to_path(path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+    def swap(new: str, place: str) -> None:
+        old = f"{place}._old-{uuid.uuid4().hex}"
+        had = fs.exists(to_path(place))
+        if had and not fs.rename(to_path(place), to_path(old)):
+            raise OSError(f"cannot move {place} aside")
+        fs.mkdirs(to_path(place).getParent())
+        if not fs.rename(to_path(new), to_path(place)):
+            if had:
+                fs.rename(to_path(old), to_path(place))
+            raise OSError(f"cannot move {new} to {place}")
+        if had:
+            fs.delete(to_path(old), True)
+
+    if not partition_by:
+        swap(staged, path)
+        return
+    parts = [""]
+    for _ in partition_by:
+        parts = [f"{p}/{s.getPath().getName()}" for p in parts for s in fs.listStatus(to_path(staged + p)) if s.isDirectory()]
+    for part in parts:
+        swap(staged + part, path.rstrip("/") + part)
+    fs.delete(to_path(staged), True)
+
+
+def part_coverage(expected: DataFrame, done: DataFrame, keys: Sequence[str], row_key: str) -> DataFrame:
+    """Rows expected and found of each configuration, and rows that occur more than once."""
+    want = expected.groupBy(*keys).agg(F.count_distinct(row_key).alias("expected"))
+    per_row = done.groupBy(*keys, row_key).agg(F.count("*").alias("n"))
+    have = per_row.groupBy(*keys).agg(F.count("*").alias("found"), F.sum(F.col("n") - 1).alias("duplicates"))
+    zero = F.lit(0).cast("bigint")
+    return want.join(have, list(keys), "left").select(*keys, "expected", F.coalesce("found", zero).alias("found"), F.coalesce("duplicates", zero).alias("duplicates"))
+
+
+def unfinished(expected: DataFrame, done: DataFrame, keys: Sequence[str], row_key: str) -> DataFrame:
+    """Configurations whose part lacks rows or holds some twice."""
+    return part_coverage(expected, done, keys, row_key).filter("found <> expected or duplicates > 0").select(*keys)
 
 
 def file_inventory(spark: SparkSession, path: str) -> DataFrame:
-    """Name, length and SHA-256 of every file under a path (part files, well below 2 GB each)."""
+    """Path below ``path``, length and SHA-256 of every file (part files, well below 2 GB each)."""
     f = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return f.select(F.substring_index("path", "/", -1).alias("file"), "length", F.sha2("content", 256).alias("sha256"))
+    below = F.element_at(F.split("path", re.escape(path.split(":", 1)[-1].rstrip("/")) + "/", 2), -1)
+    return f.select(below.alias("file"), "length", F.sha2("content", 256).alias("sha256"))
+
+
+def folder_inventory(spark: SparkSession, path: str) -> DataFrame:
+    """(folder, hash over the hashes of its files) of every folder below ``path`` that holds data files; names of part files do not count."""
+    files = file_inventory(spark, path).filter(~F.substring_index("file", "/", -1).rlike("^[._]"))
+    folder = F.regexp_replace("file", "/?[^/]*$", "")
+    return files.groupBy(folder.alias("file")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("sha256")), ","), 256).alias("sha256"))
+
+
+class BadRows(ValueError):
+    """A scan found rows that do not parse."""
+
+
+def strict(df: DataFrame) -> DataFrame:
+    """``df`` of ``read_jsonl`` without its error column, after making sure that every line parsed."""
+    bad = df.filter("_corrupt_record is not null").count()
+    if bad:
+        raise BadRows(f"{bad} lines are not objects of the schema")
+    return df.drop("_corrupt_record")
 
 
 def verify_inventory(recorded: DataFrame, current: DataFrame) -> DataFrame:
