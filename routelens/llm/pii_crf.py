@@ -148,7 +148,7 @@ def shape_features(line: np.ndarray, shape: np.ndarray, edges: np.ndarray) -> np
 
 #: forms of each kind and of what only looks like one; every form is put into every frame
 FORMS = {
-    "email": ("jo.lee@mail.example.com", "anna_b+list@sub.example.org", "x9@example.net", "sales[at]example.co.uk", "t.ross(at)example.com"),
+    "email": ("jo.lee@mail.example.com", "anna_b+list@sub.example.org", "x9@example.net", "sales[at]example.co.uk", "t.ross(at)example.com", "info(at)example.net", "bo[at]example.com"),
     "ip": ("192.168.10.24", "8.8.4.4", "10.0.255.1", "172[.]16[.]0[.]9", "203.0.113.77:8080", "(10.1.2.3)"),
     "card": ("4111111111111111", "4111 1111 1111 1111", "5500-0000-0000-0004", "4012.8888.8888.1881", "3782 822463 10005", "6011/1111/1111/1117", "4222222222222"),
     "phone": ("+1 (255) 555-8013", "+49 30 1234567", "(415) 555-0133", "415-555-0176", "0171/555 0199", "555.010.4477", "020 7946 0958", "+33.1.70.18.99.00", "1-800-555-0100"),
