@@ -1,10 +1,11 @@
 """Order-dependent aggregation that never sends one key's rows to one task.
 
 Running totals, ranks, quantiles and rank-based areas need a global order per key. A plain
-window would pull the whole key into a single task, so values are placed on a fixed grid of
-``CELLS`` cells (more for narrow distributions, fewer when there are many keys). One window runs over the distinct values of a cell, another over the at most
-``CELLS`` cell totals of a key. The grid is a pure function of the value, so a retried task
-reproduces it exactly.
+window would pull the whole key into a single task, so the values of a key are placed on a grid of
+``CELLS`` cells between the key's own smallest and largest position: scores that all lie within a
+millionth of 1 spread as well as scores between 0 and 1. One window runs over the distinct values of
+a cell, another over the at most ``CELLS`` cell totals of a key. The ends of a grid are exact
+aggregates of the data, so a retried task, or a second use of the same rows, gets the same cells.
 """
 
 from __future__ import annotations
@@ -23,11 +24,21 @@ def squash(x: Column, scale: float = 100.0) -> Column:
     return F.lit(0.5) + F.lit(0.5) * x / (F.abs(x) + F.lit(scale))
 
 
-def with_grid(df: DataFrame, position: Column, descending: bool = False, cells: int = CELLS) -> DataFrame:
-    """Add a cell number that increases in the requested order."""
-    unit = F.least(F.greatest(position.cast("double"), F.lit(0.0)), F.lit(1.0))
-    cell = F.least(F.floor(unit * cells), F.lit(cells - 1))
-    return df.withColumn("_cell", -cell if descending else cell)
+def with_grid(df: DataFrame, keys: Sequence[str], position: Column | Sequence[Column], descending: bool = False, cells: int = CELLS) -> DataFrame:
+    """Add a cell number that increases in the requested order, from the key's smallest to its largest position.
+
+    Several monotone positions share the cells, so that values are told apart wherever one of them tells them apart.
+    """
+    at = [p.cast("double") for p in ([position] if isinstance(position, Column) else position)]
+    placed = df.withColumns({f"_at{i}": p for i, p in enumerate(at)})
+    ends = [f(f"_at{i}").alias(f"_{n}{i}") for i in range(len(at)) for n, f in (("from", F.min), ("to", F.max))]
+    placed = placed.join(placed.groupBy(*keys).agg(*ends), list(keys))
+    share = F.lit(0.0)
+    for i in range(len(at)):
+        width = F.col(f"_to{i}") - F.col(f"_from{i}")
+        share = share + F.when(width > 0, (F.col(f"_at{i}") - F.col(f"_from{i}")) / width).otherwise(F.lit(0.0))
+    cell = F.least(F.floor(share * (cells / len(at))), F.lit(cells - 1))
+    return placed.withColumn("_cell", -cell if descending else cell).drop(*[f"_{n}{i}" for i in range(len(at)) for n in ("at", "from", "to")])
 
 
 def _before(w, name: str) -> Column:
@@ -41,7 +52,7 @@ def running_totals(
     keys: Sequence[str],
     order: str,
     sums: Sequence[str],
-    position: Column | None = None,
+    position: Column | Sequence[Column] | None = None,
     descending: bool = False,
     ties: Sequence[str] = (),
 ) -> DataFrame:
@@ -50,7 +61,7 @@ def running_totals(
     ``df`` must already be aggregated to one row per (keys, order, ties).
     """
     keys = list(keys)
-    d = with_grid(df, F.col(order) if position is None else position, descending)
+    d = with_grid(df, keys, F.col(order) if position is None else position, descending)
     cells = d.groupBy(*keys, "_cell").agg(*[F.sum(s).alias(s) for s in sums])
     in_key, whole = W.partitionBy(*keys).orderBy("_cell"), W.partitionBy(*keys)
     offsets = cells.select(
@@ -78,7 +89,7 @@ def order_area(df: DataFrame, keys: Sequence[str], order: str, pos: str, neg: st
     """
     keys = list(keys)
     in_cell = W.partitionBy(*keys, "_cell").orderBy(order)
-    d = with_grid(df, F.col(order), cells=cells).select(
+    d = with_grid(df, keys, F.col(order), cells=cells).select(
         *keys, "_cell", pos, neg, (F.col(pos) * (_before(in_cell, neg) + F.col(neg) / 2.0)).alias("area")
     )
     total = [F.sum(c).alias(c) for c in (pos, neg, "area")]
@@ -103,7 +114,7 @@ def quantiles(
     keys = list(keys)
     names = list(names or [f"q{i}" for i in range(len(probabilities))])
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
-    run = running_totals(counts, keys, value, ["n"], squash(F.col(value)) if position is None else position)
+    run = running_totals(counts, keys, value, ["n"], [F.col(value), squash(F.col(value))] if position is None else position)
     v, cum, tot = F.col(value), F.col("cum_n"), F.col("tot_n")
     aggs = []
     for i, q in enumerate(probabilities):
@@ -124,7 +135,7 @@ def quantile_points(df: DataFrame, keys: Sequence[str], value: str, probabilitie
     """Same quantiles in long form (keys, prob, value), for grids of many probabilities."""
     keys = list(keys)
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
-    run = running_totals(counts, keys, value, ["n"], squash(F.col(value)) if position is None else position)
+    run = running_totals(counts, keys, value, ["n"], [F.col(value), squash(F.col(value))] if position is None else position)
     cum, before, top = F.col("cum_n"), F.col("cum_n") - F.col("n"), F.col("tot_n") - 1
 
     def touches(q: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from routelens.operators import metrics as M
 from routelens.operators import thresholds as Q
-from routelens.operators.ordered import dense_index, quantile_points, quantiles, running_totals
+from routelens.operators.ordered import dense_index, quantile_points, quantiles, running_totals, squash, with_grid
 from routelens.functions.hashing import uniform
 
 
@@ -106,3 +106,11 @@ def test_tie_rank_correlation_against_brute_force(rows):
     up = np.triu_indices(len(p), 1)
     tau = s[up].sum() / np.sqrt((p[:, None] != p[None])[up].sum() * (y[:, None] != y[None])[up].sum())
     assert got["b"].kendall_tau_b == pytest.approx(tau)
+
+
+@pytest.mark.parametrize("values", ["1 - id * 5e-12", "1e6 + id * 1e-5", "id * 1.0", "id * 1e-3 + int(id > 199990) * 1e9", "0.5"])
+def test_cells_follow_the_values(spark, values):
+    rows = spark.range(200_000).select(F.lit("k").alias("k"), F.expr(values).alias("v")).distinct()
+    sizes = [r[0] for r in with_grid(rows, ["k"], [F.col("v"), squash(F.col("v"))]).groupBy("_cell").count().select("count").collect()]
+    assert max(sizes) <= max(5 * sum(sizes) / len(sizes), 1)
+    assert len(sizes) > 5000 or sum(sizes) == 1
