@@ -23,6 +23,7 @@ from routelens.plans.views import POOL, table
 
 ROTATIONS = 10
 PROBE_FOLDS = 5
+CROSS_FOLDS = 3
 FEATURES = ("log_chars", "n_lines", "is_de", "is_en", "is_es", "is_fr")
 
 
@@ -218,27 +219,37 @@ def oracle_action_router(spark, sf):
 
 @query("cost_to_go_router", "H12")
 def cost_to_go_router(spark, sf):
-    """Regress each action's cost-to-go; the smallest wins, confidence is one minus it."""
-    d = _selective(featured(spark, sf)).persist()
-    fit = part(d, "fit")
-    x = H.assemble(d, FEATURES)
-    for a in POOL:
-        est = H.GBTRegressor(seed=17, maxIter=10, maxDepth=4, featuresCol="features", labelCol=f"cost_to_go__{a}", predictionCol=f"ctg__{a}")
-        x = est.fit(H.assemble(fit, FEATURES)).transform(x)
+    """Regress each action's cost-to-go on the other folds; the smallest wins, confidence is one minus it."""
+    d = _selective(featured(spark, sf))
+    x = H.assemble(d.join(S.fold_groups(d, 3, CROSS_FOLDS), "content_doc_key"), FEATURES).persist()
+
+    def fold(f):
+        fit, out = x.filter(F.col("fold") != f), x.filter(F.col("fold") == f)
+        for a in POOL:
+            est = H.GBTRegressor(seed=17, maxIter=10, maxDepth=4, featuresCol="features", labelCol=f"cost_to_go__{a}", predictionCol=f"ctg__{a}")
+            out = est.fit(fit).transform(out)
+        return out.drop("features")
+
     cost = R.cols("ctg", POOL)
-    x = x.withColumn("cand", E.pick([F.lit(a) for a in POOL], E.first_argmax([-c for c in cost]))).withColumn("conf", F.lit(1.0) - E.row_min(cost))
+    out = stack(side_by_side(fold, range(CROSS_FOLDS), 3))
+    out = out.withColumn("cand", E.pick([F.lit(a) for a in POOL], E.first_argmax([-c for c in cost]))).withColumn("conf", F.lit(1.0) - E.row_min(cost))
     act = F.when(F.col("conf") >= 0.2, F.col("cand")).otherwise(F.lit("ABSTAIN"))
-    return rounded(R.policy_metrics(R.direct_policy(part(x.drop("features"), "test"), POOL, BANDS, PRICE, act, 2.0), ["dataset_key"]))
+    return rounded(R.policy_metrics(R.direct_policy(out, POOL, BANDS, PRICE, act, 2.0), ["dataset_key"]))
 
 
 @query("two_stage_router", "H13")
 def two_stage_router(spark, sf):
-    """First: is any action right? Then: which one, learned on the rows where one is."""
-    d = _selective(featured(spark, sf)).persist()
-    fit = part(d, "fit")
-    gate = H.fit_classifier(fit, FEATURES, F.col("oracle_available"), "gate")
-    pickr = H.multinomial_router(fit.filter("oracle_available"), FEATURES)
-    x = H.apply_multinomial(H.apply_classifier(part(d, "test"), gate, FEATURES, "gate"), pickr).persist()
+    """First: is any action right? Then: which one, learned on the rows where one is. Both on the other folds."""
+    d = _selective(featured(spark, sf))
+    rows = d.join(S.fold_groups(d, 3, CROSS_FOLDS), "content_doc_key").persist()
+
+    def fold(f):
+        fit, out = rows.filter(F.col("fold") != f), rows.filter(F.col("fold") == f)
+        gate = H.fit_classifier(fit, FEATURES, F.col("oracle_available"), "gate")
+        pickr = H.multinomial_router(fit.filter("oracle_available"), FEATURES)
+        return H.apply_multinomial(H.apply_classifier(out, gate, FEATURES, "gate"), pickr)
+
+    x = stack(side_by_side(fold, range(CROSS_FOLDS), 3)).persist()
     act = F.when(F.col("gate") >= 0.5, F.col("cand")).otherwise(F.lit("ABSTAIN"))
     m = R.policy_metrics(R.direct_policy(x, POOL, BANDS, PRICE, act, 2.0).withColumn("system", F.lit("two_stage")), ["system"])
     g = M.auroc(x.withColumn("system", F.lit("two_stage")).withColumn("y", F.col("oracle_available").cast("int")), ["system"], "gate", "y", name="gate_auroc")
