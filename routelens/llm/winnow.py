@@ -43,21 +43,32 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def fingerprints(words: Column) -> Column:
-    """Distinct (hash, place) of the winnowed k-grams, the place (from 0) in the low ``_PLACE_BITS`` bits."""
-    per = WINDOW - GRAM + 1
+def _combined(values: Column, by: int, other: Column, fn) -> Column:
+    """``fn`` of each value and the one ``by`` places on in ``other``; the last ``by`` results mean nothing."""
+    return F.zip_with(values, F.slice(other, by + 1, F.greatest(F.size(other) - by, F.lit(0))), fn)
+
 
-    def gram(words: Column, i: Column) -> Column:
-        return F.shiftleft(F.xxhash64(*[F.get(words, i + j) for j in range(GRAM)]), _PLACE_BITS).bitwiseOR(i.cast("long"))
+def _grams(hashes: Column) -> Column:
+    """Hash of every ``GRAM`` = 5 word hashes in a row: pairs, pairs of pairs, and one more."""
+    two = _combined(hashes, 1, hashes, lambda a, b: F.xxhash64(a, b))
+    four = let(two, lambda g: _combined(g, 2, g, lambda a, b: F.xxhash64(a, b)))
+    five = let(four, lambda g: _combined(g, 4, hashes, lambda a, b: F.xxhash64(a, b)))
+    five = F.slice(five, 1, F.size(hashes) - GRAM + 1)
+    return F.transform(five, lambda g, i: F.shiftleft(g, _PLACE_BITS).bitwiseOR(i.cast("long")))
 
-    def least(grams: Column) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.size(grams) - per + 1), lambda j: F.array_min(F.slice(grams, j, per)))
 
-    def winnowed(words: Column) -> Column:
-        grams = F.transform(F.sequence(F.lit(0), F.size(words) - GRAM), lambda i: gram(words, i))
-        return F.when(F.size(words) >= WINDOW, F.array_distinct(let(grams, least)))
+def _least(grams: Column) -> Column:
+    """Smallest of every ``WINDOW - GRAM + 1`` = 6 values in a row: of two, of two twos, and of a four with the two behind it."""
+    two = _combined(grams, 1, grams, lambda a, b: F.least(a, b))
+    four = let(two, lambda m: _combined(m, 2, m, lambda a, b: F.least(a, b)))
+    six = let(four, lambda m: _combined(m, 2, m, lambda a, b: F.least(a, b)))
+    return F.slice(six, 1, F.size(grams) - (WINDOW - GRAM))
 
-    return let(words, winnowed)
+
+def fingerprints(words: Column) -> Column:
+    """Distinct (hash, place) of the winnowed k-grams, the place (from 0) in the low ``_PLACE_BITS`` bits."""
+    hashed = F.transform(words, lambda w: F.xxhash64(w))
+    return let(hashed, lambda h: F.when(F.size(h) >= WINDOW, F.array_distinct(let(let(h, _grams), _least))))
 
 
 def _place(fp: Column) -> Column:
@@ -88,13 +99,15 @@ def window_hits(docs: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame
     long_items = items.select(words_of(F.col("text")).alias("words"))
     wanted = long_items.select(F.explode(fingerprints(F.col("words"))).alias("fp")).select(F.shiftright("fp", _PLACE_BITS).alias("hash")).distinct()
     wanted = written(wanted, "wanted")
-    worded = docs.select(keyed(F.col("doc_id")).alias("doc_id"), words_of(F.col("text")).alias("words"))
+    rows = docs.select(keyed(F.col("doc_id")).alias("doc_id"), "text")
+    words = words_of(F.col("text")).alias("words")
+    worded = rows.select("doc_id", words)
     found = worded.select("doc_id", F.explode(fingerprints(F.col("words"))).alias("fp"))
     found = found.select("doc_id", F.shiftright("fp", _PLACE_BITS).alias("hash"), _place(F.col("fp")).alias("place"))
     found = found.join(sized_broadcast(wanted), "hash", "left_semi").select("doc_id", "place").distinct()
     starts = found.groupBy("doc_id").agg(F.collect_set("place").alias("places"))
     starts = written(starts, "fingerprint-hits")
-    again = worded.join(sized_broadcast(starts.select("doc_id"), 500_000), "doc_id", "left_semi").join(starts, "doc_id")
+    again = rows.join(sized_broadcast(starts.select("doc_id"), 500_000), "doc_id", "left_semi").select("doc_id", words).join(starts, "doc_id")
     reach = F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(F.greatest(p - (WINDOW - GRAM), F.lit(0)), F.least(p, F.size("words") - WINDOW)))))
     near = again.where(F.size("words") >= WINDOW).select("doc_id", F.explode(_windows(F.col("words"), reach, WINDOW)).alias("w"))
     near = near.select("doc_id", "w.start", F.lit(WINDOW).alias("n"), "w.window")
@@ -108,7 +121,7 @@ def window_hits(docs: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame
         candidates = worded.select("doc_id", F.explode(F.array_distinct(F.transform("words", lambda w: F.xxhash64(w)))).alias("word"))
         candidates = candidates.join(sized_broadcast(anchors), "word").groupBy("doc_id").agg(F.collect_set("n").alias("sizes"))
         candidates = written(candidates, "anchor-hits")
-        again = worded.join(sized_broadcast(candidates.select("doc_id"), 500_000), "doc_id", "left_semi").join(candidates, "doc_id")
+        again = rows.join(sized_broadcast(candidates.select("doc_id"), 500_000), "doc_id", "left_semi").select("doc_id", words).join(candidates, "doc_id")
         each = again.select("doc_id", "words", F.explode("sizes").alias("n")).where(F.size("words") >= F.col("n"))
         every = F.sequence(F.lit(0), F.size("words") - F.col("n"))
         near = each.select("doc_id", "n", F.explode(_windows(F.col("words"), every, F.col("n"))).alias("w")).select("doc_id", "w.start", "n", "w.window")
