@@ -17,6 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 CELLS = 1 << 14
+SALTS = 16
 
 
 def squash(x: Column, scale: float = 100.0) -> Column:
@@ -32,13 +33,15 @@ def with_grid(df: DataFrame, keys: Sequence[str], position: Column | Sequence[Co
     at = [p.cast("double") for p in ([position] if isinstance(position, Column) else position)]
     placed = df.withColumns({f"_at{i}": p for i, p in enumerate(at)})
     ends = [f(f"_at{i}").alias(f"_{n}{i}") for i in range(len(at)) for n, f in (("from", F.min), ("to", F.max))]
-    placed = placed.join(placed.groupBy(*keys).agg(*ends), list(keys))
+    # each row meets one of several copies of its key's ends, so a key with most of the rows is spread over the join
+    ends = placed.groupBy(*keys).agg(*ends).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    placed = placed.withColumn("_salt", F.pmod(F.xxhash64("_at0"), F.lit(SALTS)).cast("int")).join(ends, [*keys, "_salt"])
     share = F.lit(0.0)
     for i in range(len(at)):
         width = F.col(f"_to{i}") - F.col(f"_from{i}")
         share = share + F.when(width > 0, (F.col(f"_at{i}") - F.col(f"_from{i}")) / width).otherwise(F.lit(0.0))
     cell = F.least(F.floor(share * (cells / len(at))), F.lit(cells - 1))
-    return placed.withColumn("_cell", -cell if descending else cell).drop(*[f"_{n}{i}" for i in range(len(at)) for n in ("at", "from", "to")])
+    return placed.withColumn("_cell", -cell if descending else cell).drop(*[f"_{n}{i}" for i in range(len(at)) for n in ("at", "from", "to")], "_salt")
 
 
 def _before(w, name: str) -> Column:
