@@ -39,6 +39,7 @@ MINIMA = 2
 SIMILARITY = 0.8
 SMALL = 24
 LEVELS = 4
+SLOT_BITS = 20
 
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -214,6 +215,82 @@ def _bucket_levels(reps: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
     return levels
 
 
+def _edits(n):
+    """The number of edits that ``similar`` allows when the longer text has ``n`` words."""
+    return ((1 - SIMILARITY) * n + 1e-9).astype(np.int64)
+
+
+def _labelled_words(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, words of each row, row, hash) of parts of a batch; a word is labelled with how often it came before."""
+    for lo, hi, data, offsets in parts(texts):
+        _, _, row, hashed = word_spans(data, offsets)
+        row, word = labelled_kmers(row, hashed, hi - lo, 1)
+        yield lo, np.bincount(row, minlength=hi - lo), row, word
+
+
+def _slot_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many labelled words fall into each slot of the frequency table."""
+    n = np.zeros(1 << SLOT_BITS, np.int64)
+    for batch in batches:
+        for _, _, _, word in _labelled_words(batch.column("text")):
+            n += np.bincount((word >> np.uint64(64 - SLOT_BITS)).view(np.int64), minlength=len(n))
+    slot = np.flatnonzero(n)
+    for lo in range(0, len(slot), 1 << 16):
+        at = slot[lo : lo + (1 << 16)]
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["slot", "n"])
+
+
+def _rare_words(frequency: np.ndarray):
+    """The ``limit + 1`` rarest labelled words of every text, with the overlap it needs and what is left from each word on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, n, row, word in _labelled_words(batch.column("text")):
+                order = np.lexsort((word, frequency[(word >> np.uint64(64 - SLOT_BITS)).view(np.int64)], row))
+                row, word = row[order], word[order]
+                rank = np.arange(len(row)) - np.concatenate(([0], np.cumsum(n)[:-1]))[row]
+                keep = rank <= _edits(n)[row]
+                row, word, rank = row[keep], word[keep], rank[keep]
+                at = pa.array(lo + row)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("digest").take(at), batch.column("component").take(at), pa.array(word.view(np.int64)), pa.array((n - _edits(n))[row]), pa.array(n[row] - rank)],
+                    names=["digest", "component", "word", "need", "room"],
+                )
+
+    return run
+
+
+def _overlapping(crowd: DataFrame, docs: DataFrame) -> DataFrame:
+    """All pairs (a, b) of different components of ``crowd`` (digest, component) whose words may overlap enough for a link.
+
+    Similar texts have at least ``longest - limit`` labelled words in common. With the words of every text in one
+    common order, such texts share one among the first ``limit + 1`` of each, and from the first shared one on both
+    have that many words left. The order is by frequency, so a passage that many texts share comes last; slots that
+    several words share only change the order, not the result.
+    """
+    texts = docs.join(sized_broadcast(crowd), "digest")
+    slots = texts.select("text").mapInArrow(_slot_batches, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    frequency = np.zeros(1 << SLOT_BITS, np.int64)
+    frequency[slots.column("slot").to_numpy()] = slots.column("n").to_numpy()
+    once = texts.groupBy("digest").agg(F.first("component").alias("component"), F.first("text").alias("text"))
+    words = written(once.mapInArrow(_rare_words(frequency), "digest binary, component binary, word long, need long, room long"), "rare-words")
+    sizes = words.groupBy("word", "component").agg(F.count(F.lit(1)).alias("n"))
+    most = sizes.groupBy("word").agg(F.max_by("component", F.struct("n", "component")).alias("most"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
+    shared = written(words.join(most, "word"), "shared-words")
+    # the largest component of a word never meets itself
+    left = shared.where("component <> most").select("word", F.col("digest").alias("a"), F.col("component").alias("ca"), F.col("need").alias("na"), F.col("room").alias("ra"))
+    right = shared.select("word", F.col("digest").alias("b"), F.col("component").alias("cb"), F.col("need").alias("nb"), F.col("room").alias("rb"), "most")
+    fits = "ca <> cb and (cb = most or a < b) and least(ra, rb) >= greatest(na, nb)"
+    return left.join(right, "word").where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _apart(members: DataFrame, linked: DataFrame, name: str) -> DataFrame:
+    """(bucket, digest, component) of the buckets whose members are not yet all in one component."""
+    rest = members.join(linked.withColumnRenamed("node", "digest"), "digest", "left").select("bucket", "digest", F.coalesce("component", "digest").alias("component"))
+    apart = rest.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket")
+    return written(rest.join(apart, "bucket", "left_semi"), name)
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, digest, class_id, class_digest) of every row of ``docs``.
 
@@ -242,15 +319,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     for members, counts in levels:
         few = members.join(counts.where((F.col("n") > 2) & (F.col("n") <= SMALL)).select("bucket"), "bucket")
         rest = few if rest is None else rest.union(few)
-    rest = rest.join(linked.withColumnRenamed("node", "digest"), "digest", "left").select("bucket", "digest", F.coalesce("component", "digest").alias("component"))
-    apart = rest.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket")
-    rest = written(rest.join(apart, "bucket", "left_semi"), "apart")
+    rest = _apart(rest, linked, "apart")
     left = rest.select("bucket", F.col("digest").alias("a"), F.col("component").alias("ca"))
     right = rest.select("bucket", F.col("digest").alias("b"), F.col("component").alias("cb"))
     others = left.join(right, "bucket").where("a < b and ca <> cb").select("a", "b").distinct()
     if not others.isEmpty():
-        more = _links(others, named, "rest")
-        linked = components(links.union(more), "a", "b")
+        links = links.union(_links(others, named, "rest"))
+        linked = components(links, "a", "b")
+
+    members, counts = levels[0]
+    crowd = _apart(members.join(counts.where(F.col("n") > SMALL).select("bucket"), "bucket"), linked, "crowd")
+    crowd = written(crowd.select("digest", "component").distinct(), "crowd-texts")
+    if not crowd.isEmpty():
+        others = written(_overlapping(crowd, named), "crowd-overlaps")
+        if not others.isEmpty():
+            linked = components(links.union(_links(others, named, "crowd")), "a", "b")
 
     classed = texts.select("digest", "first_id").join(linked.withColumnRenamed("node", "digest"), "digest", "left")
     classed = written(classed.withColumn("component", F.coalesce("component", "digest")), "classed")

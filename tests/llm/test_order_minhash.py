@@ -100,6 +100,23 @@ def test_large_groups_and_a_common_passage(spark):
     assert all(got[1000 + i] == 1000 + i for i in range(60))
 
 
+def test_links_inside_a_crowd(spark):
+    """Hundreds of texts share 75 % of their words; some pairs share a little more and are links."""
+    r = random.Random(5)
+    passage, own = [f"p{i}" for i in range(150)], lambda n: [f"w{r.randrange(3000)}" for _ in range(n)]
+    rows, planted = [], {}
+    for i in range(280):
+        tail = own(50)
+        rows.append((i, " ".join(passage + tail)))
+        if i < 20:
+            same = 13 + i % 10
+            rows.append((1000 + i, " ".join(passage + (tail[:same] + own(50 - same) if i % 2 else own(50 - same) + tail[50 - same :]))))
+            planted[1000 + i] = i
+    got = {r.doc_id: r.class_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: c for i, c in got.items() if i != c} == planted
+    assert got == brute(rows)
+
+
 def test_repeated_rows_null_ids_and_empty_table(spark):
     df = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (None, "z")], "doc_id long, text string")
     got = sorted((str(r.doc_id), str(r.class_id)) for r in near_duplicates(df).collect())
