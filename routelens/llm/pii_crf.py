@@ -4,7 +4,8 @@ The base patterns find e-mail addresses, IP addresses, card and telephone number
 tokens by their shape (counts of digits, letters and signs, first and last character, the neighbours' shapes), is
 trained on the labelled lines of ``labelled_lines`` and decoded by Viterbi. It adds what is written otherwise, such as
 telephone numbers without a plus sign, card numbers with other separators or addresses with a bracketed "at"; an added
-span has to read as its kind (Luhn, parts up to 255, number of digits) and never touches a base span.
+span has to read as its kind (Luhn, parts up to 255, number of digits) and never touches a base span. A run of tagged tokens
+is read without its base spans, and may hold several spans side by side.
 
 Decoding whole texts is cheap because a chain can be cut where the best tag is certain: once for each model,
 ``certain_plain`` proves from the weights that a token of plain letters between plain tokens is outside of any span
@@ -277,16 +278,55 @@ def reads_as(kind: int, text: str) -> tuple[int, int] | None:
     return (lo - 1 if lo and text[lo - 1] in "+(" else lo), hi
 
 
+#: what parts neighbouring finds besides blanks, and the most such units in one find
+_UNITS = {1: re.compile(r"[^\s,;|/-]+"), 2: re.compile(r"[^\s,;|]+"), 3: re.compile(r"[^\s,;|]+")}
+UNITS = 20
+
+
+def finds(kind: int, text: str) -> list[tuple[int, int]]:
+    """Where spans of that kind lie in ``text``, a run of tokens that may hold several side by side.
+
+    The run is cut between units so that the spans hold the most digits; then as few spans as can be go over a comma
+    or a later plus sign, then there are the fewest spans, then they are of the most even lengths.
+    """
+    if kind == 0:
+        return [m.span() for m in _AT.finditer(text)]
+    units = [m.span() for m in _UNITS[kind].finditer(text)]
+    marks = [0, *[int(text[b] == "+" or bool(re.search(r"[,;|]", text[a:b]))) for (_, a), (b, _) in zip(units, units[1:], strict=False)]]
+    best: list[tuple] = [(0, 0, 0, 0)]
+    came: list[tuple] = []
+    for j in range(len(units)):
+        score, span, back = best[j], None, j
+        for i in range(j, max(j - UNITS, -1), -1):
+            lo, hi = units[i][0], units[j][1]
+            found = reads_as(kind, text[lo:hi])
+            if not found:
+                continue
+            n = len(_NO_DIGIT.sub("", text[lo + found[0] : lo + found[1]]))
+            x = best[i]
+            new = (x[0] - n, x[1] + any(marks[i + 1 : j + 1]), x[2] + 1, x[3] + n * n)
+            if new < score:
+                score, span, back = new, (lo + found[0], lo + found[1]), i
+        best.append(score)
+        came.append((back, span))
+    out, j = [], len(units) - 1
+    while j >= 0:
+        back, span = came[j]
+        if span:
+            out.append(span)
+        j = back - 1
+    return out[::-1]
+
+
 def spans_of(text: str, tagged: list[tuple[int, int, int]]) -> tuple[list, list]:
     """Base spans, and base and added spans together, in order."""
     base = base_spans(text)
     extra = []
     for start, kind, end in tagged:
-        if any(a < end and start < b for a, _, b in base):
-            continue
-        found = reads_as(kind, text[start:end])
-        if found:
-            extra.append((start + found[0], kind, start + found[1]))
+        at = start
+        for a, b in [(a, b) for a, _, b in base if a < end and start < b] + [(end, end)]:
+            extra += [(at + x, kind, at + y) for x, y in finds(kind, text[at : max(a, at)])]
+            at = max(at, b)
     return base, sorted(base + extra)
 
 

@@ -68,6 +68,19 @@ def test_clean_texts_stay_clean(text):
     assert C.spans_of(text, TAGGER.added(pa.array([text]))[0]) == ([], [])
 
 
+@pytest.mark.parametrize("kind, values, between", [
+    (3, ["415-555-0176", "415-555-0177"], ", "), (3, ["415-555-0176", "415-555-0177", "415-555-0178"], ", "), (3, ["(415) 555-0133", "(415) 555-0177"], " "),
+    (3, ["+1 (255) 555-8013", "(415) 555-0133"], " "), (3, ["+49 30 1234567", "0171/555 0199"], ", "), (3, ["020 7946 0958", "020 7946 0959"], ", "),
+    (2, ["4012.8888.8888.1881", "6011/1111/1111/1117"], " "), (2, ["4012.8888.8888.1881", "4012.8888.8888.1881", "6011/1111/1111/1117"], ", "),
+    (1, ["172[.]16[.]0[.]9", "10[.]0[.]0[.]9", "10[.]0[.]0[.]7"], " "), (1, ["8.8.4.4", "172[.]16[.]0[.]9"], " "),
+    (0, ["kim(at)example.org", "info(at)example.net"], ", "), (0, ["sales[at]example.co.uk", "info(at)example.net", "bo[at]example.com"], " "),
+])
+def test_finds_side_by_side(kind, values, between):
+    text = between.join(values)
+    _, every = C.spans_of(text, TAGGER.added(pa.array([text]))[0])
+    assert [(k, text[a:b]) for a, k, b in every] == [(kind, v) for v in values]
+
+
 def test_rows(spark):
     rows = [(1, None), (2, ""), (3, "x a@b.cd y"), (3, "x a@b.cd y"), (None, "é +1 (255) 555-8013")]
     df = spark.createDataFrame([(i, t, "s") for i, t in rows], "doc_id long, text string, spans string")
