@@ -18,6 +18,9 @@ from routelens.sources import files as IO
 
 CONV = T.StructType([T.StructField("conv_id", T.LongType()), T.StructField("turn", T.LongType()), T.StructField("role", T.StringType()), T.StructField("text", T.StringType())])
 
+#: rows of a hashed part file, some tens of MB
+PART_ROWS = 500_000
+
 
 @query("jsonl_scan", "S1 S4", "SELECT conv_id, turn, role, length(text) AS n FROM conversations")
 def jsonl_scan(spark, sf):
@@ -66,15 +69,16 @@ def prediction_store_resume(spark, sf):
 
 @query("file_hash_inventory", "S11", with_sql("SELECT count(DISTINCT verifier)+1 AS files, 1::bigint AS missing, 1::bigint AS added, 1::bigint AS changed FROM scores", "scores"))
 def file_hash_inventory(spark, sf):
-    """One file a verifier is hashed; then one is lost, one is new and one has other rows."""
+    """One folder of parts a verifier is hashed; then one is lost, one is new and one has other rows."""
     path = scratch_path(spark, "inventory")
     rows = scores(spark, sf).select("verifier", "episode_key", "score").persist()
+    parts = max(4, -(-rows.count() // PART_ROWS))  # the same for both inventories, so equal rows make equal parts
     for step in ("recorded", "now"):
         changed = F.col("verifier").eqNullSafe("v_high") & F.lit(step == "now")
         kept = rows.withColumn("score", F.when(changed, F.col("score") + 1).otherwise(F.col("score")))
         names = {"recorded": ["v_cheap", "v_high", "v_mid"], "now": ["v_high", "v_mid", "v_new"]}[step]
         for name in names:
-            kept.filter(F.col("verifier") == name.replace("v_new", "v_cheap")).orderBy("episode_key").coalesce(1).write.csv(f"{path}/{step}/{name}")
+            kept.filter(F.col("verifier") == name.replace("v_new", "v_cheap")).repartition(parts, "episode_key").sortWithinPartitions("episode_key", "score").write.csv(f"{path}/{step}/{name}")
     return IO.verify_inventory(*[IO.folder_inventory(spark, f"{path}/{step}") for step in ("recorded", "now")])
 
 

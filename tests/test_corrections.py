@@ -126,3 +126,14 @@ def test_the_last_of_equal_sentences_wins_in_the_cheap_frame(spark):
 def test_tokens_match_before_lowering(spark):
     df = spark.createDataFrame([("K2 It's Kelvin",)], "t string")
     assert df.select(X.tokens(F.col("t"))).first()[0] == ["k2", "it's", "elvin"]
+
+
+def test_hashed_folders_are_written_in_parts(spark, tmp_path, monkeypatch):
+    from routelens.plans import io_queries
+
+    monkeypatch.setattr(io_queries, "scratch_path", lambda spark, name: str(tmp_path / name))
+    got = io_queries.file_hash_inventory(spark, "/root/testdata/sf0.001").collect()
+    assert [tuple(r) for r in got] == [(4, 1, 1, 1)]
+    for folder in ("recorded/v_cheap", "recorded/v_mid", "now/v_mid"):
+        sizes = [f.stat().st_size for f in (tmp_path / "inventory" / folder).glob("part-*.csv")]
+        assert len(sizes) > 1 and max(sizes) < 0.6 * sum(sizes)
