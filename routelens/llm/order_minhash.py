@@ -10,9 +10,11 @@ Scale. Exact copies collapse to one representative by a map-side combined group-
 never emits all its pairs: everyone meets the bucket's first member (a star), which joins large groups of near
 copies in one linear step; only buckets of at most ``SMALL`` members then try the pairs the star left apart. Larger
 buckets are split by the keys of the following tables, and each split part gets its own star, so a passage shared
-by thousands of otherwise different texts costs one test a member and level. A pair of a large bucket is thus
-found through its parts or through any other table in which it agrees; with 24 tables and two minima a pair whose
-5-mers overlap 0.8 misses all tables with a chance below 1e-9, at 0.5 about 0.1 %.
+by thousands of otherwise different texts costs one test a member and level. Large buckets that are then not yet one
+component get an exact rest: all pairs of their texts in different components that share one of their rarest words
+are tested, by a prefix filter that no similar pair fails (``_overlapping``). With 24 tables and two minima a pair
+whose 5-mers overlap 0.8 misses all tables with a chance below 1e-9, at 0.5 about 0.1 %; texts without two common
+5-mers meet in no table.
 
 Defined cases: a null text is a class of its own; equal texts are one class, the empty text included; a text of
 fewer than five words has one k-mer, all its words; texts without words are alike only when equal. Rows may repeat;
