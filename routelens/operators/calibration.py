@@ -1,4 +1,4 @@
-"""Score calibration with pyspark.ml: Platt scaling and isotonic recalibration."""
+"""Score calibration: Platt scaling with pyspark.ml. Isotonic recalibration is in ``isotonic``."""
 
 from __future__ import annotations
 
@@ -7,11 +7,10 @@ from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from routelens.functions.expr import clip, logit, platt
+from routelens.functions.expr import logit, platt
 
 
 def fit_platt(df: DataFrame, score: str, label: str = "label_supported", available: str | None = None) -> tuple[float, float]:
@@ -46,18 +45,3 @@ def apply_calibrators(df: DataFrame, fitted: dict[str, tuple[float, float]], zer
         p = platt(F.col(f"score__{a}"), b0, b1)
         cols[f"cal__{a}"] = F.when(F.col(f"available__{a}"), p).otherwise(F.lit(0.0)) if zero_unavailable else p
     return df.withColumns(cols)
-
-
-def fit_isotonic(df: DataFrame, p: str = "p", label: str = "y"):
-    """Monotone map from a system's probability to the label rate, fitted on validation rows.
-
-    Rows collapse to distinct probabilities first, so the fit sees one weighted row per value.
-    """
-    led = df.groupBy(F.col(p).alias("features")).agg(F.avg(F.col(label).cast("double")).alias("label"), F.count("*").cast("double").alias("w"))
-    return IsotonicRegression(featuresCol="features", labelCol="label", weightCol="w").fit(led)
-
-
-def apply_isotonic(df: DataFrame, model, p: str = "p", out: str = "q") -> DataFrame:
-    """Recalibrated probability, clipped away from 0 and 1; ends are clamped."""
-    x = df.withColumn("features", F.col(p))
-    return model.transform(x).withColumn(out, clip(F.col("prediction"))).drop("prediction", "features")

@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from routelens.config import AURC_POINTS, COVERAGE_LEVELS, ECE_BINS
-from routelens.operators.ordered import CELLS, order_area, quantiles, running_totals, squash
+from routelens.operators.ordered import CELLS, join_keys, order_area, quantiles, running_totals, squash
 
 
 def score_ledger(df: DataFrame, keys: Sequence[str], score: str, label: str, weight: str | None = None) -> DataFrame:
@@ -121,7 +121,7 @@ def latency_summary(df, keys, ms="ms") -> DataFrame:
     """Mean, p50 / p95 / p99 (linear interpolation) and single-stream throughput."""
     mean = df.groupBy(*keys).agg(F.avg(ms).alias("mean_ms"), F.count(ms).alias("n"))
     tail = quantiles(df, keys, ms, (0.5, 0.95, 0.99), names=("p50_ms", "p95_ms", "p99_ms"))
-    return mean.join(tail, list(keys)).withColumn("qps", F.lit(1000.0) / F.col("mean_ms"))
+    return join_keys(mean, tail, keys, "left").withColumn("qps", F.lit(1000.0) / F.col("mean_ms"))
 
 
 def _confidence_cells(df, keys, score, ok, tie):
@@ -162,10 +162,10 @@ def risk_coverage_points(df, keys, targets, score="p", ok="ok", tie="episode_key
         .select(*keys, "conf", "part", "b_n", "b_ok", F.col("t.point").alias("point"), F.col("t.cut").alias("cut"))
     )
     cell_keys = [*keys, "conf", "part"]
-    inside = d.join(hit.select(*cell_keys).distinct(), cell_keys)
+    inside = join_keys(d, hit.select(*cell_keys).distinct(), cell_keys, "left_semi")
     w = W.partitionBy(*cell_keys).orderBy("slot", "_tie").rowsBetween(W.unboundedPreceding, 0)
     ranked = inside.select(*cell_keys, F.count("*").over(w).alias("r"), F.sum("ok").over(w).alias("c_ok"))
-    at = hit.join(ranked, cell_keys).filter(F.col("r") == F.col("cut") - F.col("b_n"))
+    at = join_keys(hit, ranked, cell_keys).filter(F.col("r") == F.col("cut") - F.col("b_n"))
     return at.select(*keys, "point", "cut", ((F.col("b_ok") + F.col("c_ok")).cast("double") / F.col("cut")).alias("acc"))
 
 

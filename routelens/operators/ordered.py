@@ -20,6 +20,12 @@ CELLS = 1 << 14
 SALTS = 16
 
 
+def join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """``left`` joined with the other columns of ``right`` on ``keys``; null keys match each other, as they do in a group-by."""
+    packed = F.struct(*keys)
+    return left.withColumn("_key", packed).join(right.withColumn("_key", packed).drop(*keys), "_key", how).drop("_key")
+
+
 def squash(x: Column, scale: float = 100.0) -> Column:
     """Monotone map of any real value into (0, 1), for grid placement only."""
     return F.lit(0.5) + F.lit(0.5) * x / (F.abs(x) + F.lit(scale))
@@ -31,17 +37,17 @@ def with_grid(df: DataFrame, keys: Sequence[str], position: Column | Sequence[Co
     Several monotone positions share the cells, so that values are told apart wherever one of them tells them apart.
     """
     at = [p.cast("double") for p in ([position] if isinstance(position, Column) else position)]
-    placed = df.withColumns({f"_at{i}": p for i, p in enumerate(at)})
+    placed = df.withColumns({f"_at{i}": p for i, p in enumerate(at)} | {"_key": F.struct(*keys)})  # one key that is never null
     ends = [f(f"_at{i}").alias(f"_{n}{i}") for i in range(len(at)) for n, f in (("from", F.min), ("to", F.max))]
     # each row meets one of several copies of its key's ends, so a key with most of the rows is spread over the join
-    ends = placed.groupBy(*keys).agg(*ends).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    placed = placed.withColumn("_salt", F.pmod(F.xxhash64("_at0"), F.lit(SALTS)).cast("int")).join(ends, [*keys, "_salt"])
+    ends = placed.groupBy("_key").agg(*ends).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    placed = placed.withColumn("_salt", F.pmod(F.xxhash64("_at0"), F.lit(SALTS)).cast("int")).join(ends, ["_key", "_salt"])
     share = F.lit(0.0)
     for i in range(len(at)):
         width = F.col(f"_to{i}") - F.col(f"_from{i}")
         share = share + F.when(width > 0, (F.col(f"_at{i}") - F.col(f"_from{i}")) / width).otherwise(F.lit(0.0))
     cell = F.least(F.floor(share * (cells / len(at))), F.lit(cells - 1))
-    return placed.withColumn("_cell", -cell if descending else cell).drop(*[f"_{n}{i}" for i in range(len(at)) for n in ("at", "from", "to")], "_salt")
+    return placed.withColumn("_cell", -cell if descending else cell).drop(*[f"_{n}{i}" for i in range(len(at)) for n in ("at", "from", "to")], "_salt", "_key")
 
 
 def _before(w, name: str) -> Column:
@@ -64,19 +70,19 @@ def running_totals(
     ``df`` must already be aggregated to one row per (keys, order, ties).
     """
     keys = list(keys)
-    d = with_grid(df, keys, F.col(order) if position is None else position, descending)
-    cells = d.groupBy(*keys, "_cell").agg(*[F.sum(s).alias(s) for s in sums])
-    in_key, whole = W.partitionBy(*keys).orderBy("_cell"), W.partitionBy(*keys)
+    d = with_grid(df, keys, F.col(order) if position is None else position, descending).withColumn("_key", F.struct(*keys))
+    cells = d.groupBy("_key", "_cell").agg(*[F.sum(s).alias(s) for s in sums])
+    in_key, whole = W.partitionBy("_key").orderBy("_cell"), W.partitionBy("_key")
     offsets = cells.select(
-        *keys,
+        "_key",
         "_cell",
         *[_before(in_key, s).alias(f"_off_{s}") for s in sums],
         *[F.sum(s).over(whole).alias(f"tot_{s}") for s in sums],
     )
     direction = F.col(order).desc() if descending else F.col(order).asc()
-    w = W.partitionBy(*keys, "_cell").orderBy(direction, *ties).rowsBetween(W.unboundedPreceding, 0)
+    w = W.partitionBy("_key", "_cell").orderBy(direction, *ties).rowsBetween(W.unboundedPreceding, 0)
     inner = d.select("*", *[F.sum(s).over(w).alias(f"_cum_{s}") for s in sums])
-    joined = inner.join(offsets, [*keys, "_cell"])
+    joined = inner.join(offsets, ["_key", "_cell"])
     return joined.select(
         *df.columns,
         *[(F.col(f"_cum_{s}") + F.col(f"_off_{s}")).alias(f"cum_{s}") for s in sums],

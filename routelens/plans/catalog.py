@@ -1,6 +1,8 @@
 """Importing this module registers every query."""
 
 from routelens.plans import (  # noqa: F401
+    arm_queries,
+    cascade_queries,
     data_queries,
     io_queries,
     metric_queries,
@@ -8,6 +10,7 @@ from routelens.plans import (  # noqa: F401
     policy_queries,
     report_queries,
     resampling_queries,
+    study_queries,
     text_queries,
 )
 from routelens.plans.registry import COVERS, ORACLES, QUERIES  # noqa: F401

@@ -32,6 +32,11 @@ COMMON = T.StructType([
 ])
 
 
+def corpora(d) -> list:
+    """The corpora that occur (null last); they are a handful of names."""
+    return sorted((r[0] for r in d.select("dataset_key").distinct().collect()), key=lambda c: (c is None, c or ""))
+
+
 @query("conform_common_schema", "P1", with_sql("""
 SELECT episode_key, dataset_key, role, content_doc_key, label_supported, NULL::bigint AS num_sentences, NULL::varchar AS summary_model FROM episodes""", "episodes"))
 def conform_common_schema(spark, sf):
@@ -170,11 +175,12 @@ def finite_feature_columns(spark, sf):
 
 
 @query("corpus_one_hot", "P15", with_sql("""
-SELECT episode_key, (dataset_key='de')::int::double AS is_de, (dataset_key='en')::int::double AS is_en, (dataset_key='es')::int::double AS is_es,
- (dataset_key='fr')::int::double AS is_fr, 1.0::double AS constant FROM episodes""", "episodes"))
+SELECT episode_key, string_agg((dataset_key IS NOT DISTINCT FROM c)::int::varchar, '' ORDER BY c NULLS LAST) AS hot, 1.0::double AS constant FROM episodes, (SELECT DISTINCT dataset_key AS c FROM episodes) GROUP BY episode_key""", "episodes"))
 def corpus_one_hot(spark, sf):
+    """One digit per corpus that occurs, in the order of their names."""
+    e = episodes(spark, sf)
     head = F.substring_index("dataset_key", "_", 1)
-    return episodes(spark, sf).select("episode_key", *[(head == c).cast("double").alias(f"is_{c}") for c in ("de", "en", "es", "fr")], F.lit(1.0).alias("constant"))
+    return e.select("episode_key", F.concat(*[head.eqNullSafe(c).cast("int").cast("string") for c in corpora(e)]).alias("hot"), F.lit(1.0).alias("constant"))
 
 
 @query("native_aux_columns", "P16", """
@@ -350,9 +356,10 @@ def within_corpus_folds(spark, sf):
 
 @query("leave_one_corpus_out", "F6", with_sql("""
 SELECT h AS heldout, CASE WHEN dataset_key=h THEN 'test' ELSE 'train' END AS side, count(*) AS n_rows, count(DISTINCT content_doc_key) AS groups
-FROM episodes, (VALUES ('de'),('en'),('es'),('fr')) v(h) GROUP BY ALL""", "episodes"))
+FROM episodes, (SELECT DISTINCT dataset_key AS h FROM episodes WHERE dataset_key IS NOT NULL) v GROUP BY ALL""", "episodes"))
 def leave_one_corpus_out(spark, sf):
-    return S.leave_one_corpus_out(episodes(spark, sf), ["de", "en", "es", "fr"]).groupBy("heldout", "side").agg(
+    e = episodes(spark, sf)
+    return S.leave_one_corpus_out(e, [c for c in corpora(e) if c is not None]).groupBy("heldout", "side").agg(
         F.count("*").alias("n_rows"), F.countDistinct("content_doc_key").alias("groups"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
@@ -15,7 +16,8 @@ from routelens.operators import heads as H
 from routelens.operators import metrics as M
 from routelens.operators import routing as R
 from routelens.operators import splits as S
-from routelens.operators import thresholds as Q
+from routelens.operators.isotonic import stage_two
+from routelens.plans.data_queries import corpora
 from routelens.plans.metric_queries import calls, rounded
 from routelens.plans.policy_queries import BANDS, EPS, PRICE, sides
 from routelens.plans.registry import query
@@ -24,7 +26,7 @@ from routelens.plans.views import POOL, table
 ROTATIONS = 10
 PROBE_FOLDS = 5
 CROSS_FOLDS = 3
-FEATURES = ("log_chars", "n_lines", "is_de", "is_en", "is_es", "is_fr")
+TEXT_STATS = ("log_chars", "n_lines")
 
 
 def featured(spark, sf):
@@ -33,12 +35,17 @@ def featured(spark, sf):
         F.sha2(F.lower(F.trim("text")), 256).alias("content_doc_key"), F.log1p(F.length("text").cast("double")).alias("log_chars"),
         F.log1p(F.size(F.split("text", "\n")).cast("double")).alias("n_lines")).groupBy("content_doc_key").agg(F.max("log_chars").alias("log_chars"), F.max("n_lines").alias("n_lines"))
     s = sides(spark, sf).join(e, "content_doc_key")
-    return s.withColumns({f"is_{c}": (F.col("dataset_key") == c).cast("double") for c in ("de", "en", "es", "fr")}).persist()
+    s = s.persist()
+    return s.withColumns({f"is_{i}": F.col("dataset_key").eqNullSafe(c).cast("double") for i, c in enumerate(corpora(s))})
 
 
-def corpora(d) -> list[str]:
-    """The corpora that occur; they are a handful of names."""
-    return sorted(r[0] for r in d.select("dataset_key").distinct().collect())
+def corpus_columns(d) -> tuple[str, ...]:
+    return tuple(c for c in d.columns if re.fullmatch("is_[0-9]+", c))
+
+
+def features_of(d) -> tuple[str, ...]:
+    """The features of ``featured`` rows: text statistics and one column for each corpus that occurs."""
+    return (*TEXT_STATS, *corpus_columns(d))
 
 
 def part(d, side):
@@ -55,8 +62,9 @@ def side_by_side(fn, items, threads: int = 4):
         return list(ex.map(fn, items))
 
 
-def fitted(d, features=FEATURES, kind="regret", learner="forest", seed=17, pool=POOL):
+def fitted(d, features=None, kind="regret", learner="forest", seed=17, pool=POOL):
     """Calibrate, fit heads and attach both; returns the rows and the fit-side costs."""
+    features = features_of(d) if features is None else features
     c = K.apply_calibrators(d, K.fit_calibrators(part(d, "fit"), pool))
     x = H.apply_heads(c, H.fit_heads(part(c, "fit"), pool, features, kind, learner, seed), features)
     return x.persist(), R.one_row(R.mean_costs(part(d, "fit"), pool), pool)
@@ -83,15 +91,6 @@ def platt_fit(spark, sf):
     return stack([n.select(F.lit(a).alias("verifier"), F.lit(round(b0, 6)).alias("intercept"), F.lit(round(b1, 6)).alias("slope"), "fit_rows") for a, (b0, b1) in got.items()])
 
 
-@query("isotonic_recalibration", "K2 K4")
-def isotonic_recalibration(spark, sf):
-    """Stage-1 against stage-2 quality: AUROC, ECE and Brier before and after."""
-    d = sides(spark, sf).select("side", F.col("cal__v_mid").alias("p"), F.col("label_supported").alias("y")).persist()
-    t = K.apply_isotonic(part(d, "test"), K.fit_isotonic(part(d, "val")))
-    x = t.select("y", F.explode(F.array(F.struct(F.lit("stage1").alias("stage"), F.col("p").alias("p")), F.struct(F.lit("stage2").alias("stage"), F.col("q").alias("p")))).alias("s")).select("y", "s.*")
-    return rounded(M.auroc(x, ["stage"]).join(M.calibration_error(x, ["stage"]), "stage").join(M.proper_scores(x, ["stage"]), "stage"))
-
-
 @query("cross_fitted_calibration", "K3 K5")
 def cross_fitted_calibration(spark, sf):
     """Each fold's rows are calibrated by a fit on the other folds; quality per action."""
@@ -116,10 +115,9 @@ def router_with_stage_two(spark, sf):
     x, costs = fitted(featured(spark, sf))
     r, _ = route_with(x, costs)
     r = r.select("side", "episode_key", "dataset_key", F.col("label_supported").alias("y"), "p", (F.col("verifier_ms") + F.col("feature_latency_ms")).alias("ms"), F.lit("router").alias("system")).persist()
-    m = K.fit_isotonic(part(r, "val"))
-    q = K.apply_isotonic(r, m)
-    thr = Q.mcc_threshold(part(q, "val"), ["system"], "q").first()["threshold"]
-    t = part(q, "test").withColumn("d", (F.col("q") >= F.lit(thr)).cast("int")).withColumn("ok", (F.col("d") == F.col("y")).cast("int"))
+    q = stage_two(r, ["system"]).persist()
+    thr = part(q, "val").select("threshold").first()[0]
+    t = part(q, "test").withColumn("ok", (F.col("d") == F.col("y")).cast("int"))
     k = ["system"]
     return rounded(M.auroc(t, k, "q").join(M.decision_metrics(t, k), k).join(M.calibration_error(t, k, "q"), k).join(M.latency_summary(t, k), k)
                    .join(M.risk_coverage(t, k, "q"), k).withColumn("threshold", F.lit(thr)))
@@ -130,8 +128,8 @@ def correctness_heads(spark, sf):
     d = featured(spark, sf)
     x = d
     for a, t in zip(POOL, R.targets(POOL, "correctness")):
-        m = H.fit_classifier(part(d, "fit").filter(F.col(f"available__{a}")), FEATURES, t, f"head__{a}")
-        x = H.apply_classifier(x, m, FEATURES, f"head__{a}")
+        m = H.fit_classifier(part(d, "fit").filter(F.col(f"available__{a}")), features_of(d), t, f"head__{a}")
+        x = H.apply_classifier(x, m, features_of(d), f"head__{a}")
     costs = R.one_row(R.mean_costs(part(d, "fit"), POOL), POOL)
     return rounded(scored(R.select_action(part(x, "test"), POOL, R.utilities(POOL, costs, F.lit(0.4))), "correctness"))
 
@@ -149,8 +147,8 @@ def learner_sweep(spark, sf):
 @query("no_verifier_arm", "H5 X4")
 def no_verifier_arm(spark, sf):
     d = featured(spark, sf)
-    m = H.fit_classifier(part(d, "fit"), FEATURES, F.col("label_supported"), "prob")
-    t = H.apply_classifier(part(d, "test"), m, FEATURES, "prob").withColumn("p", E.clip(F.col("prob"))).withColumn("system", F.lit("no_verifier"))
+    m = H.fit_classifier(part(d, "fit"), features_of(d), F.col("label_supported"), "prob")
+    t = H.apply_classifier(part(d, "test"), m, features_of(d), "prob").withColumn("p", E.clip(F.col("prob"))).withColumn("system", F.lit("no_verifier"))
     return rounded(M.auroc(t, ["system"], "p", "label_supported").join(t.groupBy("system").agg(F.count("*").alias("n_rows"), F.avg("feature_latency_ms").alias("mean_ms")), "system"))
 
 
@@ -159,13 +157,13 @@ def pairwise_router(spark, sf):
     """Weighted pair classifiers; an action's value is the mean probability of its wins."""
     d = featured(spark, sf)
     costs = R.one_row(R.mean_costs(part(d, "fit"), POOL), POOL)
-    prefs = R.pairwise_preferences(part(d, "fit"), POOL, E.discounts(F.lit(0.4), costs), ["episode_key", *FEATURES]).persist()
+    prefs = R.pairwise_preferences(part(d, "fit"), POOL, E.discounts(F.lit(0.4), costs), ["episode_key", *features_of(d)]).persist()
     x, wins = d, {a: [] for a in POOL}
     for i, a in enumerate(POOL):
         for b in POOL[i + 1:]:
             name = f"win_{a}_{b}"
-            m = H.fit_classifier(prefs.filter((F.col("first") == a) & (F.col("second") == b)), FEATURES, F.col("target"), name, weight="gap")
-            x = H.apply_classifier(x, m, FEATURES, name)
+            m = H.fit_classifier(prefs.filter((F.col("first") == a) & (F.col("second") == b)), features_of(d), F.col("target"), name, weight="gap")
+            x = H.apply_classifier(x, m, features_of(d), name)
             wins[a].append(F.col(name))
             wins[b].append(F.lit(1.0) - F.col(name))
     x = x.withColumns({f"head__{a}": reduce(lambda u, v: u + v, w) / len(w) for a, w in wins.items()})
@@ -180,7 +178,7 @@ def reward_regression(spark, sf):
     c = K.apply_calibrators(d, K.fit_calibrators(part(d, "fit"), POOL))
     factors = E.discounts(F.lit(0.4), costs)
     rewards = [t * f for t, f in zip(R.targets(POOL, "correctness"), factors, strict=True)]
-    x = H.apply_heads(c, H.fit_heads(part(c, "fit"), POOL, FEATURES, rewards, "ridge"), FEATURES)
+    x = H.apply_heads(c, H.fit_heads(part(c, "fit"), POOL, features_of(d), rewards, "ridge"), features_of(d))
     return rounded(scored(R.select_action(part(x, "test"), POOL, R.cols("head", POOL)), "reward"))
 
 
@@ -191,7 +189,7 @@ def hyper_parameter_search(spark, sf):
     c = K.apply_calibrators(d, K.fit_calibrators(part(d, "fit"), POOL))
     out = []
     for i, kw in enumerate(({"numTrees": 5, "maxDepth": 3}, {"numTrees": 10, "maxDepth": 5}, {"numTrees": 10, "maxDepth": 7})):
-        x = H.apply_heads(c, H.fit_heads(part(c, "fit"), POOL, FEATURES, seed=17, **kw), FEATURES).persist()
+        x = H.apply_heads(c, H.fit_heads(part(c, "fit"), POOL, features_of(d), seed=17, **kw), features_of(d)).persist()
         v = part(x, "val")
         loss = reduce(lambda a, b: a + b, [F.avg(F.when(F.col(f"available__{a}"), F.pow(F.col(f"head__{a}") - t, 2))) for a, t in zip(POOL, R.targets(POOL, "regret"))]) / len(POOL)
         r = R.select_action(v, POOL, R.cols("head", POOL)).withColumn("candidate", F.lit(i))
@@ -212,7 +210,7 @@ def oracle_action_router(spark, sf):
     d = _selective(featured(spark, sf)).persist()
     folds = S.fold_groups(d, 3, 3).persist()
     x = d.join(folds, "content_doc_key")
-    out = stack([H.apply_multinomial(x.filter(F.col("fold") == f), H.multinomial_router(x.filter(F.col("fold") != f), FEATURES)) for f in range(3)])
+    out = stack([H.apply_multinomial(x.filter(F.col("fold") == f), H.multinomial_router(x.filter(F.col("fold") != f), features_of(d))) for f in range(3)])
     act = F.when(F.col("conf") >= 0, F.col("cand")).otherwise(F.lit("ABSTAIN"))
     return rounded(R.policy_metrics(R.direct_policy(out, POOL, BANDS, PRICE, act, 2.0), ["dataset_key"]))
 
@@ -221,7 +219,7 @@ def oracle_action_router(spark, sf):
 def cost_to_go_router(spark, sf):
     """Regress each action's cost-to-go on the other folds; the smallest wins, confidence is one minus it."""
     d = _selective(featured(spark, sf))
-    x = H.assemble(d.join(S.fold_groups(d, 3, CROSS_FOLDS), "content_doc_key"), FEATURES).persist()
+    x = H.assemble(d.join(S.fold_groups(d, 3, CROSS_FOLDS), "content_doc_key"), features_of(d)).persist()
 
     def fold(f):
         fit, out = x.filter(F.col("fold") != f), x.filter(F.col("fold") == f)
@@ -245,9 +243,9 @@ def two_stage_router(spark, sf):
 
     def fold(f):
         fit, out = rows.filter(F.col("fold") != f), rows.filter(F.col("fold") == f)
-        gate = H.fit_classifier(fit, FEATURES, F.col("oracle_available"), "gate")
-        pickr = H.multinomial_router(fit.filter("oracle_available"), FEATURES)
-        return H.apply_multinomial(H.apply_classifier(out, gate, FEATURES, "gate"), pickr)
+        gate = H.fit_classifier(fit, features_of(d), F.col("oracle_available"), "gate")
+        pickr = H.multinomial_router(fit.filter("oracle_available"), features_of(d))
+        return H.apply_multinomial(H.apply_classifier(out, gate, features_of(d), "gate"), pickr)
 
     x = stack(side_by_side(fold, range(CROSS_FOLDS), 3)).persist()
     act = F.when(F.col("gate") >= 0.5, F.col("cand")).otherwise(F.lit("ABSTAIN"))
@@ -262,7 +260,7 @@ def learned_deferral(spark, sf):
     x, costs = fitted(featured(spark, sf))
     first = POOL[0]
     wrong = (F.col(f"cal__{first}") >= 0.5).cast("int") != F.col("label_supported")
-    x = H.apply_classifier(x, H.fit_classifier(part(x, "fit"), FEATURES, wrong, "risk", minInstancesPerNode=5), FEATURES, "risk")
+    x = H.apply_classifier(x, H.fit_classifier(part(x, "fit"), features_of(x), wrong, "risk", minInstancesPerNode=5), features_of(x), "risk")
     r, _ = route_with(x, costs)
     ceiling = part(r, "val").agg(F.avg(R.latency_ceiling(F.col("verifier_ms"), F.col("feature_latency_ms")))).first()[0]
     e = R.escalation(r, POOL, costs, "cascade").withColumn("conf", -F.col("risk")).persist()
@@ -290,11 +288,11 @@ def corpus_identity_probe(spark, sf):
 def forest_prefix_curve(spark, sf):
     d = featured(spark, sf)
     c = K.apply_calibrators(d, K.fit_calibrators(part(d, "fit"), POOL))
-    models = H.fit_heads(part(c, "fit"), POOL, FEATURES)
+    models = H.fit_heads(part(c, "fit"), POOL, features_of(d))
     sizes = (1, 5, 10, 20)
     x = part(c, "test")
     for a, m in models.items():
-        x = H.forest_prefixes(x, m, FEATURES, sizes, f"h_{a}")
+        x = H.forest_prefixes(x, m, features_of(d), sizes, f"h_{a}")
     out = []
     for k in sizes:
         y = x.withColumns({f"head__{a}": F.col(f"h_{a}_{k}") for a in POOL})
@@ -325,7 +323,7 @@ def ablation_arms(spark, sf):
     x, costs = fitted(d, learner="tree")
     r, beta = route_with(x, costs)
     arms = [scored(r, "reference")]
-    for name, feats in (("without_corpus", ("log_chars", "n_lines")), ("corpus_only", FEATURES[2:])):
+    for name, feats in (("without_corpus", ("log_chars", "n_lines")), ("corpus_only", corpus_columns(d))):
         y, c = fitted(d, feats, learner="tree")
         arms.append(scored(route_with(y, c)[0], name))
     y, c = fitted(d, kind="brier", learner="tree")
@@ -348,7 +346,7 @@ def per_corpus_training(spark, sf):
         x, costs = fitted(d.filter(F.col("dataset_key") == c), ("log_chars", "n_lines"), learner="tree")
         return scored(route_with(x, costs)[0], c)
 
-    out = side_by_side(corpus, corpora(d))
+    out = side_by_side(corpus, [c for c in corpora(d) if c is not None])
     fixed = M.auroc(calls(spark, sf).filter("role = 'test'"), ["dataset_key", "verifier"]).groupBy("dataset_key").agg(F.max_by("verifier", F.struct("auroc", "verifier")).alias("best_fixed"), F.max("auroc").alias("best_fixed_auroc"))
     return rounded(stack(out).join(fixed.withColumnRenamed("dataset_key", "system"), "system", "left"))
 
@@ -404,4 +402,4 @@ def leave_one_corpus_policies(spark, sf):
         x, costs = fitted(s, ("log_chars", "n_lines"), learner="tree")
         return scored(route_with(x, costs)[0], c)
 
-    return rounded(stack(side_by_side(heldout, corpora(d))))
+    return rounded(stack(side_by_side(heldout, [c for c in corpora(d) if c is not None])))

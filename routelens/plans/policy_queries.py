@@ -10,7 +10,7 @@ from routelens.functions.hashing import uniform
 from routelens.operators import metrics as M
 from routelens.operators import routing as R
 from routelens.operators import splits as S
-from routelens.operators.ordered import quantile_points, quantiles
+from routelens.operators.ordered import join_keys, quantile_points, quantiles
 from routelens.plans.metric_queries import rounded
 from routelens.plans.registry import query
 from routelens.plans.views import POOL, u_sql, wide, with_sql
@@ -178,10 +178,10 @@ _SCOPED = """scoped AS (SELECT 'ALL' AS scope, * FROM routed WHERE side='test' U
 
 
 @query("route_confirmatory_report", "X1 R1 R2 R3 R4 R5 M1 M6 M11 M13 J11 P13", sql("""
-SELECT scope, count(*) AS n_rows, count(DISTINCT content_doc_key) AS source_groups, any_value(beta) AS beta, round(any_value(auroc),6) AS auroc,
+SELECT s.scope, count(*) AS n_rows, count(DISTINCT content_doc_key) AS source_groups, any_value(beta) AS beta, round(any_value(auroc),6) AS auroc,
  round(avg(vms+feature_latency_ms),6) AS mean_ms, round(quantile_cont(vms+feature_latency_ms,0.5),6) AS p50_ms, round(quantile_cont(vms+feature_latency_ms,0.95),6) AS p95_ms,
  round(avg((selected_action='v_cheap')::int),6) AS rate_v_cheap, round(avg((selected_action='v_mid')::int),6) AS rate_v_mid, round(avg((selected_action='v_high')::int),6) AS rate_v_high
-FROM scoped JOIN au USING (scope) GROUP BY scope""", *_ROUTED, _SCOPED, "au AS (" + _AUC.format(k="scope", t="scoped", y="label_supported") + ")"))
+FROM scoped s JOIN au ON s.scope IS NOT DISTINCT FROM au.scope GROUP BY s.scope""", *_ROUTED, _SCOPED, "au AS (" + _AUC.format(k="scope", t="scoped", y="label_supported") + ")"))
 def route_confirmatory_report(spark, sf):
     d, costs = setup(spark, sf)
     beta = chosen_beta(d, costs)
@@ -192,7 +192,7 @@ def route_confirmatory_report(spark, sf):
         F.count("*").alias("n_rows"), F.count_distinct("content_doc_key").alias("source_groups"), F.max("beta").alias("beta"), F.avg("ms").alias("mean_ms"),
         *[F.avg((F.col("selected_action") == a).cast("double")).alias(f"rate_{a}") for a in POOL])
     tail = quantiles(x, ["scope"], "ms", (0.5, 0.95), names=("p50_ms", "p95_ms"))
-    return rounded(base.join(M.auroc(x, ["scope"]), "scope").join(tail, "scope"))
+    return rounded(join_keys(join_keys(base, M.auroc(x, ["scope"]), ["scope"]), tail, ["scope"]))
 
 
 @query("call_shares", "M13 M11", sql("""

@@ -23,6 +23,17 @@ VERIFIERS = {
     "v_high": (0.80, 250.0, 0.010, -0.05, 1.1),
 }
 
+# A wider bank for pool screens: the pool's verifiers and six more.
+BANK = {
+    **VERIFIERS,
+    "v_fast": (0.20, 8.0, 0.0005, 0.0, 0.5),
+    "v_rule": (0.25, 12.0, 0.002, 0.1, 0.5),
+    "v_nli": (0.45, 40.0, 0.002, 0.02, 0.7),
+    "v_span": (0.60, 120.0, 0.001, 0.0, 0.9),
+    "v_judge": (0.90, 400.0, 0.020, -0.1, 1.2),
+    "v_slow": (0.70, 600.0, 0.050, 0.0, 1.0),
+}
+
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
@@ -62,7 +73,7 @@ def episodes(spark: SparkSession, sf: str, text: bool = False) -> DataFrame:
     )
 
 
-def scores(spark: SparkSession, sf: str) -> DataFrame:
+def scores(spark: SparkSession, sf: str, verifiers: dict = VERIFIERS) -> DataFrame:
     """Long score table with the calibrated probability attached."""
     e = episodes(spark, sf)
     rows = [
@@ -70,7 +81,7 @@ def scores(spark: SparkSession, sf: str) -> DataFrame:
             F.lit(v).alias("verifier"), F.lit(s).alias("s"), F.lit(b).alias("b"), F.lit(c).alias("c"),
             F.lit(a0).alias("a0"), F.lit(a1).alias("a1"),
         )
-        for v, (s, b, c, a0, a1) in VERIFIERS.items()
+        for v, (s, b, c, a0, a1) in verifiers.items()
     ]
     x = e.withColumn("v", F.explode(F.array(*rows)))
     key, v = F.col("episode_key"), F.col("v.verifier")
@@ -133,20 +144,19 @@ EPISODES_SQL = f"""episodes AS (
   1.0::double + d.n_chars*0.0005::double AS feature_latency_ms
  FROM documents d JOIN labels l ON d.doc_id=l.doc_id, (VALUES (0),(1),(2)) v(k))"""
 
-_VALUES = ",".join(
-    f"('{v}',{s}::double,{b}::double,{c}::double,{a0}::double,{a1}::double)"
-    for v, (s, b, c, a0, a1) in VERIFIERS.items()
-)
-_RAW = (
-    f"0.5::double+vp.s*(e.label_supported-0.5::double)+0.9::double*({u_sql(chr(39)+'score'+chr(39), 'e.episode_key', 'vp.verifier')}-0.5::double)"
-)
-SCORES_SQL = f"""scores0 AS (
- SELECT e.*, vp.verifier, least(greatest({_RAW},0.0::double),1.0::double) AS score,
+def scores_sql(verifiers: dict) -> str:
+    values = ",".join(f"('{v}',{s}::double,{b}::double,{c}::double,{a0}::double,{a1}::double)" for v, (s, b, c, a0, a1) in verifiers.items())
+    raw = f"0.5::double+vp.s*(e.label_supported-0.5::double)+0.9::double*({u_sql(chr(39)+'score'+chr(39), 'e.episode_key', 'vp.verifier')}-0.5::double)"
+    return f"""scores0 AS (
+ SELECT e.*, vp.verifier, least(greatest({raw},0.0::double),1.0::double) AS score,
   {u_sql("'avail'", "e.episode_key", "vp.verifier")} >= 0.02::double AS available,
   vp.b + vp.c*e.n_chars AS latency_ms, vp.a0, vp.a1
- FROM episodes e, (VALUES {_VALUES}) vp(verifier,s,b,c,a0,a1)),
+ FROM episodes e, (VALUES {values}) vp(verifier,s,b,c,a0,a1)),
 scores AS (SELECT *, 1.0::double/(1.0::double+exp(-(a0+a1*ln(least(greatest(score,1e-6::double),1-1e-6::double)/(1.0::double-least(greatest(score,1e-6::double),1-1e-6::double)))))) AS cal FROM scores0)"""
 
+
+SCORES_SQL = scores_sql(VERIFIERS)
+
 WIDE_SQL = "wide AS (SELECT episode_key, dataset_key, content_doc_key, role, label_supported, feature_latency_ms, " + ", ".join(
     f"max(score) FILTER (verifier='{v}') AS s{i}, bool_or(available) FILTER (verifier='{v}') AS a{i}, "
     f"max(latency_ms) FILTER (verifier='{v}') AS l{i}, max(cal) FILTER (verifier='{v}') AS c{i}"

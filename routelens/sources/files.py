@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from routelens.operators.ordered import join_keys
+from routelens.session import scratch_path
+
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """JSON lines with a fixed schema; unparsable lines land in ``_corrupt_record``."""
@@ -78,13 +81,20 @@ def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> N
     fs.delete(to_path(staged), True)
 
 
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder: what is read several times is made once, survives lost executors, and plans stay short."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def part_coverage(expected: DataFrame, done: DataFrame, keys: Sequence[str], row_key: str) -> DataFrame:
     """Rows expected and found of each configuration, and rows that occur more than once."""
     want = expected.groupBy(*keys).agg(F.count_distinct(row_key).alias("expected"))
     per_row = done.groupBy(*keys, row_key).agg(F.count("*").alias("n"))
     have = per_row.groupBy(*keys).agg(F.count("*").alias("found"), F.sum(F.col("n") - 1).alias("duplicates"))
     zero = F.lit(0).cast("bigint")
-    return want.join(have, list(keys), "left").select(*keys, "expected", F.coalesce("found", zero).alias("found"), F.coalesce("duplicates", zero).alias("duplicates"))
+    return join_keys(want, have, keys, "left").select(*keys, "expected", F.coalesce("found", zero).alias("found"), F.coalesce("duplicates", zero).alias("duplicates"))
 
 
 def unfinished(expected: DataFrame, done: DataFrame, keys: Sequence[str], row_key: str) -> DataFrame:

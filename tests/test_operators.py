@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from routelens.functions import judge as G
 from routelens.functions import text as X
 from routelens.operators import calibration as K
+from routelens.operators import isotonic as I
 from routelens.operators import contracts as C
 from routelens.operators import features as FT
 from routelens.operators import reports as P
@@ -162,7 +163,8 @@ def test_platt_equals_newton(spark):
 
 def test_isotonic_is_monotone_and_clipped(spark):
     df = spark.createDataFrame([(0.1, 0), (0.2, 1), (0.3, 0), (0.8, 1), (0.8, 1)], "p double, y int")
-    q = K.apply_isotonic(df, K.fit_isotonic(df)).orderBy("p").collect()
+    df = df.withColumn("k", F.lit(0))
+    q = I.apply_isotonic(df, I.fit_isotonic(df, ["k"]), ["k"]).orderBy("p").collect()
     assert [round(r.q, 6) for r in q] == [1e-6, 0.5, 0.5, 1 - 1e-6, 1 - 1e-6]
 
 

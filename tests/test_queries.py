@@ -17,6 +17,7 @@ SF = "/root/testdata/sf0.001"
 QUICK = [
     "route_confirmatory_report", "auroc_by_verifier", "risk_coverage_curve", "threshold_bacc", "gamma_risk_control", "stratified_group_holdout",
     "score_matrix_pivot", "segment_and_label", "bm25_top", "evidence_features", "direct_policy", "shapley_values", "payload_validation", "resumable_scoring",
+    "pool_screen", "feature_and_pool_lattice", "competitor_policies", "nested_config_metrics", "nested_parts_resumed",
 ]
 NAMES = sorted(catalog.ORACLES) if os.environ.get("ROUTELENS_ALL") else QUICK
 
