@@ -118,10 +118,13 @@ def deal(stats: pd.DataFrame, shards: int) -> pd.DataFrame:
 
 
 def sharded(docs: DataFrame, shards: int = SHARDS, keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` (default: all) of every row with size, text_crc32, shard and slot."""
+    """The columns ``keep`` (default: all) of every row with size, text_crc32, shard and slot.
+
+    A column of ``keep`` that has one of these four names is returned as ``doc_<name>``.
+    """
     keep = docs.columns if keep is None else keep
     own = docs.select(
-        *[F.col(c).alias(f"_{i}") for i, c in enumerate(keep)],
+        *[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(keep)],
         size_of(F.col("text")).alias("size"), F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).cast("long").alias("text_crc32"),
         F.xxhash64("text").alias("h"), F.xxhash64("doc_id").alias("d"),
     )
@@ -131,8 +134,8 @@ def sharded(docs: DataFrame, shards: int = SHARDS, keep: list[str] | None = None
     placed = own.withColumn("range", _range_of(bounds)("h", "d")).join(F.broadcast(dealt), "range")
     order = Window.partitionBy("range").orderBy("h", "d")
     placed = placed.withColumn("slot", (F.col("before") + F.row_number().over(order) - 1).cast("long"))
-    extra = [c for c in ("size", "text_crc32", "shard", "slot") if c not in keep]
-    return placed.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(keep)], *extra)
+    made = ("size", "text_crc32", "shard", "slot")
+    return placed.select(*[F.col(f"_{i}").alias(f"doc_{c}" if c in made else c) for i, c in enumerate(keep)], *made)
 
 
 def op6_range_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

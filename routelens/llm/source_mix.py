@@ -71,9 +71,10 @@ def with_copies(docs: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it."""
-    copies = with_copies(docs, docs.columns)
-    return copies.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    """The rows of ``docs``, each as often as the mix takes it; its columns may have any names."""
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "doc_id", "source", "text")
+    copies = with_copies(packed, ["_row"])
+    return copies.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select("_row.*")
 
 
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from routelens.session import scratch_path
 
 BATCH_BYTES = 16 << 20
+BROADCAST_BYTES = 64 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +34,13 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def sized_broadcast(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``rows`` (narrow) rows; beyond that Spark joins by shuffle."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def _width(df: DataFrame) -> Column:
+    """Bytes of a row: what strings and binaries hold, and a fixed share for every column."""
+    wide = [F.coalesce(F.octet_length(f"`{n}`"), F.lit(0)) for n, t in df.dtypes if t in ("string", "binary")]
+    return reduce(lambda a, b: a + b, wide, F.lit(16 * len(df.columns))).cast("long")
+
+
+def sized_broadcast(df: DataFrame, rows: int = 1_000_000, size: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` (columns of plain types) with a broadcast hint if it has at most ``rows`` rows and ``size`` bytes; beyond that Spark joins by shuffle."""
+    n, held = df.limit(rows + 1).agg(F.count(F.lit(1)), F.sum(_width(df))).first()
+    return F.broadcast(df) if n <= rows and (held or 0) <= size else df

@@ -12,7 +12,8 @@ Scale. Fingerprints are made and matched in the scan of the documents: per docum
 before it is broadcast; beyond the bound Spark joins by shuffle. Texts are read again only for documents with a hit.
 
 Defined cases: null texts have no words; items without words are no items; several items with equal windows count each;
-rows with the same doc_id (or without one) share the union of their texts' hits; extra columns are ignored.
+every row is judged by its own text, whatever other rows share its doc_id or lack one (rows are joined by a digest of id and text, so
+only equal rows share a result); extra columns are ignored, whatever their names; a text of any length is one row of words.
 """
 
 from __future__ import annotations
@@ -87,30 +88,30 @@ def item_windows(items: DataFrame) -> DataFrame:
     return worded.where("n > 0").select("item_id", "n", F.explode(_windows(F.col("words"), starts, F.col("n"))).alias("w")).select("item_id", "n", "w.window").distinct()
 
 
-def keyed(doc_id: Column) -> Column:
-    """The id by which rows are joined: rows without an id share one."""
-    return F.coalesce(doc_id, F.lit(-(1 << 63)))
+def keyed(doc_id: Column, text: Column) -> Column:
+    """A digest of id and text, by which rows are joined: equal rows share it."""
+    return F.unhex(F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), F.coalesce(text, F.lit("")))))
 
 
 def window_hits(docs: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Hits (doc_id, start, n, window) of documents, and (item_id, n, window)."""
+    """Hits (key, start, n, window) of documents, and (item_id, n, window)."""
     windows = written(item_windows(items), "item-windows")
     known = written(windows.select("n", "window").distinct(), "windows")
     long_items = items.select(words_of(F.col("text")).alias("words"))
     wanted = long_items.select(F.explode(fingerprints(F.col("words"))).alias("fp")).select(F.shiftright("fp", _PLACE_BITS).alias("hash")).distinct()
     wanted = written(wanted, "wanted")
-    rows = docs.select(keyed(F.col("doc_id")).alias("doc_id"), "text")
+    rows = docs.select(keyed(F.col("doc_id"), F.col("text")).alias("key"), "text")
     words = words_of(F.col("text")).alias("words")
-    worded = rows.select("doc_id", words)
-    found = worded.select("doc_id", F.explode(fingerprints(F.col("words"))).alias("fp"))
-    found = found.select("doc_id", F.shiftright("fp", _PLACE_BITS).alias("hash"), _place(F.col("fp")).alias("place"))
-    found = found.join(sized_broadcast(wanted), "hash", "left_semi").select("doc_id", "place").distinct()
-    starts = found.groupBy("doc_id").agg(F.collect_set("place").alias("places"))
+    worded = rows.select("key", words)
+    found = worded.select("key", F.explode(fingerprints(F.col("words"))).alias("fp"))
+    found = found.select("key", F.shiftright("fp", _PLACE_BITS).alias("hash"), _place(F.col("fp")).alias("place"))
+    found = found.join(sized_broadcast(wanted), "hash", "left_semi").select("key", "place").distinct()
+    starts = found.groupBy("key").agg(F.collect_set("place").alias("places"))
     starts = written(starts, "fingerprint-hits")
-    again = rows.join(sized_broadcast(starts.select("doc_id"), 500_000), "doc_id", "left_semi").select("doc_id", words).join(starts, "doc_id")
+    again = rows.join(sized_broadcast(starts.select("key"), 500_000), "key", "left_semi").select("key", words).join(starts, "key")
     reach = F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(F.greatest(p - (WINDOW - GRAM), F.lit(0)), F.least(p, F.size("words") - WINDOW)))))
-    near = again.where(F.size("words") >= WINDOW).select("doc_id", F.explode(_windows(F.col("words"), reach, WINDOW)).alias("w"))
-    near = near.select("doc_id", "w.start", F.lit(WINDOW).alias("n"), "w.window")
+    near = again.where(F.size("words") >= WINDOW).select("key", F.explode(_windows(F.col("words"), reach, WINDOW)).alias("w"))
+    near = near.select("key", "w.start", F.lit(WINDOW).alias("n"), "w.window")
     hits = near.join(sized_broadcast(known.where(F.col("n") == WINDOW)), ["n", "window"], "left_semi")
 
     short = known.where(F.col("n") < WINDOW)
@@ -118,41 +119,42 @@ def window_hits(docs: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame
     if sizes:
         anchor = F.array_min(F.transform(F.split("window", " "), lambda w: F.xxhash64(w)))
         anchors = short.select("n", anchor.alias("word")).distinct()
-        candidates = worded.select("doc_id", F.explode(F.array_distinct(F.transform("words", lambda w: F.xxhash64(w)))).alias("word"))
-        candidates = candidates.join(sized_broadcast(anchors), "word").groupBy("doc_id").agg(F.collect_set("n").alias("sizes"))
+        candidates = worded.select("key", F.explode(F.array_distinct(F.transform("words", lambda w: F.xxhash64(w)))).alias("word"))
+        candidates = candidates.join(sized_broadcast(anchors), "word").groupBy("key").agg(F.collect_set("n").alias("sizes"))
         candidates = written(candidates, "anchor-hits")
-        again = rows.join(sized_broadcast(candidates.select("doc_id"), 500_000), "doc_id", "left_semi").select("doc_id", words).join(candidates, "doc_id")
-        each = again.select("doc_id", "words", F.explode("sizes").alias("n")).where(F.size("words") >= F.col("n"))
+        again = rows.join(sized_broadcast(candidates.select("key"), 500_000), "key", "left_semi").select("key", words).join(candidates, "key")
+        each = again.select("key", "words", F.explode("sizes").alias("n")).where(F.size("words") >= F.col("n"))
         every = F.sequence(F.lit(0), F.size("words") - F.col("n"))
-        near = each.select("doc_id", "n", F.explode(_windows(F.col("words"), every, F.col("n"))).alias("w")).select("doc_id", "w.start", "n", "w.window")
+        near = each.select("key", "n", F.explode(_windows(F.col("words"), every, F.col("n"))).alias("w")).select("key", "w.start", "n", "w.window")
         hits = hits.unionByName(near.join(sized_broadcast(short), ["n", "window"], "left_semi"))
-    return written(hits.select("doc_id", "start", "n", "window").distinct(), "window-hits"), windows
+    return written(hits.select("key", "start", "n", "window").distinct(), "window-hits"), windows
 
 
 def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(doc_id, n_hit, n_items, items) of the documents with a hit; items are the ids, sorted as text, joined by commas."""
+    """(key, n_hit, n_items, items) of the rows with a hit; items are the ids, sorted as text, joined by commas."""
     hits, windows = window_hits(docs, items)
-    spans = hits.groupBy("doc_id").agg(F.collect_set(F.struct("start", "n")).alias("spans"))
+    spans = hits.groupBy("key").agg(F.collect_set(F.struct("start", "n")).alias("spans"))
     covered = F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["start"] + s["n"] - 1)))
-    covered = spans.select("doc_id", F.size(F.array_distinct(covered)).cast("long").alias("n_hit"))
-    pairs = hits.select("doc_id", "n", "window").distinct().join(sized_broadcast(windows, 500_000), ["n", "window"]).select("doc_id", "item_id").distinct()
-    listed = pairs.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.col("item_id").cast("string"))).alias("ids"))
-    listed = listed.select("doc_id", F.size("ids").cast("long").alias("n_items"), F.array_join("ids", ",").alias("items"))
-    return covered.join(listed, "doc_id")
+    covered = spans.select("key", F.size(F.array_distinct(covered)).cast("long").alias("n_hit"))
+    pairs = hits.select("key", "n", "window").distinct().join(sized_broadcast(windows, 500_000), ["n", "window"]).select("key", "item_id").distinct()
+    listed = pairs.groupBy("key").agg(F.array_sort(F.collect_list(F.col("item_id").cast("string"))).alias("ids"))
+    listed = listed.select("key", F.size("ids").cast("long").alias("n_items"), F.array_join("ids", ",").alias("items"))
+    return covered.join(listed, "key")
 
 
 def decontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of ``docs`` none of whose words lie in a window of an item."""
-    hit = window_hits(docs, items)[0].select(F.col("doc_id").alias("_key")).distinct()
-    return docs.withColumn("_key", keyed(F.col("doc_id"))).join(sized_broadcast(hit, 500_000), "_key", "left_anti").select(*docs.columns)
+    """The rows of ``docs`` none of whose words lie in a window of an item; its columns may have any names."""
+    hit = window_hits(docs, items)[0].select("key").distinct()
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), keyed(F.col("doc_id"), F.col("text")).alias("key"))
+    return packed.join(sized_broadcast(hit, 500_000), "key", "left_anti").select("row.*")
 
 
 def op9_winnow_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much of every document occurs in benchmark items, and in which."""
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    found = contamination(docs, items)
-    counted = docs.select("doc_id", keyed(F.col("doc_id")).alias("_key"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"))
-    both = counted.join(sized_broadcast(found.select(F.col("doc_id").alias("_key"), "n_hit", "n_items", F.sha2("items", 256).alias("digest")), 500_000), "_key", "left")
+    found = contamination(docs, items).select("key", "n_hit", "n_items", F.sha2("items", 256).alias("digest"))
+    counted = docs.select("doc_id", keyed(F.col("doc_id"), F.col("text")).alias("key"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"))
+    both = counted.join(sized_broadcast(found, 500_000), "key", "left")
     hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     none = F.sha2(F.lit(""), 256)
     return both.select("doc_id", "n_words", hit.alias("n_hit"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"), F.coalesce("digest", none).alias("items_sha256"), (hit > 0).alias("contaminated"))
@@ -160,7 +162,7 @@ def op9_winnow_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP9_SQL = r"""
 WITH docs AS (
-  SELECT doc_id, regexp_extract_all(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents
 ), items AS (
   SELECT item_id, regexp_extract_all(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark
 ), item_starts AS (
@@ -168,17 +170,17 @@ WITH docs AS (
 ), item_windows AS (
   SELECT DISTINCT item_id, n, array_to_string(words[s : s + n - 1], ' ') AS win FROM item_starts
 ), doc_starts AS (
-  SELECT doc_id, words, n, unnest(range(1, len(words) - n + 2)) AS s FROM docs, (SELECT DISTINCT n FROM item_windows) sizes WHERE len(words) >= n
+  SELECT rid, words, n, unnest(range(1, len(words) - n + 2)) AS s FROM docs, (SELECT DISTINCT n FROM item_windows) sizes WHERE len(words) >= n
 ), hits AS (
-  SELECT d.doc_id, d.s, d.n, d.win FROM (SELECT doc_id, s, n, array_to_string(words[s : s + n - 1], ' ') AS win FROM doc_starts) d
+  SELECT d.rid, d.s, d.n, d.win FROM (SELECT rid, s, n, array_to_string(words[s : s + n - 1], ' ') AS win FROM doc_starts) d
   WHERE (d.n, d.win) IN (SELECT (n, win) FROM item_windows)
 ), covered AS (
-  SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS p FROM hits) GROUP BY doc_id
+  SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(s, s + n)) AS p FROM hits) GROUP BY rid
 ), named AS (
-  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
-  FROM (SELECT DISTINCT h.doc_id, i.item_id::VARCHAR AS item FROM hits h JOIN item_windows i ON h.n = i.n AND h.win = i.win) GROUP BY doc_id
+  SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT h.rid, i.item_id::VARCHAR AS item FROM hits h JOIN item_windows i ON h.n = i.n AND h.win = i.win) GROUP BY rid
 )
 SELECT d.doc_id, len(d.words)::BIGINT AS n_words, COALESCE(c.n_hit, 0)::BIGINT AS n_hit, COALESCE(m.n_items, 0)::BIGINT AS n_items,
   sha256(COALESCE(m.items, '')) AS items_sha256, COALESCE(c.n_hit, 0) > 0 AS contaminated
-FROM docs d LEFT JOIN covered c ON d.doc_id = c.doc_id LEFT JOIN named m ON d.doc_id = m.doc_id
+FROM docs d LEFT JOIN covered c ON d.rid = c.rid LEFT JOIN named m ON d.rid = m.rid
 """

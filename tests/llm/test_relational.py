@@ -6,13 +6,14 @@ import zlib
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
 from routelens.llm import catalog
 from routelens.llm.range_shards import sharded
 from routelens.llm.source_mix import WEIGHTS, mixed, source_targets, with_copies
-from routelens.llm.winnow import WINDOW, contamination, decontaminated
+from routelens.llm.winnow import OP9_SQL, WINDOW, contamination, decontaminated, keyed, op9_winnow_decontamination
 from tests.llm.conftest import prose
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -21,12 +22,12 @@ WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 @pytest.mark.parametrize("name", sorted(catalog.ORACLES))
 def test_as_the_sql(spark, sf, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "labels", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     df = catalog.QUERIES[name](spark, sf)
     cols = ", ".join(sorted(df.columns))
-    want = con.execute(f"SELECT {cols} FROM ({catalog.ORACLES[name]}) ORDER BY doc_id").fetchall()
-    assert [tuple(r) for r in df.select(*sorted(df.columns)).orderBy("doc_id").collect()] == want
+    want = con.execute(f"SELECT {cols} FROM ({catalog.ORACLES[name]})").fetchall()
+    assert sorted(map(repr, (tuple(r) for r in df.select(*sorted(df.columns)).collect()))) == sorted(map(repr, want))
 
 
 def fill(sizes):
@@ -98,7 +99,8 @@ def test_contamination_against_brute_force(spark):
     docs += [(50, other.upper() + "! " + other), (51, "TINY -- three; words"), (52, "tiny three"), (53, None), (54, ""), (55, "a " * 40), (56, "x É one y solo"), (57, prose(502, 9)), (58, " ".join(long_item.split()[3:12])), (None, long_item)]
     df = spark.createDataFrame([(i, t, 1) for i, t in docs], "doc_id long, text string, n_hit int")
     bench = spark.createDataFrame([(i, t, "x") for i, t in items], "item_id long, text string, words string")
-    got = {(None if r.doc_id == -(1 << 63) else r.doc_id): (r.n_hit, r.n_items, r["items"]) for r in contamination(df, bench).collect()}
+    rows = df.withColumn("key", keyed(F.col("doc_id"), F.col("text"))).select("key", "doc_id")
+    got = {r.doc_id: (r.n_hit, r.n_items, r["items"]) for r in contamination(df, bench).join(rows, "key").collect()}
     assert got == brute(docs, items)
     assert {r.doc_id for r in decontaminated(df, bench).collect()} == {i for i, _ in docs} - set(got)
     assert contamination(df.limit(0), bench).count() == 0 and contamination(df, bench.limit(0)).count() == 0
@@ -162,4 +164,35 @@ def test_pipeline(spark, sf):
 
 def test_entry_registers_the_operators():
     names = set(entry.queries())
-    assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11))
+    assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 14))
+
+
+def test_rows_of_one_id_are_judged_apart(spark, tmp_path):
+    """A clean row with the id of a contaminated one, and clean rows without an id, keep their own result."""
+    item = prose(700, 30)
+    docs = [(1, f"x {item} y"), (1, prose(701, 50)), (None, item), (None, prose(702, 40)), (None, prose(703, 40)), (2, item), (2, item), (3, None)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([(i, t, "en", "s", 0) for i, t in docs], schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = op9_winnow_decontamination(spark, str(tmp_path))
+    columns = sorted(got.columns)
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    want = con.execute(f"SELECT {', '.join(columns)} FROM ({OP9_SQL})").fetchall()
+    assert sorted(map(repr, (tuple(r) for r in got.select(*columns).collect()))) == sorted(map(repr, want))
+    assert sorted(r.n_hit for r in got.collect()) == [0, 0, 0, 0, 30, 30, 30, 30]
+    df = spark.read.parquet(f"{tmp_path}/documents.parquet").withColumn("key", F.lit("mine")).withColumn("_key", F.lit(7))
+    kept = decontaminated(df, spark.read.parquet(f"{tmp_path}/benchmark.parquet"))
+    assert kept.columns == df.columns and kept.count() == 4 and {r.key for r in kept.collect()} == {"mine"} and {r._key for r in kept.collect()} == {7}
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    rows = [(i, prose(i, 20), "ab"[i % 2]) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken = ("_size", "_copies", "_target", "_source", "_source_size", "_copy", "_row", "a.b")
+    wide = df.select("*", *[F.lit(c).alias(c) for c in taken])
+    out = mixed(wide)
+    assert out.columns == wide.columns and {r["_size"] for r in out.collect()} == {"_size"}
+    made = sharded(df.select("*", *[F.lit(-1).alias(c) for c in ("shard", "slot", "size", "text_crc32")]), 4).collect()
+    assert all(r.shard >= 0 and r.slot >= 0 and r.doc_shard == r.doc_slot == r.doc_size == -1 for r in made) and len(made) == 60
