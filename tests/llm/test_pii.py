@@ -98,3 +98,9 @@ def test_query(spark, sf):
         assert r.base_sha256 == hashlib.sha256(joined.encode()).hexdigest()
         assert set(filter(None, joined.split(","))) <= set(filter(None, r.spans.split(",")))
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == x for _, x, _ in base) for k in range(4)]
+
+
+def test_very_long_numbers_beside_dots():
+    for zeros in (5000, 100_000):
+        text = "0" * zeros + ".1.2.3 and 0" + "0" * zeros + "1.2.3.4 and 9" + "9" * zeros + ".1.2.3"
+        assert [text[a:b].strip("0") for a, k, b in C.base_spans(text) if k == 1] == [".1.2.3", "1.2.3.4"]
