@@ -3,9 +3,12 @@
 Labels mark documents, the field needs labelled tokens. So first, on at most ``FIT_ROWS`` labelled documents of each
 label (chosen by a hash of doc_id), words and word beginnings far likelier in toxic than in clean documents become candidates,
 and expectation-maximisation shares every toxic document out among its candidates: words that merely travel along with
-a family of copies lose their share to words that explain many different documents, and are not picked. Occurrences of picked
+a family of copies lose their share to words that explain many different documents, and are not picked. A word is picked
+when its share (a word and its beginnings divide theirs) is at least ``MIN_EXPLAINED`` documents, copies counted once, and when its counts in toxic and clean
+documents would differ so by chance in 1 % of words (``MIN_G``, a likelihood-ratio test); neither bound grows with the
+sample, so hundreds of rare toxic words are picked side by side. Occurrences of picked
 words in toxic documents are the toxic tokens of the training sentences (at most ``FIT_SENTENCES`` of each kind). The
-field has hashed word, neighbour-word and length features and two tags; forward-backward marginals of every token of
+field has hashed word, word-beginning and neighbour-word features and two tags; forward-backward marginals of every token of
 every whole text give a document's expected number of toxic tokens (from marginals of at least ``FLOOR``, so that
 long texts do not add up traces) and its largest marginal, and a logistic curve over
 these two, fitted on the same bounded sample, is the score. Tokens with a marginal of at least one half are reported as
@@ -15,7 +18,8 @@ Only bounded tables reach the driver (sample rows, candidates, sentences); scori
 at ``.``, ``!``, ``?``, a line break or ``SENTENCE`` words, so memory and steps stay bounded for texts without stops.
 
 Defined cases: null and empty texts have no tokens and get the score of no evidence; without toxic or without clean
-labels every score is the share of toxic labels (0 if there are none); extra columns are ignored.
+labels, or when no word sets them apart, every score is the share of toxic labels (0 if there are none); rows that repeat count
+once for the words; texts of any length are read whole; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from routelens.llm.crf import Chains, LinearChain
@@ -38,7 +42,7 @@ CANDIDATES = 2_000
 MIN_DOCS = 3
 MIN_EXPLAINED = 1.0
 MIN_RATIO = 12.0
-MIN_SHARE = 0.005
+MIN_G = 6.63  # the 1 % point of chi-squared with one degree of freedom
 SENTENCE = 256
 BUCKETS = 1 << 20
 PREFIXES = (4, 5, 6)
@@ -61,10 +65,10 @@ def sentences(data: np.ndarray, offsets: np.ndarray, start: np.ndarray, row: np.
     return np.diff(np.append(first, len(start)))
 
 
-def word_features(units: np.ndarray, length: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Feature ids of each word: two hashes of it and one of each prefix, of its neighbours in the sentence, its length, a constant.
+def word_features(units: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Feature ids of each word: two hashes of it and one of each prefix, of its neighbours in the sentence, a constant.
 
-    A chance collision hits one of these slots and is outvoted by the others.
+    A chance collision hits one of these slots and is outvoted by the others. Nothing here tells an unseen word from another one.
     """
     n = len(units)
     follows = np.ones(n, bool)
@@ -74,11 +78,10 @@ def word_features(units: np.ndarray, length: np.ndarray, lengths: np.ndarray) ->
     before[1:] = np.where(follows[1:], units[:-1, 0], np.uint64(0))
     after[:-1] = np.where(follows[1:], units[1:, 0], np.uint64(0))
     slots = [units[:, 0], *units.T, before, after]
-    ids = np.empty((n, len(slots) + 2), np.int32)
+    ids = np.empty((n, len(slots) + 1), np.int32)
     for slot, x in enumerate(slots):
         ids[:, slot] = (mix(x + np.uint64(slot)) & np.uint64(BUCKETS - 1)).astype(np.int32)
-    ids[:, -2] = BUCKETS + np.minimum(length, 31)
-    ids[:, -1] = BUCKETS + 32
+    ids[:, -1] = BUCKETS
     return ids
 
 
@@ -102,7 +105,8 @@ def _distinct_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 def pick_units(rows: pd.DataFrame, rounds: int = 60) -> set[int]:
     """Words and beginnings that explain toxic documents. Expectation-maximisation shares each document out among its candidates by how
     much each explains elsewhere, so words that only travel along with copies of a text lose their share."""
-    docs = [list(w) for w, y in zip(rows["words"], rows["y"], strict=True) if y == 1 and len(w)]
+    first = rows[rows["y"] == 1].drop_duplicates("text")
+    docs = [list(w) for w in first["words"] if len(w)]
     if not docs:
         return set()
     doc = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
@@ -112,7 +116,18 @@ def pick_units(rows: pd.DataFrame, rounds: int = 60) -> set[int]:
         part = share[word]
         part /= np.bincount(doc, part)[doc]
         share = np.bincount(word, part, len(names))
-    return set(names[share >= max(MIN_EXPLAINED, MIN_SHARE * len(docs))].tolist())
+    return set(names[share >= MIN_EXPLAINED].tolist())
+
+
+def likelihood_ratio(toxic: int, clean: int) -> Column:
+    """Twice the gain in log-likelihood from letting a word's rate differ between ``toxic`` and ``clean`` documents (columns n1, n0)."""
+
+    def part(seen: Column, size: int) -> Column:
+        rate = (F.col("n1") + F.col("n0")) / F.lit(float(toxic + clean))
+        return F.when(seen > 0, seen * F.log(seen / (size * rate))).otherwise(0.0)
+
+    n1, n0 = F.col("n1"), F.col("n0")
+    return 2 * (part(n1, toxic) + part(n0, clean))  # for rare words; absences add next to nothing
 
 
 def _sentence_batches(picked: set[int]):
@@ -133,7 +148,7 @@ def _sentence_batches(picked: set[int]):
                 cuts = pa.array(np.append(first, len(tag)).astype(np.int32))
                 wide = pa.array(np.append(first, len(tag)).astype(np.int32) * units.shape[1])
                 columns = {"doc_id": pa.array(ids[lo + row[first]]), "place": pa.array(first), "kind": pa.array(kind)}
-                for name, x, at in (("words", units.ravel().view(np.int64), wide), ("length", end - start, cuts), ("tags", tag.astype(np.int64), cuts)):
+                for name, x, at in (("words", units.ravel().view(np.int64), wide), ("tags", tag.astype(np.int64), cuts)):
                     columns[name] = pa.ListArray.from_arrays(at, pa.array(x))
                 yield pa.RecordBatch.from_pydict(columns)
 
@@ -154,7 +169,7 @@ class ToxicityModel:
             if not len(start) or self.field is None:
                 continue
             size = sentences(data, offsets, start, row)
-            p = self.field.marginals(self.field.emissions(word_features(units, end - start, size)), Chains(size))[0][:, 1]
+            p = self.field.marginals(self.field.emissions(word_features(units, size)), Chains(size))[0][:, 1]
             out[lo:hi, 0] = np.bincount(row, np.where(p >= FLOOR, p, 0.0), hi - lo)
             np.maximum.at(out[lo:hi, 1], row, p)
             if spans and (p >= 0.5).any():
@@ -196,17 +211,21 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, fit_s
     words = sample.mapInArrow(_distinct_batches, "doc_id long, y int, words array<long>")
     each = words.select("y", F.explode("words").alias("w")).groupBy("w").agg(F.sum("y").alias("n1"), F.sum(1 - F.col("y")).alias("n0"))
     ratio = F.log(((F.col("n1") + 0.1) / (counts[1] + 1)) / ((F.col("n0") + 0.1) / (counts[0] + 1)))
-    best = each.where(F.col("n1") >= MIN_DOCS).withColumn("score", ratio).where(F.col("score") >= float(np.log(MIN_RATIO)))
+    best = each.where(F.col("n1") >= MIN_DOCS).withColumn("score", ratio).where((F.col("score") >= float(np.log(MIN_RATIO))) & (likelihood_ratio(counts[1], counts[0]) >= MIN_G))
     scores = {r.w: r.score for r in best.orderBy(F.desc(F.col("score") * F.col("n1")), "w").limit(CANDIDATES).collect()}
     listed = F.array(*[F.lit(w).cast("long") for w in sorted(scores)]) if scores else F.array().cast("array<long>")
-    rows_with = words.where("y = 1").select("doc_id", "y", F.array_intersect("words", listed).alias("words")).toPandas()
+    rows_with = words.where("y = 1").select("doc_id", "y", F.xxhash64("words").alias("text"), F.array_intersect("words", listed).alias("words")).toPandas()
     picked = pick_units(rows_with.sort_values("doc_id"))
-    drawn = sample.mapInArrow(_sentence_batches(picked), "doc_id long, place long, kind int, words array<long>, length array<long>, tags array<long>")
+    if not picked:
+        sample.unpersist()
+        toxic, clean = known.agg(F.sum("y"), F.sum(1 - F.col("y"))).first()
+        return ToxicityModel(None, np.array([np.log(toxic / clean), 0.0, 0.0]))
+    drawn = sample.mapInArrow(_sentence_batches(picked), "doc_id long, place long, kind int, words array<long>, tags array<long>")
     train = [drawn.where(F.col("kind") == kind).orderBy(F.xxhash64("doc_id", "place"), "doc_id", "place").limit(fit_sentences) for kind in (0, 1)]
     train = train[0].unionByName(train[1]).toPandas()
     size = train["tags"].map(len).to_numpy(int)
-    joined = {c: np.concatenate([np.asarray(x, np.int64) for x in train[c]]) if len(train) else np.zeros(0, np.int64) for c in ("words", "length", "tags")}
-    field = LinearChain(BUCKETS + 33, 2).fit(word_features(joined["words"].view(np.uint64).reshape(-1, len(PREFIXES) + 1), joined["length"], size), joined["tags"], size)
+    joined = {c: np.concatenate([np.asarray(x, np.int64) for x in train[c]]) if len(train) else np.zeros(0, np.int64) for c in ("words", "tags")}
+    field = LinearChain(BUCKETS + 1, 2).fit(word_features(joined["words"].view(np.uint64).reshape(-1, len(PREFIXES) + 1), size), joined["tags"], size)
     model = ToxicityModel(field, np.zeros(3))
     seen = _evidence(sample, model, ["doc_id", "y"]).toPandas().sort_values("doc_id")
     sample.unpersist()

@@ -1,6 +1,7 @@
 """Quality, language, toxicity: held-out accuracy and defined cases; the field against brute force."""
 
 import itertools
+import random
 
 import numpy as np
 import pyarrow as pa
@@ -134,3 +135,28 @@ def test_toxicity_learns_from_few_rows(spark):
     got = {r.doc_id: r for r in toxicity_crf.score_toxicity(docs, toxicity_crf.fit_toxicity(docs, labels)).collect()}
     assert all((r.score >= 0.5) == (100 <= i < 200) for i, r in got.items())
     assert got[100].spans == "16:21,34:39,50:55" and got[109].spans == got[100].spans
+
+
+def test_hundreds_of_rare_toxic_words(spark):
+    """Toxic documents that share no common word, only one of 300 rare ones, are learned; unseen clean words are not flagged."""
+    r = random.Random(12)
+    clean = [f"word{i}" for i in range(300)]
+    bad = ["".join(r.choice("bdgkmptvz") + r.choice("aeiou") for _ in range(4)) + str(i) for i in range(300)]
+    text = lambda extra: " ".join([r.choice(clean) for _ in range(20)] + extra + [r.choice(clean) for _ in range(20)])
+    docs = [(i, text([bad[i % 300]] if i < 1500 else [])) for i in range(4500)]
+    docs += [(10_000 + i, text([f"unseen{i}x"])) for i in range(300)] + [(20_000 + i, text([bad[i]])) for i in range(300)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 1500)) for i in range(4500)], "doc_id long, toxic int")
+    model = toxicity_crf.fit_toxicity(df.where("doc_id < 10000"), labels)
+    got = {x.doc_id: x.score for x in toxicity_crf.score_toxicity(df.where("doc_id >= 10000"), model).collect()}
+    flagged = lambda lo: sum(got[lo + i] >= 0.5 for i in range(300))
+    assert flagged(10_000) <= 3 and flagged(20_000) >= 270
+
+
+def test_nothing_sets_toxic_documents_apart(spark):
+    r = random.Random(3)
+    docs = [(i, " ".join(r.choice("abcdefgh") * 3 for _ in range(30))) for i in range(200)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(200)], "doc_id long, toxic int")
+    scores = {x.score for x in toxicity_crf.score_toxicity(df, toxicity_crf.fit_toxicity(df, labels)).collect()}
+    assert len(scores) == 1 and abs(scores.pop() - 0.25) < 1e-9
