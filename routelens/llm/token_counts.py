@@ -32,6 +32,9 @@ LIMIT = 2048
 
 # fixed values of the public vocabulary file word_bpe_49k.json: its pre-tokenizer pattern
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+# fixed values: capital letters whose small letters are younger than Python's tables but known to the library, and these small letters
+LATER = {0x1C89: 0x1C8A, 0xA7CB: 0x0264, 0xA7DA: 0xA7DB, 0xA7DC: 0x019B, **{c: c + 32 for c in range(0x10D50, 0x10D66)}}
+_LATER = re.compile("[\u1C89\uA7CB\uA7DA\uA7DC\U00010D50-\U00010D65]")
 ASCII_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+"
 
 
@@ -128,7 +131,8 @@ class PairMerger(dict):
                 found = self.ascii_pieces.findall(part.lower())
             else:
                 # lower case by character: a final capital sigma has no form of its own here
-                found = self.pieces.findall(unicodedata.normalize("NFC", part).replace("Σ", "σ").lower())
+                part = unicodedata.normalize("NFC", part).replace("Σ", "σ")
+                found = self.pieces.findall((part.translate(LATER) if _LATER.search(part) else part).lower())
             total += sum(map(self.__getitem__, found))
         return total
 

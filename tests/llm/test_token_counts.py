@@ -29,6 +29,14 @@ def test_as_the_library_for_any_text(text):
     assert MERGER.count(text) == library(text)
 
 
+def test_every_code_point_as_the_library():
+    """Case, class and composition of every assigned plane, beside letters and digits."""
+    points = [c for c in range(0x20000) if not 0xD800 <= c < 0xE000]
+    texts = [f"a{chr(c)}b 1{chr(c)}" for c in points]
+    want = LIBRARY.encode_batch(texts, add_special_tokens=False)
+    assert [hex(c) for c, t, w in zip(points, texts, want) if MERGER.count(t) != len(w.ids)] == []
+
+
 def test_null_empty_repeated_and_extra(spark):
     rows = [(1, None, "x"), (2, "", "x"), (3, "the the", "x"), (3, "the the", "x"), (None, "a", "x")]
     df = spark.createDataFrame(rows, "doc_id long, text string, n_tokens string")
