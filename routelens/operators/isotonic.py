@@ -110,7 +110,7 @@ def apply_isotonic(df: DataFrame, blocks: DataFrame, keys: Sequence[str], p: str
         F.when(lo.isNull(), hi["v"]).when(hi.isNull() | (hi["x"] == lo["x"]), lo["v"])
         .otherwise(lo["v"] + (hi["v"] - lo["v"]) * ((v - lo["x"]) / (hi["x"] - lo["x"])))
     )
-    return x.withColumn(out, clip(value, EPS, 1 - EPS)).drop("_near", "_a", "_b", "_cell")
+    return x.withColumn(out, F.when(value.isNotNull(), clip(value, EPS, 1 - EPS))).drop("_near", "_a", "_b", "_cell")
 
 
 def stage_two(
