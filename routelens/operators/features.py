@@ -3,20 +3,21 @@
 Each distinct source is split and tokenised once. Terms become postings (document, sentence,
 term), queries become (pair, term) rows, and BM25 / TF-IDF / coverage are a join on
 (document, term) followed by sums. A popular document is spread over its terms, and no text
-is processed in a Python loop; only the LCS of ROUGE-L needs an Arrow function.
+is processed in a Python loop; only the stems and the LCS of ROUGE-L need Arrow functions.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import ArrayType, DoubleType, StringType
 
 from routelens.functions import text as X
+from routelens.functions.stemming import stem
 
 K1, B = 1.5, 0.75
 
@@ -140,11 +141,34 @@ def rouge_words(x: Column) -> Column:
     return X.found(F.lower(x), "[a-z0-9]+")
 
 
-def rouge_scores(pairs: DataFrame) -> DataFrame:
-    """ROUGE-L F (unstemmed) of the summary against every source sentence sharing a token."""
-    s = pairs.select("pair_id", rouge_words(F.col("summary")).alias("q"), F.posexplode(X.sentences(F.col("source"))).alias("sidx", "sentence"))
-    s = s.withColumn("t", rouge_words(F.col("sentence"))).filter(F.arrays_overlap("q", "t"))
-    return s.select("pair_id", "sidx", rouge_l("q", "t").alias("score"))
+REMEMBERED = 200_000
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def stemmed(tokens: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Stems of tokens of more than three letters; each different token of a task is stemmed once, up to ``REMEMBERED`` of them."""
+    known: dict[str, str] = {}
+
+    def one(t: str) -> str:
+        if len(t) <= 3:
+            return t
+        if t not in known:
+            if len(known) >= REMEMBERED:
+                known.clear()
+            known[t] = stem(t)
+        return known[t]
+
+    for batch in tokens:
+        yield batch.map(lambda ts: None if ts is None else [one(t) for t in ts])
+
+
+def rouge_scores(pairs: DataFrame, stems: bool = True) -> DataFrame:
+    """ROUGE-L F of the (stemmed) summary against every source sentence sharing a token."""
+    as_is = lambda x: x
+    cut = stemmed if stems else as_is
+    q = pairs.select("pair_id", cut(rouge_words(F.col("summary"))).alias("q"), X.sentences(F.col("source")).alias("_s"))
+    s = q.select("pair_id", "q", F.posexplode("_s").alias("sidx", "sentence")).withColumn("t", cut(rouge_words(F.col("sentence"))))
+    return s.filter(F.arrays_overlap("q", "t")).select("pair_id", "sidx", rouge_l("q", "t").alias("score"))
 
 
 def local_features(pairs: DataFrame) -> DataFrame:

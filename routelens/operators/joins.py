@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -80,3 +80,17 @@ def compare_runs(a: DataFrame, b: DataFrame, keys: Sequence[str], value: str) ->
         F.count("*").alias("shared"), F.max(F.abs(d)).alias("max_abs_delta"), F.avg(d).alias("mean_delta"),
         F.corr("a", "b").alias("correlation"), F.bool_and(d == 0).alias("identical"),
     )
+
+
+def gated_labels(frame: DataFrame, labels: DataFrame, keys: Sequence[str], columns: Sequence[str], with_labels: bool) -> tuple[DataFrame, dict[str, Column]]:
+    """The frame with its labels if the gate is open, and the rules a writer has to check: then no row may lack one.
+
+    Behind a closed gate the frame must not hold a label column at all.
+    """
+    held = [c for c in columns if c in frame.columns]
+    if held:
+        raise ValueError(f"the frame already holds {held}")
+    if not with_labels:
+        return frame, {}
+    joined = frame.join(labels.select(*keys, *columns), list(keys), "left")
+    return joined, {f"hole_in_{c}": F.col(c).isNotNull() for c in columns}

@@ -77,3 +77,19 @@ def rolled_up_status(status: Column) -> Column:
         F.when(every("SCORED"), "SCORED").when(every("SKIPPED"), "SKIPPED").when(some("RUNNING"), "RUNNING")
         .when(some("SCORED"), "PARTIAL").when(some("FAILED"), "FAILED").otherwise("PENDING")
     )
+
+
+def best_under_shares(summary: DataFrame, shares: dict[str, float], tolerance: float, by: str = "method") -> DataFrame:
+    """The chosen configuration of every ``by``: of those whose call shares all lie within ``tolerance`` of the wanted ones, the best
+    AUROC, then the lower latency, then the better balanced accuracy; where none does, the one with the smallest worst share error.
+
+    ``summary`` has auroc, mean_ms, bacc and one column per key of ``shares``; the result says which case held and which row is best overall.
+    """
+    gap = F.greatest(*[F.abs(F.col(c) - F.lit(v)) for c, v in shares.items()])
+    x = summary.withColumn("max_share_error", F.round(gap, 9)).withColumn("eligible", F.col("max_share_error") <= tolerance)
+    near = F.when(F.col("eligible"), F.lit(0.0)).otherwise(F.col("max_share_error"))
+    order = [F.col("eligible").desc(), near, F.round("auroc", 12).desc(), F.round("mean_ms", 9), F.round("bacc", 12).desc()]
+    first = x.withColumn("_r", F.row_number().over(W.partitionBy(by).orderBy(*order, *[F.col(c) for c in summary.columns]))).filter("_r = 1").drop("_r")
+    status = F.when(F.col("eligible"), "eligible").otherwise("closest_ineligible")
+    better = [F.col("eligible").desc(), F.round("auroc", 12).desc(), F.round("mean_ms", 9), F.round("bacc", 12).desc(), F.col(by)]
+    return first.withColumn("selection_status", status).withColumn("overall_best", F.row_number().over(W.partitionBy(F.lit(1)).orderBy(*better)) == 1)  # one row per ``by``

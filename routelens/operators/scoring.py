@@ -7,7 +7,7 @@ task, and rows spread evenly over tasks by key, whatever their source.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -28,6 +28,39 @@ def pending(inputs: DataFrame, cached: DataFrame) -> DataFrame:
     return inputs.join(done, ["episode_key", "verifier"], "left_anti")
 
 
+IDENTITY = ("model_revision", "protocol_version", "input_sha256", "harness_sha256")
+
+
+def pending_identified(inputs: DataFrame, cached: DataFrame, keys: Sequence[str] = ("episode_key", "verifier"), identity: Sequence[str] = IDENTITY) -> DataFrame:
+    """Inputs whose latest parsed result was made by another model, protocol, input or harness, or that have none.
+
+    ``inputs`` carry the identity they would be scored with now; a result counts only if all of it is the same (nulls match nulls).
+    ``why`` says ``missing`` or names the first part that has changed.
+    """
+    last = latest_per_key(cached.filter("parse_ok"), list(keys), F.col("attempt"))
+    old = last.select(*keys, *[F.col(c).alias(f"_was_{c}") for c in identity], F.lit(True).alias("_known"))
+    j = inputs.join(old, list(keys), "left")
+    why = F.when(F.col("_known").isNull(), "missing")
+    for c in identity:
+        why = why.when(~F.col(c).eqNullSafe(F.col(f"_was_{c}")), c)
+    return j.withColumn("why", why).filter("why is not null").drop("_known", *[f"_was_{c}" for c in identity])
+
+
+def call_plan(routes: DataFrame, row: str = "episode_key", seed: str = "seed", action: str = "selected_action") -> tuple[DataFrame, DataFrame]:
+    """(plan, calls): which verifier each (row, seed) asks, and every different (row, verifier) once.
+
+    Seeds that route a row alike share one call; rows without a call are in the plan with a null verifier.
+    """
+    plan = routes.select(row, seed, F.col(action).alias("verifier"))
+    return plan, plan.filter("verifier is not null").select(row, "verifier").distinct()
+
+
+def executed(plan: DataFrame, results: DataFrame, row: str = "episode_key") -> DataFrame:
+    """The plan with its results; a call that was planned and not made is an unavailable result, never a lost row."""
+    j = plan.join(results.select(row, "verifier", "score", "available"), [row, "verifier"], "left")
+    return j.withColumn("available", F.coalesce("available", F.lit(False))).withColumn("score", F.coalesce("score", F.lit(0.5)))
+
+
 OVERFLOW, FAILURE, UNPARSED = "context_overflow", "scorer_error", "parse_failure"
 
 

@@ -9,10 +9,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from routelens.config import BETA_GRID
+from routelens.functions import expr as E
 from routelens.operators import arms as A
 from routelens.operators import metrics as M
 from routelens.operators import reports as P
+from routelens.operators import routing as R
 from routelens.operators import splits as S
+from routelens.operators.neighbours import nearest_mean
 from routelens.operators.ordered import quantiles
 from routelens.plans.metric_queries import rounded
 from routelens.plans.policy_queries import EPS, _SIDES, sides, sql
@@ -257,3 +260,35 @@ def lattice_shapley(spark, sf):
         gap = F.abs(F.sum("shapley").over(W.partitionBy(F.lit(1))) - F.lit(ends[0] - ends[1]))  # one row an item
         out.append(P.shapley(one, items, value="auroc").drop("share").withColumn("efficient", gap < 1e-9).withColumn("kind", F.lit(kind)))
     return rounded(out[0].unionByName(out[1]))
+
+
+# ------------------------------------------------------------------------------------ nearest-neighbour heads
+
+NEIGHBOURS = 25
+
+
+@query("knn_router", "H4 X11", sql("""
+SELECT 'knn' AS system, any_value(knn_test.beta) AS beta, count(*) AS n_rows, round(any_value(auroc),6) AS auroc, round(avg(ms),6) AS mean_ms, round(avg(((p>=0.5::double)=(y=1))::int),6) AS acc FROM knn_test, (""" + _AREA.format(k="beta", t="knn_test") + """) au WHERE au.beta=knn_test.beta""", *_BINNED[:5],
+    "knn_train AS (SELECT episode_key, " + ", ".join(TEXT_FEATURES) + ", unnest([0,1,2]) AS act, unnest([a0,a1,a2]) AS a, unnest([" + ", ".join(f"1+(q{i}-greatest(q0,q1,q2))" for i in range(3)) + "]) AS t FROM lat_rows WHERE side='fit')",
+    "knn_near AS (SELECT q.episode_key, act, t, sqrt(" + "+".join(f"(q.{f}-n.{f})*(q.{f}-n.{f})" for f in TEXT_FEATURES) + f") AS dist FROM lat_rows q, knn_train n WHERE q.side<>'fit' AND n.a QUALIFY row_number() OVER (PARTITION BY q.episode_key, act ORDER BY dist, n.episode_key)<={NEIGHBOURS})",
+    "knn_heads AS (SELECT episode_key, " + ", ".join(f"max(h) FILTER (act={i}) AS h{i}" for i in range(3)) + " FROM (SELECT episode_key, act, least(greatest(CASE WHEN min(dist)=0 THEN avg(t) FILTER (dist=0) ELSE sum(t/nullif(dist,0))/sum(1/nullif(dist,0)) END,0),1) AS h FROM knn_near GROUP BY ALL) GROUP BY 1)",
+    "knn_price AS (SELECT " + ", ".join(f"avg(l{i}) FILTER (a{i}) AS k{i}" for i in range(3)) + " FROM lat_rows WHERE side='fit')",
+    f"""knn_routes AS (SELECT *, CASE sel WHEN 0 THEN c0 WHEN 1 THEN c1 WHEN 2 THEN c2 END AS p, label_supported AS y, feature_latency_ms+CASE sel WHEN 0 THEN l0 WHEN 1 THEN l1 WHEN 2 THEN l2 END AS ms FROM (SELECT *, CASE WHEN u0=greatest(u0,u1,u2) THEN 0 WHEN u1=greatest(u0,u1,u2) THEN 1 WHEN u2=greatest(u0,u1,u2) THEN 2 END AS sel FROM (
+ SELECT *, """ + ", ".join(f"CASE WHEN a{i} THEN h{i}*exp(-beta*k{i}/greatest(k0,k1,k2)) END AS u{i}" for i in range(3)) + f""" FROM lat_rows JOIN knn_heads USING (episode_key), knn_price, {_GRID})))""",
+    "knn_ledger AS (SELECT * FROM (" + _AREA.format(k="beta", t="(SELECT * FROM knn_routes WHERE side='val')") + ") JOIN (SELECT beta, avg(ms) AS m FROM knn_routes WHERE side='val' GROUP BY 1) USING (beta))",
+    f"knn_test AS (SELECT * FROM knn_routes WHERE side='test' AND beta=(SELECT arg_min(beta, (round(m,9), beta)) FROM knn_ledger WHERE round(auroc,12)>=round((SELECT max(auroc) FROM knn_ledger)-{EPS}::double,12)))"))
+def knn_router(spark, sf):
+    """The router with 25-nearest-neighbour heads, weighted by distance, over the six text statistics."""
+    x = settled(sides(spark, sf).join(text_features(spark, sf), "content_doc_key"), "knn-rows")
+    each = F.explode(F.array(*[F.struct(F.lit(a).alias("action"), F.col(f"available__{a}").alias("av"), t.alias("target")) for a, t in zip(POOL, R.targets(POOL, "regret"))]))
+    train = x.filter("side = 'fit'").select("episode_key", *TEXT_FEATURES, each.alias("e")).select("episode_key", *TEXT_FEATURES, "e.*").filter("av")
+    ask = x.filter("side <> 'fit'").select(F.col("episode_key").alias("asked"), *TEXT_FEATURES, F.explode(F.lit(list(POOL))).alias("action"))
+    got = nearest_mean(train, ask, ["action"], TEXT_FEATURES, "target", "episode_key", "asked", NEIGHBOURS, settled)
+    heads = got.groupBy(F.col("asked").alias("episode_key")).agg(*[F.max(F.when(F.col("action") == a, E.clip(F.col("prediction"), 0.0, 1.0))).alias(f"head__{a}") for a in POOL])
+    costs = R.one_row(R.mean_costs(x.filter("side = 'fit'"), POOL), POOL)
+    d = settled(x.filter("side <> 'fit'").join(heads, "episode_key"), "knn-heads")
+    beta = R.choose_beta(R.beta_ledger(d.filter("side = 'val'"), POOL, costs, BETA_GRID), EPS).first()[0]
+    t = R.select_action(d.filter("side = 'test'"), POOL, R.utilities(POOL, costs, F.lit(beta))).withColumn("system", F.lit("knn")).withColumn("ms", F.col("verifier_ms") + F.col("feature_latency_ms"))
+    hit = ((F.col("p") >= 0.5).cast("int") == F.col("label_supported")).cast("double")
+    g = t.groupBy("system").agg(F.count(F.lit(1)).alias("n_rows"), F.avg("ms").alias("mean_ms"), F.avg(hit).alias("acc"))
+    return rounded(g.join(M.auroc(t, ["system"], "p", "label_supported"), "system").withColumn("beta", F.lit(beta)))

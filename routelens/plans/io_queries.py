@@ -9,10 +9,12 @@ from routelens.functions import judge as G
 from routelens.functions import text as X
 from routelens.functions.hashing import uniform
 from routelens.operators import features as FT
+from routelens.operators import joins as J
+from routelens.operators import routing as R
 from routelens.operators import scoring as V
 from routelens.plans.metric_queries import rounded
 from routelens.plans.registry import query
-from routelens.plans.views import episodes, pairs, scores, table, u_sql, with_sql
+from routelens.plans.views import POOL, episodes, pairs, scores, table, u_sql, wide, with_sql
 from routelens.session import scratch_path
 from routelens.sources import files as IO
 
@@ -20,6 +22,8 @@ CONV = T.StructType([T.StructField("conv_id", T.LongType()), T.StructField("turn
 
 #: rows of a hashed part file, some tens of MB
 PART_ROWS = 500_000
+#: ids of documents in one archive file
+ARCHIVE_DOCS = 50
 
 
 @query("jsonl_scan", "S1 S4", "SELECT conv_id, turn, role, length(text) AS n FROM conversations")
@@ -34,8 +38,11 @@ def keyed_archive_scan(spark, sf):
     c = table(spark, sf, "conversations")
     sents = F.map_from_entries(F.collect_list(F.struct(F.col("turn").cast("string"), F.struct(F.col("text").alias("text")))))
     docs = c.groupBy("conv_id").agg(sents.alias("sents"), F.concat(F.lit("L"), (F.count("*") % 2).cast("string")).alias("label"))
-    arc = docs.select(F.to_json(F.create_map(F.col("conv_id").cast("string"), F.struct("label", "sents"))).alias("json"))
-    return IO.parse_archive(arc, "json").select("doc_key", "label", "n_sentences", F.sha2("text", 256).alias("text_hash"))
+    path = scratch_path(spark, "archives")
+    one = F.map_from_entries(F.collect_list(F.struct(F.col("conv_id").cast("string"), F.struct("label", "sents"))))
+    docs.groupBy(F.floor(F.col("conv_id") / ARCHIVE_DOCS).alias("file")).agg(F.to_json(one, {"pretty": "true"}).alias("json")).write.partitionBy("file").text(path)
+    files = IO.read_archives(spark, path)
+    return files.select("doc_key", "label", "n_sentences", F.sha2("text", 256).alias("text_hash"))
 
 
 @query("edit_annotation_scan", "S3", with_sql("SELECT pair_id AS id, 0 AS position, length(summary) AS pre_chars, length(source) AS post_chars, turn%5<1 AS evidence_ok FROM pairs", "pairs"))
@@ -43,7 +50,10 @@ def edit_annotation_scan(spark, sf):
     p = pairs(spark, sf)
     d = F.struct(F.col("pair_id").alias("id"), F.array(F.struct(F.col("source").alias("txt"))).alias("source"),
                  F.array(F.struct(F.col("summary").alias("pre_edit"), F.col("source").alias("post_edit"), F.array((F.col("turn") % 5).cast("int")).alias("evidence"))).alias("summary"))
-    e = IO.parse_edits(p.select(F.to_json(d).alias("json")), "json")
+    path = scratch_path(spark, "edits")
+    lists = p.groupBy(F.floor(F.col("conv_id") / ARCHIVE_DOCS).alias("file")).agg(F.to_json(F.collect_list(d), {"pretty": "true"}).alias("json"))
+    lists.write.partitionBy("file").text(path)
+    e = IO.read_edits(spark, path)
     return e.select("id", "position", F.length("pre").cast("bigint").alias("pre_chars"), F.length("post").cast("bigint").alias("post_chars"), "evidence_ok")
 
 
@@ -202,3 +212,80 @@ def routed_only_scoring(spark, sf):
     weak = FT.bm25_features(p).filter("bm25_top1 < 5").select("pair_id")
     x = p.join(weak, "pair_id", "left_semi").select(F.col("pair_id").alias("episode_key"), "source", "summary")
     return rounded(V.score_rows(x, overlap_scorer, "overlap").select("episode_key", "score", "available"))
+
+
+@query("checked_write", "P3 J3 S8 P18", with_sql("SELECT count(*) AS rows_written, true AS hole_refused, true AS duplicate_refused, true AS schema_refused, false AS refused_table_exists, 'hole_in_label_supported' AS named FROM scores", "scores"))
+def checked_write(spark, sf):
+    """Scores are joined to labels behind an open gate and written under a contract; tables that break it raise and leave nothing."""
+    s = scores(spark, sf).select("episode_key", "verifier", "role", "score", "available", "latency_ms")
+    gold = episodes(spark, sf).select("episode_key", "label_supported")
+    rules = {
+        "key": F.col("episode_key").isNotNull(), "score_range": F.col("score").between(0, 1), "role": F.col("role").isin("train", "test"),
+        "latency": ~F.col("available") | F.col("latency_ms").isNotNull(),
+    }
+    full, holes = J.gated_labels(s, gold, ["episode_key"], ["label_supported"], True)
+    keys = ["episode_key", "verifier"]
+    good, bad = scratch_path(spark, "checked"), scratch_path(spark, "refused")
+    IO.write_table(full, good, rules=rules | holes, unique=keys, schema=full.schema)
+
+    def refused(df, **contract) -> str:
+        try:
+            IO.write_table(df, bad, **contract)
+        except IO.BrokenContract as e:
+            return str(e)
+        return ""
+
+    some = gold.filter(uniform("lost", F.col("episode_key")) < 0.9)
+    hole = refused(J.gated_labels(s, some, ["episode_key"], ["label_supported"], True)[0], rules=rules | holes)
+    twice = refused(full.unionByName(full), rules=rules, unique=keys)
+    other = refused(full.drop("role"), schema=full.schema)
+    fs = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(bad)
+    there = fs.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(fs)
+    back = spark.read.schema(full.schema).parquet(good)
+    named = next((n for n in holes if n in hole), "")
+    return back.agg(F.count(F.lit(1)).alias("rows_written")).select("rows_written", *[F.lit(v).alias(n) for n, v in (
+        ("hole_refused", bool(hole)), ("duplicate_refused", "duplicate_keys" in twice), ("schema_refused", other.startswith("schema")), ("refused_table_exists", bool(there)), ("named", named))])
+
+
+_ID = {"model_revision": ("'r1'", "'r2'", 0.2), "protocol_version": ("'p1'", "'p2'", 0.1), "input_sha256": ("sha256(episode_key)", "sha256(episode_key||'!')", 0.15), "harness_sha256": ("'h'", "'h2'", 0.05)}
+
+
+@query("identity_checked_cache", "S10 J7 V1", with_sql(f"""
+SELECT why, count(*) AS n_rows, count(DISTINCT episode_key) AS episodes FROM (SELECT *, CASE WHEN NOT cached THEN 'missing' {' '.join(f"WHEN change_{c} THEN '{c}'" for c in _ID)} END AS why FROM (
+ SELECT episode_key, verifier, {u_sql("'kept'", 'episode_key', 'verifier')}<0.8::double AS cached, {', '.join(f"{u_sql(chr(39) + c + chr(39), 'episode_key', 'verifier')}<{share}::double AS change_{c}" for c, (_, _, share) in _ID.items())} FROM scores)) WHERE why IS NOT NULL GROUP BY why""", "scores"))
+def identity_checked_cache(spark, sf):
+    """A cache made by other models, protocols, inputs or harnesses: only what still fits is reused, and the rest says why."""
+    s = scores(spark, sf).select("episode_key", "verifier", "score")
+    u = lambda tag: uniform(tag, F.col("episode_key"), F.col("verifier"))
+    now = s.select("episode_key", "verifier", F.lit("r2").alias("model_revision"), F.lit("p2").alias("protocol_version"), F.sha2(F.concat("episode_key", F.lit("!")), 256).alias("input_sha256"), F.lit("h2").alias("harness_sha256"))
+    was = {"model_revision": F.lit("r1"), "protocol_version": F.lit("p1"), "input_sha256": F.sha2("episode_key", 256), "harness_sha256": F.lit("h")}
+    kept = now.join(s, ["episode_key", "verifier"]).filter(u("kept") < 0.8)
+    stored = kept.select("episode_key", "verifier", "score", *[F.when(u(c) < _ID[c][2], was[c]).otherwise(F.col(c)).alias(c) for c in V.IDENTITY], F.lit(True).alias("parse_ok"), F.lit(0).alias("attempt"))
+    path = scratch_path(spark, "identified-cache")
+    IO.write_table(stored, path, unique=["episode_key", "verifier"])
+    todo = V.pending_identified(now, spark.read.schema(stored.schema).parquet(path))
+    return todo.groupBy("why").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("episode_key").alias("episodes"))
+
+
+_CALL_SEEDS = (1, 2, 3)
+_PICK = [f"max(CASE WHEN available AND verifier='{v}' THEN {u_sql(chr(39) + 'live' + chr(39), 'seed', 'episode_key', 'verifier')} END)" for v in POOL]
+
+
+@query("routed_call_plan", "V3 R3 R23", with_sql(f"""
+SELECT seed::bigint AS seed, count(*) AS n_rows, count(verifier) AS planned, any_value(n_calls) AS calls_made, round(avg(coalesce(score,0.5::double)),6) AS mean_score FROM (
+ SELECT p.seed, p.episode_key, p.verifier, s.score FROM picked p LEFT JOIN scores s ON s.episode_key=p.episode_key AND s.verifier=p.verifier), (SELECT count(*) AS n_calls FROM (SELECT DISTINCT episode_key, verifier FROM picked WHERE verifier IS NOT NULL)) GROUP BY seed""", "scores",
+    f"""picked AS (SELECT seed, episode_key, CASE WHEN u0=g THEN '{POOL[0]}' WHEN u1=g THEN '{POOL[1]}' WHEN u2=g THEN '{POOL[2]}' END AS verifier FROM (SELECT *, greatest(u0,u1,u2) AS g FROM (
+ SELECT seed, episode_key, {', '.join(f'{x} AS u{i}' for i, x in enumerate(_PICK))} FROM scores, (VALUES {','.join(f'({s})' for s in _CALL_SEEDS)}) sd(seed) WHERE role='test' GROUP BY ALL)))"""))
+def routed_call_plan(spark, sf):
+    """Routes of three seeds make one plan; each different call is made once, whoever asked for it, and joined back."""
+    w = wide(spark, sf).filter("role = 'test'").withColumn("seed", F.explode(F.lit(list(_CALL_SEEDS))))
+    r = R.select_action(w, POOL, [uniform("live", F.col("seed"), F.col("episode_key"), v) for v in POOL])
+    plan, calls = V.call_plan(r)
+    path = scratch_path(spark, "call-plan")
+    IO.write_table(plan, path, unique=["episode_key", "seed"])
+    plan = spark.read.schema(plan.schema).parquet(path)
+    calls = V.call_plan(plan, action="verifier")[1]
+    results = IO.settled(scores(spark, sf).join(calls, ["episode_key", "verifier"], "left_semi").select("episode_key", "verifier", "score", F.lit(True).alias("available")), "calls")
+    done = V.executed(plan, results)
+    made = results.agg(F.count(F.lit(1)).alias("n")).first()[0]
+    return rounded(done.groupBy("seed").agg(F.count(F.lit(1)).alias("n_rows"), F.count("verifier").alias("planned"), F.lit(made).alias("calls_made"), F.avg("score").alias("mean_score")))

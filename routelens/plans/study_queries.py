@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from routelens.config import TARGET_SHARES
 from routelens.functions import expr as E
 from routelens.functions.hashing import uniform
 from routelens.operators import metrics as M
@@ -239,3 +240,21 @@ def nested_baselines(spark, sf):
     ms = F.col("feature_latency_ms") + E.pick([F.col(f"l{i}") for i in range(3)], F.col("sel"))
     of = lambda v: F.avg(F.when(F.col("y") == v, hit))
     return rounded(every.groupBy("baseline", *CONFIG).agg(F.count(F.lit(1)).alias("n_rows"), F.avg(hit).alias("acc"), ((of(1) + of(0)) / 2).alias("bacc"), F.avg(ms).alias("mean_ms")))
+
+
+TOLERANCE = 0.05
+_SHARE_ERROR = "greatest(" + ", ".join(f"abs(rate_{a}-{v}::double)" for a, v in zip(POOL, TARGET_SHARES)) + ")"
+
+
+@query("target_mix_best", "R17 X15 X16", study_sql(f"""
+SELECT method, beta, round(auroc,6) AS auroc, round(bacc,6) AS bacc, round(mean_ms,6) AS mean_ms, {", ".join(f"round(rate_{a},6) AS rate_{a}" for a in POOL)}, round(err,6) AS max_share_error, eligible, CASE WHEN eligible THEN 'eligible' ELSE 'closest_ineligible' END AS selection_status,
+ row_number() OVER (ORDER BY eligible DESC, round(auroc,12) DESC, round(mean_ms,9), round(bacc,12) DESC, method)=1 AS overall_best FROM (
+ SELECT * FROM (SELECT *, round({_SHARE_ERROR},9) AS err, round({_SHARE_ERROR},9)<={TOLERANCE} AS eligible FROM mixes) QUALIFY row_number() OVER (PARTITION BY method ORDER BY eligible DESC, CASE WHEN eligible THEN 0 ELSE err END, round(auroc,12) DESC, round(mean_ms,9), round(bacc,12) DESC, beta)=1)""", _BY_SEED,
+    "seed_auc AS (SELECT method, beta, seed, sum(pos*(below+neg/2.0::double))/(sum(pos)*sum(neg)) AS auroc FROM (SELECT *, coalesce(sum(neg) OVER (PARTITION BY method, beta, seed ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0)::double AS below FROM (SELECT method, beta, seed, p, sum(y)::double AS pos, sum(1-y)::double AS neg FROM preds GROUP BY ALL)) GROUP BY ALL)",
+    "mixes AS (SELECT method, beta, avg(auroc) AS auroc, avg(bacc) AS bacc, avg(mean_ms) AS mean_ms, " + ", ".join(f"avg(rate_{a}) AS rate_{a}" for a in POOL) + " FROM by_seed JOIN seed_auc USING (method, beta, seed) GROUP BY ALL)"))
+def target_mix_best(spark, sf):
+    """Per method, the discount whose call shares come closest to the wanted mix and, among those close enough, routes best."""
+    p = study_predictions(spark, sf)
+    g = config_metrics(p, CONFIG).join(M.auroc(p, CONFIG), CONFIG)
+    mean = g.groupBy("method", "beta").agg(*[F.avg(c).alias(c) for c in ("auroc", "bacc", "mean_ms", *[f"rate_{a}" for a in POOL])])
+    return rounded(P.best_under_shares(settled(mean, "mixes"), {f"rate_{a}": v for a, v in zip(POOL, TARGET_SHARES)}, TOLERANCE))

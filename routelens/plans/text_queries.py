@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from routelens.functions import text as X
 from routelens.functions.expr import vector_entropy
+from routelens.functions.segmenting import rule_segments
 from routelens.operators import features as T
 from routelens.operators.joins import span_overlap_labels
 from routelens.plans.metric_queries import rounded
@@ -275,8 +276,12 @@ def parse_annotation_spans(spark, sf):
     return p.select("pair_id", F.col("s.start").alias("span_start"), F.col("s.end").alias("span_end"), "bad")
 
 
-def response_sentences(df):
-    """Sentences with running character offsets in the blank-joined response."""
+def response_sentences(df, segmenter="punctuation"):
+    """Sentences with character offsets: running ones in the blank-joined response, or those of the rules in the text as it is."""
+    if segmenter == "rules":
+        x = df.select("pair_id", "summary", rule_segments("summary").alias("_s")).select("pair_id", "summary", F.posexplode("_s").alias("sidx", "s"))
+        start, end = F.col("s.start"), F.col("s.end")
+        return x.select("pair_id", "sidx", F.substr("summary", start + 1, end - start).alias("sentence"), start.alias("sent_start"), end.alias("sent_end"))
     ss = X.sentences(F.col("summary"))
     ends = F.aggregate(ss, F.array(F.lit(0)), lambda acc, s: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(s) + 1)))
     x = df.select("pair_id", ss.alias("_s"), ends.alias("_e")).select("pair_id", "_e", F.posexplode("_s").alias("sidx", "sentence"))
@@ -287,10 +292,10 @@ def response_sentences(df):
 _SEGM = "seg AS (SELECT so.pair_id, sidx::int AS sidx, st::int AS sent_start, (st+length(s))::int AS sent_end, count(a)::int AS n_over FROM so LEFT JOIN spans ON spans.pair_id=so.pair_id AND NOT implicit AND a<st+length(s) AND b>st GROUP BY ALL)"
 
 
-def _segments(spark, sf):
+def _segments(spark, sf, segmenter="punctuation"):
     a = annotated(spark, sf)
     spans = parsed_spans(a).select("pair_id", F.explode("spans").alias("s")).select("pair_id", F.col("s.start").alias("span_start"), F.col("s.end").alias("span_end"))
-    return span_overlap_labels(response_sentences(a), spans, "pair_id")
+    return span_overlap_labels(response_sentences(a, segmenter), spans, "pair_id")
 
 
 @query("segment_and_label", "J8 T27", p_sql("SELECT pair_id, sidx, sent_start, sent_end, n_over AS \"overlaps\", (n_over=0)::int AS label_supported FROM seg", _SPANS, _OFF, _SEGM))
@@ -298,6 +303,18 @@ def segment_and_label(spark, sf):
     return _segments(spark, sf).select("pair_id", "sidx", "sent_start", "sent_end", "overlaps", "label_supported")
 
 
+@query("rule_segments", "T3")
+def rule_segment_table(spark, sf):
+    """Sentences of every document by the rules, as offsets into the whole text."""
+    d = text_table(spark, sf, "documents").select("doc_id", rule_segments("text").alias("s"))
+    return d.select("doc_id", F.posexplode("s").alias("sidx", "s")).select("doc_id", "sidx", F.col("s.start").alias("sent_start"), F.col("s.end").alias("sent_end"))
+
+
+@query("segment_and_label_by_rules", "T3 T26 T27 J8")
+def segment_and_label_by_rules(spark, sf):
+    return _segments(spark, sf, "rules").select("pair_id", "sidx", "sent_start", "sent_end", "overlaps", "label_supported")
+
+
 @query("annotation_replay_audit", "T28", p_sql("""
 SELECT count(*) AS responses, sum(n)::bigint AS sentences, sum((bad>0)::int)::bigint AS unsupported_responses, 0::bigint AS label_mismatch FROM (SELECT pair_id, count(*) AS n, count(*) FILTER (n_over>0) AS bad FROM seg GROUP BY 1)""", _SPANS, _OFF, _SEGM))
 def annotation_replay_audit(spark, sf):

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,32 +30,65 @@ def parse_archive(df: DataFrame, column: str, keep: Sequence[str] = ()) -> DataF
     return x.select(*keep, "doc_key", F.col("doc.label").alias("label"), F.size(ordered).alias("n_sentences"), F.array_join(F.transform(ordered, lambda s: s["t"]), " ").alias("text"))
 
 
-EDIT_TYPE = "struct<id:string,source:array<struct<txt:string>>,summary:array<struct<pre_edit:string,post_edit:string,evidence:array<int>>>>"
+def read_archives(spark: SparkSession, path: str, keep: Sequence[str] = ()) -> DataFrame:
+    """Documents of keyed JSON archives, one object per file over as many lines as it likes; a file is parsed by one task, its documents are then dealt out."""
+    return parse_archive(spark.read.text(path, wholetext=True).withColumnRenamed("value", "json"), "json", keep).repartition("doc_key")
+
+
+EDIT_SCHEMA = "id string, source array<struct<txt:string>>, summary array<struct<pre_edit:string,post_edit:string,evidence:array<int>>>"
 
 
 def parse_edits(df: DataFrame, column: str) -> DataFrame:
     """One row per edited summary sentence, with a check of its evidence positions."""
-    x = df.select(F.from_json(column, EDIT_TYPE).alias("d")).select("d.id", F.size("d.source").alias("n_source"), F.posexplode("d.summary").alias("position", "s"))
+    return edit_rows(df.select(F.from_json(column, EDIT_SCHEMA).alias("d")).select("d.*"))
+
+
+def edit_rows(docs: DataFrame) -> DataFrame:
+    x = docs.select("id", F.size("source").alias("n_source"), F.posexplode("summary").alias("position", "s"))
     inside = F.forall(F.coalesce("s.evidence", F.array().cast("array<int>")), lambda e: (e >= 0) & (e < F.col("n_source")))
     return x.select("id", "position", F.col("s.pre_edit").alias("pre"), F.col("s.post_edit").alias("post"), inside.alias("evidence_ok"))
 
 
+def read_edits(spark: SparkSession, path: str) -> DataFrame:
+    """Edited summary sentences of nested JSON files, each a list of documents over any number of lines."""
+    return edit_rows(spark.read.schema(EDIT_SCHEMA).option("multiLine", True).json(path).repartition("id"))
+
+
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     return spark.read.schema(schema).option("header", True).csv(path)
 
 
-def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
+class BrokenContract(ValueError):
+    """A table that was about to be put in its place breaks its rules."""
+
+
+def write_table(
+    df: DataFrame, path: str, partition_by: Sequence[str] = (), rules: Mapping[str, Column] | None = None, unique: Sequence[str] = (), schema: T.StructType | None = None
+) -> None:
     """All-or-nothing write: the table is written beside its place and then swapped in by two renames.
 
     With partitions only the partitions that ``df`` holds are replaced, each by its own swap. A job that fails while it
-    writes leaves the old table as it was.
+    writes leaves the old table as it was, and so does a table that breaks its contract: ``schema`` (names and types, in order)
+    is compared before anything runs; ``rules`` are conditions that hold for every row (null: broken), counted in the pass that
+    writes; ``unique`` names key columns, which are read back from the staged table. A broken contract raises ``BrokenContract``.
     """
     spark = df.sparkSession
+    if schema is not None and [(f.name, f.dataType) for f in df.schema.fields] != [(f.name, f.dataType) for f in schema.fields]:
+        raise BrokenContract(f"schema {df.schema.simpleString()} is not {schema.simpleString()}")
     staged = f"{path.rstrip('/')}._staged-{uuid.uuid4().hex}"
-    (df.write.partitionBy(*partition_by) if partition_by else df.write).parquet(staged)
+    seen = Observation() if rules else None
+    out = df if seen is None else df.observe(seen, *[F.count_if(~F.coalesce(ok, F.lit(False))).alias(name) for name, ok in rules.items()])
+    (out.write.partitionBy(*partition_by) if partition_by else out.write).parquet(staged)
     jvm = spark.sparkContext._jvm
     to_path = lambda p: jvm.org.apache.hadoop.fs.Path(p)
     fs = to_path(path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    broken = {} if seen is None else {name: n for name, n in seen.get.items() if n}
+    if unique:
+        copies = spark.read.schema(df.schema).parquet(staged).groupBy(*unique).agg(F.count(F.lit(1)).alias("n")).agg(F.sum(F.col("n") - 1)).first()[0]
+        broken |= {"duplicate_keys": copies} if copies else {}
+    if broken:
+        fs.delete(to_path(staged), True)
+        raise BrokenContract(f"rows that break a rule: {broken}")
 
     def swap(new: str, place: str) -> None:
         old = f"{place}._old-{uuid.uuid4().hex}"

@@ -12,6 +12,7 @@ from routelens.operators import isotonic as I
 from routelens.operators import metrics as M
 from routelens.operators import nested as N
 from routelens.operators import ordered as O
+from routelens.operators.neighbours import nearest_mean
 
 NAMES = ("a", "b", "c", "d")
 GRID = (0.0, 0.5, 2.0)
@@ -177,7 +178,7 @@ def test_null_keys_keep_their_statistics(spark):
     df = spark.createDataFrame(rows, "k string, p double, y int, episode_key string, ms double").withColumn("ok", F.col("y"))
     for out in (
         M.auroc(df, ["k"]), O.quantiles(df, ["k"], "p", (0.5,)), O.quantile_points(df, ["k"], "p", (0.1, 0.9)).select("k").distinct(), M.rank_correlations(df, ["k"]),
-        M.average_precision_unsupported(df, ["k"]), M.latency_summary(df, ["k"]), M.risk_coverage(df, ["k"]), M.calibration_error(df, ["k"]), O.dense_index(df, ["k"], "episode_key", F.col("p")).select("k").distinct(),
+        M.average_precision_unsupported(df, ["k"]), M.latency_summary(df, ["k"]), M.risk_coverage(df, ["k"]), M.calibration_error(df, ["k"]), O.dense_index(df, ["k"], "episode_key", F.length("episode_key") / 10).select("k").distinct(),
     ):
         assert {r.k for r in out.collect()} == {"a", None, "n"}
     by = {r.k: r.auroc for r in M.auroc(df, ["k"]).collect()}
@@ -229,3 +230,23 @@ def test_nested_study_fits_and_choices(spark):
 
 def test_pools():
     assert [a.members for a in A.pools_of(NAMES, 3, 1)] == list(combinations(range(4), 3))
+
+
+@pytest.mark.parametrize("n, k", [(3, 5), (200, 5), (700, 25)])
+def test_nearest_mean_against_all_pairs(spark, n, k):
+    r = random.Random(n)
+    spot = lambda: (r.choice([r.gauss(0, 1), r.gauss(50, 0.1), 1000.0 * r.random(), 7.0]), round(r.random(), 2), r.choice([0.0, 1.0]))
+    train = [(r.choice("uv"), f"t{i:04d}", *spot(), r.random()) for i in range(n)] + [("u", f"s{i:03d}", 7.0, 0.5, 1.0, r.random()) for i in range(60)]
+    ask = [("uv"[i % 2], i, *spot()) for i in range(80)] + [("u", 900, 7.0, 0.5, 1.0), ("v", 901, -5000.0, 0.0, 0.0), ("none", 902, 0.0, 0.0, 0.0), ("u", 903, None, 0.0, 0.0)]
+    t = spark.createDataFrame(train, "key string, id string, x double, y double, z double, value double")
+    q = spark.createDataFrame(ask, "key string, ask long, x double, y double, z double")
+    got = {(row.key, row.ask): row.prediction for row in nearest_mean(t, q, ["key"], ["x", "y", "z"], "value", "id", "ask", k).collect()}
+    keys = {row[0] for row in train}
+    assert set(got) == {(a[0], a[1]) for a in ask if a[0] in keys and None not in a}
+    for key, i, *p in ask:
+        if (key, i) not in got:
+            continue
+        near = sorted((sum((a - b) ** 2 for a, b in zip(p, row[2:5])) ** 0.5, row[1], row[5]) for row in train if row[0] == key)[:k]
+        zero = [v for d, _, v in near if d == 0]
+        want = sum(zero) / len(zero) if zero else sum(v / d for d, _, v in near) / sum(1 / d for d, _, v in near)
+        assert got[key, i] == pytest.approx(want)

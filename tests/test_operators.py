@@ -46,7 +46,7 @@ def lcs(a, b):
 
 
 def test_rouge_l_against_table(pairs):
-    got = {(r.pair_id, r.sidx): r.score for r in FT.rouge_scores(pairs).collect()}
+    got = {(r.pair_id, r.sidx): r.score for r in FT.rouge_scores(pairs, stems=False).collect()}
     words = lambda s: re.findall("[a-z0-9]+", s.lower())
     for pid, src, summ in PAIRS:
         for i, s in enumerate(py_sentences(src)):
