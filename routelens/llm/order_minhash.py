@@ -12,7 +12,8 @@ copies in one linear step; only buckets of at most ``SMALL`` members then try th
 buckets are split by the keys of the following tables, and each split part gets its own star, so a passage shared
 by thousands of otherwise different texts costs one test a member and level. Large buckets that are then not yet one
 component get an exact rest: all pairs of their texts in different components that share one of their rarest words
-are tested, by a prefix filter that no similar pair fails (``_overlapping``). With 24 tables and two minima a pair
+are tested, by a prefix filter that no similar pair fails (``_overlapping``). Before any text moves, pairs are dropped whose
+lengths or word bitmaps already rule out the allowed edits (``_possible``). With 24 tables and two minima a pair
 whose 5-mers overlap 0.8 misses all tables with a chance below 1e-9, at 0.5 about 0.1 %; texts without two common
 5-mers meet in no table.
 
@@ -25,6 +26,8 @@ from __future__ import annotations
 
 from collections import OrderedDict
 from collections.abc import Iterator
+from functools import reduce
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +45,9 @@ SIMILARITY = 0.8
 SMALL = 24
 LEVELS = 4
 SLOT_BITS = 20
+BITMAP = 8
+#: longest text and how many common words its keys hold
+CHOICES = ((44, 3), (100, 2))
 
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -104,17 +110,27 @@ def sketches(row: np.ndarray, kmers: np.ndarray, rows: int, tables: int = TABLES
     return out
 
 
+def word_bitmaps(row: np.ndarray, hashed: np.ndarray, rows: int) -> np.ndarray:
+    """rows x ``BITMAP`` longs: one bit for each labelled word. An edit adds and takes at most one word, so it flips at most two bits."""
+    row, word = labelled_kmers(row, hashed, rows, 1)
+    bits = np.zeros((rows, 64 * BITMAP), bool)
+    bits[row, (word & np.uint64(64 * BITMAP - 1)).astype(np.int64)] = True
+    return np.packbits(bits, axis=1).view(np.int64)
+
+
 def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keys = np.zeros((batch.num_rows, TABLES), np.int64)
+        bits = np.zeros((batch.num_rows, BITMAP), np.int64)
         words = np.zeros(batch.num_rows, np.int64)
         for lo, hi, data, offsets in parts(batch.column("text")):
             _, _, row, hashed = word_spans(data, offsets)
             words[lo:hi] = np.bincount(row, minlength=hi - lo)
             keys[lo:hi] = sketches(*labelled_kmers(row, hashed, hi - lo), hi - lo)
-        flat = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, TABLES, dtype=np.int32)), pa.array(keys.ravel()))
+            bits[lo:hi] = word_bitmaps(row, hashed, hi - lo)
+        lists = [pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel())) for x in (keys, bits)]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("digest"), pa.array(words), flat], names=["doc_id", "digest", "n_words", "keys"]
+            [batch.column("doc_id"), batch.column("digest"), pa.array(words), *lists], names=["doc_id", "digest", "n_words", "keys", "bits"]
         )
 
 
@@ -190,10 +206,20 @@ def _verify_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield batch.select(["a", "b"]).filter(pa.array(same, pa.bool_()))
 
 
-def _links(pairs: DataFrame, docs: DataFrame, name: str) -> DataFrame:
-    """The similar ones of (a, b); each text of a pair is read once more and moved with its digest as key."""
-    pairs = written(pairs, f"{name}-pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
+def _possible(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """The pairs that may be similar by their lengths and word bitmaps: ``limit`` edits flip at most twice as many bits. No similar pair is lost."""
+    side = lambda c: reps.select(F.col("digest").alias(c), F.col("n_words").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
+    both = pairs.join(side("b"), "b").join(side("a"), "a")
+    longest = F.greatest("n_a", "n_b")
+    limit = F.floor((1 - SIMILARITY) * longest + 1e-9)
+    flipped = reduce(lambda x, y: x + y, [F.bit_count(F.get("bits_a", F.lit(i)).bitwiseXOR(F.get("bits_b", F.lit(i)))) for i in range(BITMAP)])
+    return both.where((longest - F.least("n_a", "n_b") <= limit) & (flipped <= 2 * limit)).select("a", "b")
+
+
+def _links(pairs: DataFrame, docs: DataFrame, reps: DataFrame, name: str) -> DataFrame:
+    """The similar ones of (a, b); only texts of pairs that may be similar move, each once, with its digest as key."""
+    pairs = written(_possible(pairs, reps), f"{name}-pairs")
+    wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct(), f"{name}-wanted")
     texts = docs.join(sized_broadcast(wanted), "digest", "left_semi").groupBy("digest").agg(F.first("text").alias("text"))
     texts = written(texts, f"{name}-texts")
     both = pairs.join(texts.select(F.col("digest").alias("b"), F.col("text").alias("text_b")), "b")
@@ -242,20 +268,50 @@ def _slot_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["slot", "n"])
 
 
+def _asked(n: int) -> int:
+    """How many common words the texts of a pair, the longer one of ``n`` words, are asked for at once: as many as keep a text's
+    choices from its rarest words to a few hundred."""
+    many = next((k for longest, k in CHOICES if n <= longest), 1)
+    return max(min(many, n - int(_edits(np.int64(n)))), 1)
+
+
+_CHOSEN: dict[tuple[int, int], np.ndarray] = {}
+
+
+def _choices(size: int, many: int) -> np.ndarray:
+    if (size, many) not in _CHOSEN:
+        _CHOSEN[size, many] = np.array(list(combinations(range(size), many)), np.int64).reshape(-1, many)
+    return _CHOSEN[size, many]
+
+
 def _rare_words(frequency: np.ndarray):
-    """The ``limit + 1`` rarest labelled words of every text, with the overlap it needs and what is left from each word on."""
+    """Choices of a text's rarest labelled words as keys, with the overlap the text needs and the most it can reach with that choice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, n, row, word in _labelled_words(batch.column("text")):
                 order = np.lexsort((word, frequency[(word >> np.uint64(64 - SLOT_BITS)).view(np.int64)], row))
-                row, word = row[order], word[order]
-                rank = np.arange(len(row)) - np.concatenate(([0], np.cumsum(n)[:-1]))[row]
-                keep = rank <= _edits(n)[row]
-                row, word, rank = row[keep], word[keep], rank[keep]
-                at = pa.array(lo + row)
+                word = word[order]
+                at, keys, room = [], [], []
+                for r, (first, size) in enumerate(zip(np.cumsum(n) - n, n)):
+                    size = int(size)
+                    limit = int(_edits(np.int64(size)))
+                    for many in {_asked(size), _asked(int(size / SIMILARITY) + 1)} if size else ():
+                        pick = _choices(min(limit + many, size), many)
+                        if not len(pick):
+                            continue
+                        key = np.full(len(pick), np.uint64(many))
+                        for j in range(many):
+                            key = mix(key * np.uint64(0x9E3779B97F4A7C15) + word[first + pick[:, j]])
+                        keys.append(key.view(np.int64))
+                        room.append(many + size - 1 - pick[:, -1])
+                        at.append(np.full(len(pick), lo + r))
+                if not at:
+                    continue
+                at, keys, room = (np.concatenate(x) for x in (at, keys, room))
+                rows = pa.array(at)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("digest").take(at), batch.column("component").take(at), pa.array(word.view(np.int64)), pa.array((n - _edits(n))[row]), pa.array(n[row] - rank)],
+                    [batch.column("digest").take(rows), batch.column("component").take(rows), pa.array(keys), pa.array((n - _edits(n))[at - lo]), pa.array(room)],
                     names=["digest", "component", "word", "need", "room"],
                 )
 
@@ -266,9 +322,10 @@ def _overlapping(crowd: DataFrame, docs: DataFrame) -> DataFrame:
     """All pairs (a, b) of different components of ``crowd`` (digest, component) whose words may overlap enough for a link.
 
     Similar texts have at least ``longest - limit`` labelled words in common. With the words of every text in one
-    common order, such texts share one among the first ``limit + 1`` of each, and from the first shared one on both
-    have that many words left. The order is by frequency, so a passage that many texts share comes last; slots that
-    several words share only change the order, not the result.
+    common order, their first k common words are among the first ``limit + k`` of each, and after the k-th both have enough
+    words left. So every choice of k among these is a key, and similar texts meet in one; k is three for texts of up to 44
+    words, two up to 100, then one (``_asked``). The order is by frequency, so a passage that many texts share comes last, and
+    texts that have little but the passage in common do not meet; slots that several words share only change the order, not the result.
     """
     texts = docs.join(sized_broadcast(crowd), "digest")
     slots = texts.select("text").mapInArrow(_slot_batches, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
@@ -303,8 +360,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     bounded_batches(spark)
     docs = docs.select("doc_id", "text", F.unhex(F.md5("text")).alias("digest"))
     named = docs.where("text is not null")
-    sketched = written(named.mapInArrow(_sketch_batches, "doc_id long, digest binary, n_words long, keys array<long>"), "sketches")
-    texts = sketched.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.first("n_words").alias("n_words"), F.first("keys").alias("keys"))
+    sketched = written(named.mapInArrow(_sketch_batches, "doc_id long, digest binary, n_words long, keys array<long>, bits array<long>"), "sketches")
+    texts = sketched.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.first("n_words").alias("n_words"), F.first("keys").alias("keys"), F.first("bits").alias("bits"))
     texts = written(texts, "texts")
     reps = texts.where("n_words > 0")
     levels = _bucket_levels(reps)
@@ -314,7 +371,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         star = members.join(counts.select("bucket", "leader"), "bucket").where("digest <> leader").select(F.col("leader").alias("a"), F.col("digest").alias("b"))
         pairs = star if pairs is None else pairs.union(star)
     tested = pairs.distinct()
-    links = _links(tested, named, "star")
+    links = _links(tested, named, reps, "star")
     linked = components(links, "a", "b")
 
     rest = None
@@ -326,7 +383,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     right = rest.select("bucket", F.col("digest").alias("b"), F.col("component").alias("cb"))
     others = left.join(right, "bucket").where("a < b and ca <> cb").select("a", "b").distinct()
     if not others.isEmpty():
-        links = links.union(_links(others, named, "rest"))
+        links = links.union(_links(others, named, reps, "rest"))
         linked = components(links, "a", "b")
 
     members, counts = levels[0]
@@ -335,7 +392,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     if not crowd.isEmpty():
         others = written(_overlapping(crowd, named), "crowd-overlaps")
         if not others.isEmpty():
-            linked = components(links.union(_links(others, named, "crowd")), "a", "b")
+            linked = components(links.union(_links(others, named, reps, "crowd")), "a", "b")
 
     classed = texts.select("digest", "first_id").join(linked.withColumnRenamed("node", "digest"), "digest", "left")
     classed = written(classed.withColumn("component", F.coalesce("component", "digest")), "classed")

@@ -9,6 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from routelens.llm.components import components
+from routelens.llm import order_minhash
 from routelens.llm.order_minhash import edit_distance_within, keep_one, near_duplicates, op3_order_minhash_near_dedup, similar
 from routelens.llm.words import parts, split_words, word_spans
 from tests.llm.conftest import prose
@@ -139,3 +140,65 @@ def test_query(spark, sf):
     texts = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     assert {r.doc_id: r.class_id for r in rows} == brute(texts)
     assert np.all([r.is_representative == (r.doc_id == r.class_id) for r in rows])
+
+
+def test_a_hub_of_many_leaves_is_one_component(spark):
+    links = [(0, i) for i in range(1, 3000)] + [(2999, 3001), (4000, 4001)]
+    got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long"), "a", "b").collect()}
+    assert set(got.values()) == {0, 4000} and got[3001] == 0 and len(got) == 3003
+
+
+@pytest.mark.parametrize("words", [1, 2, 3, 4, 6, 9, 14, 30, 44, 45, 60, 101])
+def test_choices_of_rare_words_meet_for_every_similar_pair(words):
+    """Any two similar texts share a key, and may overlap enough by what each key leaves."""
+    r = random.Random(words)
+    vocabulary = [f"v{i}" for i in range(max(6, words))]
+    a = [r.choice(vocabulary) for _ in range(words)]
+    texts = [" ".join(a)]
+    for _ in range(12):
+        b = list(a)
+        for _ in range(r.randint(0, max(words // 4, 1))):
+            at = r.randrange(len(b) + 1)
+            kind = r.randrange(3)
+            b[at : at + (kind > 0)] = [r.choice(vocabulary)] if kind < 2 else []
+        if b:
+            texts.append(" ".join(b))
+    batch = pa.RecordBatch.from_pydict({"digest": pa.array([bytes([i]) for i in range(len(texts))]), "component": pa.array([bytes([i]) for i in range(len(texts))]), "text": pa.array(texts)})
+    frequency = np.random.default_rng(words).integers(0, 3, 1 << order_minhash.SLOT_BITS)
+    keys = {}
+    for out in order_minhash._rare_words(frequency)(iter([batch])):
+        for d, w, need, room in zip(*(out.column(c).to_pylist() for c in ("digest", "word", "need", "room"))):
+            keys.setdefault(d[0], {})[w] = (need, max(room, keys.get(d[0], {}).get(w, (0, 0))[1]))
+    for i in range(len(texts)):
+        for j in range(i):
+            if similar(texts[i].split(), texts[j].split()):
+                assert any(min(keys[i][k][1], keys[j][k][1]) >= max(keys[i][k][0], keys[j][k][0]) for k in keys[i].keys() & keys[j].keys())
+
+
+def test_a_crowd_makes_few_candidates(spark):
+    """Texts of a passage of 30 words and 12 words of a small vocabulary: candidates stay far below all pairs."""
+    found = {}
+    for n in (1000,):
+        r = random.Random(n)
+        passage = " ".join(f"p{i}" for i in range(30))
+        rows = [(bytes(f"{i:08d}", "ascii"), bytes(f"{i:08d}", "ascii"), passage + " " + " ".join(f"w{r.randrange(400)}" for _ in range(12))) for i in range(n)]
+        df = spark.createDataFrame(rows, "digest binary, component binary, text string")
+        found[n] = order_minhash._overlapping(df.select("digest", "component"), df.select("digest", "text")).count()
+    assert found[1000] < 1000 * 999 / 2 / 30
+
+
+def test_bitmaps_never_rule_out_a_similar_pair():
+    r = random.Random(77)
+    for n in (1, 5, 40, 300, 2000):
+        a = [f"w{r.randrange(max(3, n // 2))}" for _ in range(n)]
+        for _ in range(20):
+            b, edits = list(a), r.randint(0, n // 5)
+            for _ in range(edits):
+                at = r.randrange(len(b) + 1)
+                kind = r.randrange(3)
+                b[at : at + (kind > 0)] = [f"x{r.randrange(50)}"] if kind < 2 else []
+            texts = pa.array([" ".join(a), " ".join(b)])
+            for _, _, data, offsets in parts(texts):
+                _, _, row, hashed = word_spans(data, offsets)
+                x, y = order_minhash.word_bitmaps(row, hashed, 2)
+                assert sum((int(p) ^ int(q)).bit_count() for p, q in zip(x.view(np.uint64), y.view(np.uint64))) <= 2 * edits
