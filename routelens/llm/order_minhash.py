@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from routelens.llm.components import components
-from routelens.llm.tables import bounded_batches, sized_broadcast, table, written
+from routelens.llm.tables import bounded_batches, forget, sized_broadcast, table, written
 from routelens.llm.words import mix, parts, powers, split_words, word_spans
 
 K = 5
@@ -224,7 +224,9 @@ def _links(pairs: DataFrame, docs: DataFrame, reps: DataFrame, name: str) -> Dat
     texts = written(texts, f"{name}-texts")
     both = pairs.join(texts.select(F.col("digest").alias("b"), F.col("text").alias("text_b")), "b")
     both = both.join(texts.select(F.col("digest").alias("a"), F.col("text").alias("text_a")), "a")
-    return written(both.select("a", "b", "text_a", "text_b").mapInArrow(_verify_batches, "a binary, b binary"), f"{name}-links")
+    links = written(both.select("a", "b", "text_a", "text_b").mapInArrow(_verify_batches, "a binary, b binary"), f"{name}-links")
+    forget(pairs, wanted, texts)
+    return links
 
 
 def _bucket_levels(reps: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
@@ -340,7 +342,9 @@ def _overlapping(crowd: DataFrame, docs: DataFrame) -> DataFrame:
     left = shared.where("component <> most").select("word", F.col("digest").alias("a"), F.col("component").alias("ca"), F.col("need").alias("na"), F.col("room").alias("ra"))
     right = shared.select("word", F.col("digest").alias("b"), F.col("component").alias("cb"), F.col("need").alias("nb"), F.col("room").alias("rb"), "most")
     fits = "ca <> cb and (cb = most or a < b) and least(ra, rb) >= greatest(na, nb)"
-    return left.join(right, "word").where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    found = written(left.join(right, "word").where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "crowd-overlaps")
+    forget(words, shared)
+    return found
 
 
 def _apart(members: DataFrame, linked: DataFrame, name: str) -> DataFrame:
@@ -390,7 +394,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     crowd = _apart(members.join(counts.where(F.col("n") > SMALL).select("bucket"), "bucket"), linked, "crowd")
     crowd = written(crowd.select("digest", "component").distinct(), "crowd-texts")
     if not crowd.isEmpty():
-        others = written(_overlapping(crowd, named), "crowd-overlaps")
+        others = _overlapping(crowd, named)
         if not others.isEmpty():
             linked = components(links.union(_links(others, named, reps, "crowd")), "a", "b")
 
