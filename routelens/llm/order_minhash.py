@@ -31,7 +31,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from routelens.llm.components import components
@@ -46,6 +46,8 @@ SMALL = 24
 LEVELS = 4
 SLOT_BITS = 20
 BITMAP = 8
+#: pairs that a task aligns
+PAIRS = 2048
 #: longest text and how many common words its keys hold
 CHOICES = ((44, 3), (100, 2))
 
@@ -206,14 +208,22 @@ def _verify_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield batch.select(["a", "b"]).filter(pa.array(same, pa.bool_()))
 
 
-def _possible(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """The pairs that may be similar by their lengths and word bitmaps: ``limit`` edits flip at most twice as many bits. No similar pair is lost."""
-    side = lambda c: reps.select(F.col("digest").alias(c), F.col("n_words").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
-    both = pairs.join(side("b"), "b").join(side("a"), "a")
-    longest = F.greatest("n_a", "n_b")
+def _alike(a: str, b: str) -> Column:
+    """May two texts with ``n_words`` and ``bits`` (columns ending in ``a`` and ``b``) be similar? ``limit`` edits flip at most twice as many bits."""
+    longest, least = F.greatest(f"n_{a}", f"n_{b}"), F.least(f"n_{a}", f"n_{b}")
     limit = F.floor((1 - SIMILARITY) * longest + 1e-9)
-    flipped = reduce(lambda x, y: x + y, [F.bit_count(F.get("bits_a", F.lit(i)).bitwiseXOR(F.get("bits_b", F.lit(i)))) for i in range(BITMAP)])
-    return both.where((longest - F.least("n_a", "n_b") <= limit) & (flipped <= 2 * limit)).select("a", "b")
+    flipped = reduce(lambda x, y: x + y, [F.bit_count(F.get(f"bits_{a}", F.lit(i)).bitwiseXOR(F.get(f"bits_{b}", F.lit(i)))) for i in range(BITMAP)])
+    return (longest - least <= limit) & (flipped <= 2 * limit)
+
+
+def _side(reps: DataFrame, c: str) -> DataFrame:
+    return reps.select(F.col("digest").alias(c), F.col("n_words").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
+
+
+def _possible(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """The pairs that may be similar by their lengths and word bitmaps. No similar pair is lost."""
+    both = pairs.join(_side(reps, "b"), "b").join(_side(reps, "a"), "a")
+    return both.where(_alike("a", "b")).select("a", "b")
 
 
 def _links(pairs: DataFrame, docs: DataFrame, reps: DataFrame, name: str) -> DataFrame:
@@ -221,11 +231,13 @@ def _links(pairs: DataFrame, docs: DataFrame, reps: DataFrame, name: str) -> Dat
     pairs = written(_possible(pairs, reps), f"{name}-pairs")
     wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct(), f"{name}-wanted")
     texts = docs.join(sized_broadcast(wanted), "digest", "left_semi").groupBy("digest").agg(F.first("text").alias("text"))
-    texts = written(texts, f"{name}-texts")
-    both = pairs.join(texts.select(F.col("digest").alias("b"), F.col("text").alias("text_b")), "b")
+    # pairs are a few bytes each but an alignment apiece: dealt out by number, since by size they would all be one task
+    dealt = pairs.repartition(pairs.count() // PAIRS + 1, "a", "b")
+    # the texts are not written: both joins read the one exchange of this aggregate
+    both = dealt.join(texts.select(F.col("digest").alias("b"), F.col("text").alias("text_b")), "b")
     both = both.join(texts.select(F.col("digest").alias("a"), F.col("text").alias("text_a")), "a")
     links = written(both.select("a", "b", "text_a", "text_b").mapInArrow(_verify_batches, "a binary, b binary"), f"{name}-links")
-    forget(pairs, wanted, texts)
+    forget(pairs, wanted)
     return links
 
 
@@ -320,7 +332,7 @@ def _rare_words(frequency: np.ndarray):
     return run
 
 
-def _overlapping(crowd: DataFrame, docs: DataFrame) -> DataFrame:
+def _overlapping(crowd: DataFrame, docs: DataFrame, reps: DataFrame | None = None) -> DataFrame:
     """All pairs (a, b) of different components of ``crowd`` (digest, component) whose words may overlap enough for a link.
 
     Similar texts have at least ``longest - limit`` labelled words in common. With the words of every text in one
@@ -328,6 +340,7 @@ def _overlapping(crowd: DataFrame, docs: DataFrame) -> DataFrame:
     words left. So every choice of k among these is a key, and similar texts meet in one; k is three for texts of up to 44
     words, two up to 100, then one (``_asked``). The order is by frequency, so a passage that many texts share comes last, and
     texts that have little but the passage in common do not meet; slots that several words share only change the order, not the result.
+    With ``reps`` (digest, n_words, bits) the join itself leaves out what ``_alike`` rules out.
     """
     texts = docs.join(sized_broadcast(crowd), "digest")
     slots = texts.select("text").mapInArrow(_slot_batches, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
@@ -338,11 +351,17 @@ def _overlapping(crowd: DataFrame, docs: DataFrame) -> DataFrame:
     sizes = words.groupBy("word", "component").agg(F.count(F.lit(1)).alias("n"))
     most = sizes.groupBy("word").agg(F.max_by("component", F.struct("n", "component")).alias("most"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
     shared = written(words.join(most, "word"), "shared-words")
+    met = shared
+    fits = F.expr("ca <> cb and (cb = most or a < b) and least(room_a, room_b) >= greatest(need_a, need_b)")
+    if reps is not None:
+        met = shared.join(reps.select("digest", "n_words", "bits"), "digest")
+        fits &= _alike("a", "b")
+    names = {"digest": "{}", "component": "c{}", "need": "need_{}", "room": "room_{}", "n_words": "n_{}", "bits": "bits_{}"}
+    side = lambda c: met.select("word", "most", *[F.col(x).alias(y.format(c)) for x, y in names.items() if x in met.columns])
     # the largest component of a word never meets itself
-    left = shared.where("component <> most").select("word", F.col("digest").alias("a"), F.col("component").alias("ca"), F.col("need").alias("na"), F.col("room").alias("ra"))
-    right = shared.select("word", F.col("digest").alias("b"), F.col("component").alias("cb"), F.col("need").alias("nb"), F.col("room").alias("rb"), "most")
-    fits = "ca <> cb and (cb = most or a < b) and least(ra, rb) >= greatest(na, nb)"
-    found = written(left.join(right, "word").where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "crowd-overlaps")
+    left, right = side("a").where("ca <> most").drop("most"), side("b")
+    found = left.join(right, "word").where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    found = written(found, "crowd-overlaps")
     forget(words, shared)
     return found
 
@@ -394,7 +413,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     crowd = _apart(members.join(counts.where(F.col("n") > SMALL).select("bucket"), "bucket"), linked, "crowd")
     crowd = written(crowd.select("digest", "component").distinct(), "crowd-texts")
     if not crowd.isEmpty():
-        others = _overlapping(crowd, named)
+        others = _overlapping(crowd, named, reps)
         if not others.isEmpty():
             linked = components(links.union(_links(others, named, reps, "crowd")), "a", "b")
 
