@@ -201,8 +201,8 @@ def _drawn(weights: Sequence[Column], u: Column) -> Column:
 def matched_random(df: DataFrame, pool, shares: Sequence[Column], seed, key="episode_key", renormalise=True) -> DataFrame:
     """One random call with the reference's action shares.
 
-    ``renormalise``: shares over the available actions of the row. Otherwise draw first and
-    fall back to the first available action.
+    ``renormalise``: shares over the available actions of the row; a row without any takes the first action.
+    Otherwise draw first and fall back to the first available action.
     """
     u = uniform("control", seed, F.col(key))
     av = cols("available", pool)
@@ -211,7 +211,7 @@ def matched_random(df: DataFrame, pool, shares: Sequence[Column], seed, key="epi
         total = reduce(add, w)
         flat = [F.when(a, F.lit(1.0)).otherwise(F.lit(0.0)) for a in av]
         live = reduce(add, flat)
-        d = df.select("*", *[F.when(total > 0, x / total).otherwise(f / live).alias(f"_w{i}") for i, (x, f) in enumerate(zip(w, flat))])
+        d = df.select("*", *[F.when(total > 0, x / total).when(live > 0, f / live).otherwise(F.lit(1.0)).alias(f"_w{i}") for i, (x, f) in enumerate(zip(w, flat))])
         sel = _drawn([F.col(f"_w{i}") for i in range(len(pool))], u)
         return outcome(d.withColumn("sel", sel).drop(*[f"_w{i}" for i in range(len(pool))]), pool, F.col("sel"))
     first = E.first_argmax([F.lit(1.0)] * len(pool), av)
