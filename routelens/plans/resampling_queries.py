@@ -93,7 +93,8 @@ def bootstrap_redrawn_control(spark, sf):
     x = s.withColumn("j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(15).cast("bigint"))))
     want = F.get(F.array(F.lit("v_cheap"), F.lit("v_mid"), F.lit("v_high")), F.least(F.floor(uniform("ctl", F.col("j"), F.col("episode_key")) * 3), F.lit(2)).cast("int"))
     ctl = x.filter(F.col("system") == want).withColumn("system", F.lit("control"))
-    a = B.draw_aurocs(ctl, dr.withColumn("j", hash32("ctl", F.col("draw")) % 16), ["system"], "content_doc_key", on=["j"])
+    control = [r[0] for r in spark.range(DRAWS).orderBy("id").select(hash32("ctl", F.col("id")) % 16).collect()]  # one number a draw
+    a = B.draw_aurocs(ctl, dr, ["system"], "content_doc_key", on=("j", control))
     b = B.draw_aurocs(s.filter("system = 'v_high'"), dr, ["system"], "content_doc_key")
     return rounded(B.intervals(B.paired_delta(a.unionByName(b), "system", "v_high"), ["system"]))
 
