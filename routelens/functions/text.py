@@ -132,6 +132,16 @@ def summary_entity_spans(x: Column, source_tokens: Column) -> Column:
     return F.array_union(entity_spans(x), F.transform(opener, F.lower))
 
 
+def openers(s: Column, source_tokens: Column) -> Column:
+    """For each sentence the one source token that its opening name can be, or none: all of the source that ``summary_entity_spans`` asks for.
+
+    The names found are bound by an outer one-element transform, so that they are looked up once a text and not once a sentence.
+    """
+    first = F.transform(s, lambda x: F.lower(F.get(F.filter(found(x, DISPLAY), lambda t, i: (i == 0) & _proper(t)), F.lit(0))))
+    hits = lambda known: F.transform(first, lambda t: F.filter(known, lambda k: k == t))
+    return F.get(F.transform(F.array(F.array_intersect(first, source_tokens)), hits), F.lit(0))
+
+
 def phrase_count(x: Column, phrase: str) -> Column:
     """Non-overlapping occurrences in the lower-cased text."""
     low = F.lower(x)

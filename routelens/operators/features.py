@@ -219,7 +219,7 @@ def _content(t: Column) -> Column:
 def marker_features(pairs: DataFrame) -> DataFrame:
     """Lengths and marker densities of the summary, structure of the source: no shuffle."""
     c, s = F.col("summary"), F.col("source")
-    base = pairs.select("pair_id", "summary", "source", X.tokens(c).alias("t"), X.sentences(c).alias("ss"), F.array_distinct(X.tokens(s)).alias("sset"))
+    base = pairs.select("pair_id", "summary", "source", X.tokens(c).alias("t"), X.sentences(c).alias("ss"), X.openers(X.sentences(c), X.tokens(s)).alias("known"))
     t = F.col("t")
     n = F.greatest(F.size(t), F.lit(1))
     logic = X.word_count(t, X.LOGIC_WORDS)
@@ -229,7 +229,8 @@ def marker_features(pairs: DataFrame) -> DataFrame:
     for p in X.ATTRIBUTION_PHRASES:
         said = said + X.phrase_count(c, p)
     total = lambda f: F.aggregate(F.transform("ss", f), F.lit(0), lambda a, x: a + x)
-    facts = total(lambda x: F.size(X.summary_entity_spans(x, F.col("sset")))) + total(lambda x: F.size(X.value_spans(x)))
+    names = F.zip_with("ss", "known", lambda x, k: F.size(X.summary_entity_spans(x, k)))
+    facts = F.aggregate(names, F.lit(0), lambda a, x: a + x) + total(lambda x: F.size(X.value_spans(x)))
     return base.select(
         "pair_id", F.log1p(F.size(X.tokens(s)).cast("double")).alias("log_source_token_count"), F.size("ss").cast("double").alias("summary_sentence_count"),
         F.array_max(F.transform("ss", lambda x: F.size(X.tokens(x)))).cast("double").alias("max_summary_sentence_tokens"),
@@ -247,10 +248,12 @@ def lexical_entropy(docs: DataFrame, key: str = "doc_key", text: str = "source")
 
 
 def evidence_table(pairs: DataFrame) -> DataFrame:
-    """Per summary sentence: idf coverage, best evidence, ambiguity and the top three positions."""
+    """Per summary sentence: idf coverage, best evidence, ambiguity, the top three positions and its opening name if the source has it."""
     sent = sentence_table(sources(pairs))
     post = postings(sent)
-    claims = pairs.select("pair_id", "doc_key", F.size(X.sentences(F.col("source"))).alias("n_src"), F.posexplode(X.sentences(F.col("summary"))).alias("cidx", "claim"))
+    claims = pairs.select("pair_id", "doc_key", F.size(X.sentences(F.col("source"))).alias("n_src"),
+                          F.posexplode(F.arrays_zip(X.sentences(F.col("summary")).alias("claim"), X.openers(X.sentences(F.col("summary")), X.tokens(F.col("source"))).alias("known"))).alias("cidx", "x"))
+    claims = claims.select("pair_id", "doc_key", "n_src", "cidx", F.col("x")["claim"].alias("claim"), F.col("x")["known"].alias("known"))
     ids = ["pair_id", "cidx"]
     q = claims.select(*ids, "doc_key", "n_src", F.explode(_content(X.tokens(F.col("claim")))).alias("term")).withColumn("qf", F.lit(1))
     vocab = post.select("doc_key", "term", "df").dropDuplicates(["doc_key", "term"])
@@ -266,7 +269,7 @@ def evidence_table(pairs: DataFrame) -> DataFrame:
     live = F.coalesce(F.col("total_w") > 0, F.lit(False))
     fill = F.sequence(F.lit(0), F.least(n - 1, F.lit(2)))
     return j.select(
-        *ids, "doc_key", "claim", "n_src", F.when(live, F.col("hit_w") / F.col("total_w")).otherwise(F.lit(1.0)).alias("coverage"),
+        *ids, "doc_key", "claim", "known", "n_src", F.when(live, F.col("hit_w") / F.col("total_w")).otherwise(F.lit(1.0)).alias("coverage"),
         F.when(live, F.coalesce("s1", F.lit(0.0)) / F.col("total_w")).otherwise(F.lit(0.0)).alias("strength"), entropy.alias("ambiguity"),
         F.coalesce("i1", F.lit(0)).alias("best"), F.slice(F.array_union(F.coalesce("top", F.array().cast("array<int>")), fill), 1, 3).alias("top"))
 
@@ -285,8 +288,7 @@ def conflict_features(pairs: DataFrame, ev: DataFrame) -> DataFrame:
     The at most three evidence sentences of a summary sentence are collected into its row; the
     entity-value pairs are then tested inside the row.
     """
-    src = pairs.select("pair_id", F.array_distinct(X.tokens(F.col("source"))).alias("sset"))
-    c = ev.join(src, "pair_id").select("pair_id", "cidx", "doc_key", "top", X.summary_entity_spans(F.col("claim"), F.col("sset")).alias("es"), X.value_spans(F.col("claim")).alias("vs"))
+    c = ev.select("pair_id", "cidx", "doc_key", "top", X.summary_entity_spans(F.col("claim"), F.col("known")).alias("es"), X.value_spans(F.col("claim")).alias("vs"))
     c = c.filter((F.size("es") > 0) & (F.size("vs") > 0))
     sents = sentence_table(sources(pairs)).select("doc_key", "sidx", F.lower("sentence").alias("low"), X.entity_spans(F.col("sentence")).alias("ents"), X.value_spans(F.col("sentence")).alias("vals"))
     x = c.withColumn("sidx", F.explode("top")).join(sents, ["doc_key", "sidx"])

@@ -157,9 +157,11 @@ def compact_feature_frame(spark, sf):
 
 @query("value_and_entity_spans", "T14 T15 T16")
 def value_and_entity_spans(spark, sf):
-    s = text_table(spark, sf, "documents").select("doc_id", F.array_distinct(X.tokens(F.col("text"))).alias("sset"), F.posexplode(X.sentences(F.col("text"))).alias("sidx", "s"))
+    ss = X.sentences(F.col("text"))
+    s = text_table(spark, sf, "documents").select("doc_id", F.posexplode(F.arrays_zip(ss.alias("s"), X.openers(ss, X.tokens(F.col("text"))).alias("known"))).alias("sidx", "x"))
+    s = s.select("doc_id", "sidx", F.col("x")["s"].alias("s"), F.col("x")["known"].alias("known"))
     return s.select("doc_id", "sidx", F.array_join(F.array_sort(X.value_spans(F.col("s"))), "|").alias("amounts"),
-                    F.array_join(F.array_sort(X.entity_spans(F.col("s"))), "|").alias("names"), F.size(X.summary_entity_spans(F.col("s"), F.col("sset"))).alias("n_summary_names"))
+                    F.array_join(F.array_sort(X.entity_spans(F.col("s"))), "|").alias("names"), F.size(X.summary_entity_spans(F.col("s"), F.col("known"))).alias("n_summary_names"))
 
 
 _LINES = f"string_split_regex(text,'\\r\\n|[\\n\\r\\f\\x0B\\x85\\x{{2028}}\\x{{2029}}]')"
