@@ -250,3 +250,20 @@ def test_nearest_mean_against_all_pairs(spark, n, k):
         zero = [v for d, _, v in near if d == 0]
         want = sum(zero) / len(zero) if zero else sum(v / d for d, _, v in near) / sum(1 / d for d, _, v in near)
         assert got[key, i] == pytest.approx(want)
+
+
+def test_nearest_mean_meets_few_rows_of_a_crowd(spark):
+    """Most rows in a thousandth of the range: a query meets rows near it, not the crowd."""
+    sizes, r = [], random.Random(5)
+    spots = [(r.random(), r.random()) for _ in range(2000)] + [(1000.0 * r.random(), 0.0) for _ in range(20)]
+    t = spark.createDataFrame([("u", i, *p, 1.0 * i) for i, p in enumerate(spots)], "key string, id long, x double, y double, value double")
+    q = spark.createDataFrame([("u", i, *p) for i, p in enumerate(spots[::40] * 3)], "key string, ask long, x double, y double")
+    import routelens.operators.neighbours as near
+    from routelens.sources.files import settled
+
+    width = near._first_width(t, ["key"], ["x", "y"], [0.0, 0.0], 1000.0, len(spots), 5)
+    assert t.filter(f"abs(x - 0.5) < {1.5 * width} and abs(y - 0.5) < {1.5 * width}").count() < 500
+    settle = lambda d, name: (sizes.append(d.count()) if name == "pending" else None, settled(d, name))[1]
+    got = {row.ask: row.prediction for row in nearest_mean(t, q, ["key"], ["x", "y"], "value", "id", "ask", 5, settle).collect()}
+    assert sizes[0] == len(spots[::40]) and len(got) == 3 * sizes[0]
+    assert got == pytest.approx({i: 40.0 * (i % sizes[0]) for i in got})
