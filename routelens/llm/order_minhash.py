@@ -25,7 +25,7 @@ a repeated doc_id gets the class of the smallest of its texts' classes. Extra co
 from __future__ import annotations
 
 from collections import OrderedDict
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import reduce
 from itertools import combinations
 
@@ -239,7 +239,11 @@ def _links(pairs: DataFrame, docs: DataFrame, reps: DataFrame, name: str) -> Dat
 
 def _bucket_levels(reps: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
     """(members (bucket, digest), counts (bucket, n, leader)) of each level; a level splits the large buckets of the one before."""
-    members = reps.select("digest", F.posexplode("keys").alias("t", "key")).select("digest", "t", F.xxhash64("t", "key").alias("bucket"))
+    # a member carries the keys of its next levels along, so no level joins its members with the sketches again
+    further = [f"next_{level}" for level in range(1, LEVELS)]
+    members = reps.select("digest", "keys", F.posexplode("keys").alias("t", "key"))
+    following = [F.element_at("keys", (F.col("t") + level) % TABLES + 1).alias(name) for level, name in enumerate(further, 1)]
+    members = members.select("digest", F.xxhash64("t", "key").alias("bucket"), *following)
     levels = []
     for level in range(1, LEVELS + 1):
         counts = written(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("digest").alias("leader")).where("n > 1"), "buckets")
@@ -247,9 +251,8 @@ def _bucket_levels(reps: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
         large = counts.where(F.col("n") > SMALL).select("bucket")
         if level == LEVELS or large.isEmpty():
             break
-        crowd = members.join(large, "bucket", "left_semi").join(reps.select("digest", "keys"), "digest")
-        members = crowd.select("digest", "t", F.xxhash64("bucket", F.element_at("keys", (F.col("t") + level) % TABLES + 1)).alias("bucket"))
-        members = written(members, "members")
+        crowd = members.join(large, "bucket", "left_semi")
+        members = written(crowd.select("digest", F.xxhash64("bucket", further[level - 1]).alias("bucket"), *further[level:]), "members")
     return levels
 
 
@@ -294,8 +297,9 @@ def _choices(size: int, many: int) -> np.ndarray:
     return _CHOSEN[size, many]
 
 
-def _rare_words(frequency: np.ndarray):
-    """Choices of a text's rarest labelled words as keys, with the overlap the text needs and the most it can reach with that choice."""
+def _rare_words(frequency: np.ndarray, carried: Sequence[str] = ()):
+    """Choices of a text's rarest labelled words as keys, with the overlap the text needs and the most it can reach with that choice,
+    and the columns ``carried`` of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -321,8 +325,9 @@ def _rare_words(frequency: np.ndarray):
                 at, keys, room = (np.concatenate(x) for x in (at, keys, room))
                 rows = pa.array(at)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("digest").take(rows), batch.column("component").take(rows), pa.array(keys), pa.array((n - _edits(n))[at - lo]), pa.array(room)],
-                    names=["digest", "component", "word", "need", "room"],
+                    [batch.column("digest").take(rows), batch.column("component").take(rows), pa.array(keys), pa.array((n - _edits(n))[at - lo]), pa.array(room),
+                     *[batch.column(c).take(rows) for c in carried]],
+                    names=["digest", "component", "word", "need", "room", *carried],
                 )
 
     return run
@@ -343,17 +348,19 @@ def _overlapping(crowd: DataFrame, docs: DataFrame, reps: DataFrame | None = Non
     frequency = np.zeros(1 << SLOT_BITS, np.int64)
     frequency[slots.column("slot").to_numpy()] = slots.column("n").to_numpy()
     once = texts.groupBy("digest").agg(F.first("component").alias("component"), F.first("text").alias("text"))
-    words = written(once.mapInArrow(_rare_words(frequency), "digest binary, component binary, word long, need long, room long"), "rare-words")
+    # one row a text meets its bitmap, not one row a key
+    carried = {} if reps is None else {"n_words": "long", "bits": "array<long>"}
+    once = once if reps is None else once.join(reps.select("digest", *carried), "digest")
+    schema = ", ".join(["digest binary, component binary, word long, need long, room long", *[f"{c} {t}" for c, t in carried.items()]])
+    words = written(once.mapInArrow(_rare_words(frequency, tuple(carried)), schema), "rare-words")
     sizes = words.groupBy("word", "component").agg(F.count(F.lit(1)).alias("n"))
     most = sizes.groupBy("word").agg(F.max_by("component", F.struct("n", "component")).alias("most"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
     shared = written(words.join(most, "word"), "shared-words")
-    met = shared
     fits = F.expr("ca <> cb and (cb = most or a < b) and least(room_a, room_b) >= greatest(need_a, need_b)")
     if reps is not None:
-        met = shared.join(reps.select("digest", "n_words", "bits"), "digest")
         fits &= _alike("a", "b")
     names = {"digest": "{}", "component": "c{}", "need": "need_{}", "room": "room_{}", "n_words": "n_{}", "bits": "bits_{}"}
-    side = lambda c: met.select("word", "most", *[F.col(x).alias(y.format(c)) for x, y in names.items() if x in met.columns])
+    side = lambda c: shared.select("word", "most", *[F.col(x).alias(y.format(c)) for x, y in names.items() if x in shared.columns])
     # the largest component of a word never meets itself
     left, right = side("a").where("ca <> most").drop("most"), side("b")
     found = left.join(right, "word").where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()

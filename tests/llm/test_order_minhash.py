@@ -7,6 +7,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from routelens.llm.components import components
 from routelens.llm import order_minhash
@@ -202,3 +203,28 @@ def test_bitmaps_never_rule_out_a_similar_pair():
                 _, _, row, hashed = word_spans(data, offsets)
                 x, y = order_minhash.word_bitmaps(row, hashed, 2)
                 assert sum((int(p) ^ int(q)).bit_count() for p, q in zip(x.view(np.uint64), y.view(np.uint64))) <= 2 * edits
+
+
+def test_members_and_bitmaps_are_carried_not_joined_back(spark, monkeypatch):
+    """A join on the digest makes one row a text, not one a bucket or a key, so a large group of near copies does not multiply its rows."""
+    rows = [(bytes(f"{i:04d}", "ascii"), 30, [1] * 20 + [i + 2] * 4, [0] * order_minhash.BITMAP) for i in range(60)]
+    reps = spark.createDataFrame(rows, "digest binary, n_words long, keys array<long>, bits array<long>")
+    plans = {}
+
+    def recorded(df, name):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return kept(df, name)
+
+    kept = order_minhash.written
+    monkeypatch.setattr(order_minhash, "written", recorded)
+    levels = order_minhash._bucket_levels(reps)
+    assert len(levels) == order_minhash.LEVELS and "Join Inner" not in plans["members"]
+    first = {r.bucket: r.n for r in levels[0][1].collect()}
+    assert sorted(first.values()) == [60] * 20  # the other tables' buckets hold one text each
+    assert levels[1][0].count() == 60 * 20
+
+    texts = [(bytes([i]), bytes([i]), "a b c d e f g h i j k l m n o p q r s " + "t u v w x y".split()[i]) for i in range(6)]
+    crowd = spark.createDataFrame(texts, "digest binary, component binary, text string")
+    sizes = crowd.select("digest", F.lit(20).cast("long").alias("n_words"), F.lit([0] * order_minhash.BITMAP).cast("array<long>").alias("bits"))
+    found = order_minhash._overlapping(crowd.select("digest", "component"), crowd.select("digest", "text"), sizes)
+    assert found.count() == 15 and "digest" not in [line.split("Join Inner, ")[-1].split("#")[0].strip("(") for line in plans["crowd-overlaps"].splitlines() if "Join Inner" in line]
