@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -54,9 +55,7 @@ def bm25(queries: DataFrame, post: DataFrame, ids: Sequence[str], key: str = "do
     ``queries``: ids, key, term, qf.
     """
     j = queries.join(post, [key, "term"])
-    norm = F.col("tf") + K1 * (1.0 - B + B * F.col("slen") / F.col("avg_len"))
-    part = F.col("qf") * idf(F.col("n_sent"), F.col("df")) * F.col("tf") * (K1 + 1.0) / norm
-    return j.groupBy(*ids, "sidx").agg(F.sum(part).alias("score"))
+    return j.groupBy(*ids, "sidx").agg(F.sum(_bm25_part()).alias("score"))
 
 
 def top_three(scores: DataFrame, ids: Sequence[str], last_wins: bool = False) -> DataFrame:
@@ -81,14 +80,81 @@ def top_columns(name: str, n: Column, last_wins: bool = False) -> list[Column]:
     ]
 
 
-def _query_terms(pairs: DataFrame, toks: Column) -> DataFrame:
-    return pairs.select("pair_id", "doc_key", F.explode(toks).alias("term")).groupBy("pair_id", "doc_key", "term").agg(F.count("*").alias("qf"))
+def shared_terms(pairs: DataFrame, tokenizer) -> DataFrame:
+    """(pair_id, doc_key, sidx, term, tf, qf, df, slen, n_sent, avg_len) of the summary's terms that a source sentence has.
+
+    A pair's row holds both texts, so terms that only one of them has are left out before any row moves, and one exchange by
+    pair serves every step up to the best sentences. Sentences with a term all share it, so ``df`` is over the whole source.
+    """
+    x = pairs.select("pair_id", "doc_key", tokenizer(F.col("summary")).alias("_q"), X.sentences(F.col("source")).alias("_s"))
+    x = x.select("pair_id", "doc_key", "_q", F.transform("_s", tokenizer).alias("_t"))
+    total = F.aggregate(F.transform("_t", F.size), F.lit(0), lambda a, t: a + t)
+    n = F.size("_t")
+    x = x.select("pair_id", "doc_key", "_q", n.alias("n_sent"), F.greatest(total / n, F.lit(1.0)).alias("avg_len"), F.posexplode("_t").alias("sidx", "_t"))
+    times = lambda terms, t: F.size(F.filter(terms, lambda y: y == t)).cast("long")
+    both = F.transform(F.array_intersect("_q", "_t"), lambda t: F.struct(t.alias("term"), times("_t", t).alias("tf"), times("_q", t).alias("qf")))
+    x = x.select("pair_id", "doc_key", "n_sent", "avg_len", "sidx", F.size("_t").alias("slen"), F.explode(both).alias("_b"))
+    x = x.select("pair_id", "doc_key", "n_sent", "avg_len", "sidx", "slen", "_b.*").repartition("pair_id")
+    # a repeated pair asks its terms as often as it comes; its source is still one
+    once = [F.first(c).alias(c) for c in ("tf", "slen", "n_sent", "avg_len")]
+    x = x.groupBy("pair_id", "doc_key", "sidx", "term").agg(F.sum("qf").alias("qf"), *once)
+    return x.withColumn("df", F.count("*").over(W.partitionBy("pair_id", "doc_key", "term")))
+
+
+def own_postings(rows: list) -> Iterator[tuple]:
+    """(sidx, tf, slen, n_sent, avg_len, qf, df) of each term and sentence of a document; ``qf`` counts the term in the whole document.
+
+    A document is the list of its rows' sentences, each a list of tokens; rows that repeat it add up their counts, sentence by sentence.
+    """
+    times: dict = {}
+    for sentences in rows:
+        n = len(sentences)
+        avg_len = max(sum(map(len, sentences)) / n, 1.0) if n else 1.0
+        for sidx, toks in enumerate(sentences):
+            for t in toks:
+                at = times.setdefault(t, {})
+                if sidx in at:
+                    at[sidx][0] += 1
+                else:
+                    at[sidx] = [1, len(toks), n, avg_len]
+    for at in times.values():
+        qf = sum(y[0] for y in at.values())
+        for sidx, x in at.items():
+            yield sidx, *x, qf, len(at)
+
+
+OWN = {"sidx": pa.int32(), "tf": pa.int64(), "slen": pa.int32(), "n_sent": pa.int32(), "avg_len": pa.float64(), "qf": pa.int64(), "df": pa.int64()}
+
+
+def _own_posting_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for lo in range(0, whole.num_rows, 128):
+            batch = whole.slice(lo, 128)
+            found = [(i, p) for i, rows in enumerate(batch.column(1).to_pylist()) for p in own_postings(rows)]
+            keys = batch.column(0).take(pa.array([i for i, _ in found], pa.int64()))
+            yield pa.RecordBatch.from_arrays([keys, *[pa.array([p[j] for _, p in found], t) for j, t in enumerate(OWN.values())]], names=[batch.schema.names[0], *OWN])
+
+
+def own_bm25(docs: DataFrame, key: str = "doc_key", text: str = "source") -> DataFrame:
+    """BM25 of all terms of each document against its sentences, as ``bm25`` with the documents as queries has it.
+
+    Only texts move, to bring rows of one key together, and then one sum a sentence; no posting does.
+    """
+    x = docs.filter(F.col(key).isNotNull()).groupBy(key).agg(F.collect_list(text).alias("_x"))
+    x = x.select(key, F.transform("_x", lambda t: F.transform(X.sentences(t), X.tokens)).alias("_t"))
+    x = x.mapInArrow(_own_posting_batches, f"`{key}` {dict(x.dtypes)[key]}, sidx int, tf long, slen int, n_sent int, avg_len double, qf long, df long")
+    return x.groupBy(key, "sidx").agg(F.sum(_bm25_part()).alias("score"))
+
+
+def _bm25_part() -> Column:
+    norm = F.col("tf") + K1 * (1.0 - B + B * F.col("slen") / F.col("avg_len"))
+    return F.col("qf") * idf(F.col("n_sent"), F.col("df")) * F.col("tf") * (K1 + 1.0) / norm
 
 
-def bm25_features(pairs: DataFrame, sent: DataFrame | None = None, last_wins: bool = False) -> DataFrame:
+def bm25_features(pairs: DataFrame, last_wins: bool = False) -> DataFrame:
     """The whole summary as one query against the source's sentences."""
-    sent = sentence_table(sources(pairs)) if sent is None else sent
-    top = top_three(bm25(_query_terms(pairs, X.tokens(F.col("summary"))), postings(sent), ["pair_id"]), ["pair_id"], last_wins)
+    scores = shared_terms(pairs, X.tokens).groupBy("pair_id", "sidx").agg(F.sum(_bm25_part()).alias("score"))
+    top = top_three(scores, ["pair_id"], last_wins)
     n = F.size(X.sentences(F.col("source")))
     base = pairs.select("pair_id", n.alias("n_sent"))
     return base.join(top, "pair_id", "left").select("pair_id", "n_sent", *top_columns("bm25", F.col("n_sent"), last_wins))
@@ -100,19 +166,19 @@ def ngrams(x: Column) -> Column:
     return F.concat(w, X.bigrams(w, " "))
 
 
+def _tfidf(times: str) -> Column:
+    return F.col(times) * (F.log((F.lit(1.0) + F.col("n_sent")) / (F.lit(1.0) + F.col("df"))) + 1.0)
+
+
 def tfidf_scores(pairs: DataFrame) -> DataFrame:
     """Cosine of smooth-idf, L2-normalised 1-2-gram vectors fitted on the source's own sentences."""
-    sent = sentence_table(sources(pairs), ngrams)
-    post = postings(sent).withColumn("w", F.col("tf") * (F.log((F.lit(1.0) + F.col("n_sent")) / (F.lit(1.0) + F.col("df"))) + 1.0))
+    post = postings(sentence_table(sources(pairs), ngrams)).withColumn("w", _tfidf("tf"))
     norm = post.groupBy("doc_key", "sidx").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    q = _query_terms(pairs, ngrams(F.col("summary")))
-    vocab = post.select("doc_key", "term", "df", "n_sent").dropDuplicates(["doc_key", "term"])
-    qw = q.join(vocab, ["doc_key", "term"]).withColumn(
-        "qw", F.col("qf") * (F.log((F.lit(1.0) + F.col("n_sent")) / (F.lit(1.0) + F.col("df"))) + 1.0))
-    qnorm = qw.groupBy("pair_id").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qnorm"))
-    dot = qw.select("pair_id", "doc_key", "term", "qw").join(post.select("doc_key", "term", "sidx", "w"), ["doc_key", "term"]) \
-        .groupBy("pair_id", "doc_key", "sidx").agg(F.sum(F.col("qw") * F.col("w")).alias("dot"))
-    return dot.join(norm, ["doc_key", "sidx"]).join(qnorm, "pair_id").select("pair_id", "sidx", (F.col("dot") / (F.col("norm") * F.col("qnorm"))).alias("score"))
+    x = shared_terms(pairs, ngrams).withColumns({"w": _tfidf("tf"), "qw": _tfidf("qf")})
+    # a term of the query is on df rows, so each of them has that share of its square
+    dot = x.groupBy("pair_id", "doc_key", "sidx").agg(F.sum(F.col("qw") * F.col("w")).alias("dot"), F.sum(F.col("qw") * F.col("qw") / F.col("df")).alias("_qq"))
+    dot = dot.withColumn("qnorm", F.sqrt(F.sum("_qq").over(W.partitionBy("pair_id"))))
+    return dot.join(norm, ["doc_key", "sidx"]).select("pair_id", "sidx", (F.col("dot") / (F.col("norm") * F.col("qnorm"))).alias("score"))
 
 
 @F.pandas_udf(DoubleType())

@@ -82,10 +82,7 @@ q AS (SELECT doc_id, u.term, count(*) AS qf FROM sent, unnest({tok_sql('s')}) u(
 SELECT doc_id, round(max(score),6) AS top1, count(*) AS matched FROM (SELECT doc_id, sidx, sum(qf*{IDF}*tf*2.5::double/(tf+1.5::double*(0.25::double+0.75::double*sl/al))) AS score FROM q JOIN post USING (doc_id, term) JOIN stat USING (doc_id) GROUP BY ALL) GROUP BY doc_id""")
 def document_passage_bm25(spark, sf):
     """The terms of each whole document against its sentences."""
-    d = text_table(spark, sf, "documents")
-    sent = T.sentence_table(d, key="doc_id", text="text")
-    q = sent.select("doc_id", F.explode("toks").alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("qf"))
-    s = T.bm25(q, T.postings(sent, "doc_id"), ["doc_id"], "doc_id")
+    s = T.own_bm25(text_table(spark, sf, "documents"), "doc_id", "text")
     return rounded(s.groupBy("doc_id").agg(F.max("score").alias("top1"), F.count("*").alias("matched")))
 
 

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from routelens.functions import text as X
 from routelens.functions.segmenting import rule_segments, segments
 from routelens.functions.stemming import measure, stem
 from routelens.operators import features as FT
@@ -91,3 +92,31 @@ def test_rouge_l_over_stems(spark):
     assert got == pytest.approx(want) and len(got) == 2
     plain = FT.rouge_scores(spark.createDataFrame(rows, "pair_id string, source string, summary string"), stems=False)
     assert plain.agg(F.max("score")).first()[0] is None or plain.agg(F.max("score")).first()[0] < max(want.values())
+
+
+def test_pairs_are_scored_from_shared_terms_without_a_join_by_term(spark):
+    """What a summary and its source do not share never moves; a repeated pair asks its terms twice, as a join by term has it."""
+    rows = [(1, "k1", "Alpha beta gamma. Beta beta delta! Nothing here.", "beta alpha beta"), (2, "k1", "Alpha beta gamma. Beta beta delta! Nothing here.", "delta zeta"),
+            (3, "k2", "One two. Two three.", ""), (4, "k3", "Lone words", "lone words lone"), (4, "k3", "Lone words", "lone words lone")]
+    p = spark.createDataFrame(rows, "pair_id long, doc_key string, source string, summary string")
+    q = p.select("pair_id", "doc_key", F.explode(X.tokens(F.col("summary"))).alias("term")).groupBy("pair_id", "doc_key", "term").agg(F.count("*").alias("qf"))
+    want = FT.bm25(q, FT.postings(FT.sentence_table(FT.sources(p))), ["pair_id"])
+    best = want.groupBy("pair_id").agg(F.max("score").alias("s")).collect()
+    got = FT.bm25_features(p)
+    assert {r.pair_id: round(r.bm25_top1, 9) for r in got.collect()} == {3: 0.0} | {r.pair_id: round(r.s, 9) for r in best}
+    assert round(FT.tfidf_scores(p).filter("pair_id = 4").first().score, 9) > 0.9
+    for plan in (got, FT.tfidf_scores(p)):
+        joins = [line for line in plan._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line]
+        assert joins and not any("term#" in line for line in joins)
+
+
+def test_own_terms_of_documents_move_no_postings(spark):
+    rows = [(1, "Alpha beta gamma. Beta beta delta! Nothing here."), (2, "One two. Two three."), (2, "One two. Two three."), (3, None), (None, "Lost id."), (4, "...")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    sent = FT.sentence_table(d, key="doc_id", text="text")
+    q = sent.select("doc_id", F.explode("toks").alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("qf"))
+    want = FT.bm25(q, FT.postings(sent, "doc_id"), ["doc_id"], "doc_id")
+    got = FT.own_bm25(d, "doc_id", "text")
+    key = lambda df: sorted((r.doc_id, r.sidx, round(r.score, 9)) for r in df.collect())
+    assert key(got) == key(want) and len(key(got)) == 5
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
