@@ -19,8 +19,11 @@ from routelens.operators import routing as R
 
 FOREST = RouterConfig()
 
+#: every row keeps its node in each tree instead of walking down from the root at each level; ten levels need no checkpoint
+KEPT_NODES = {"cacheNodeIds": True, "checkpointInterval": -1}
+
 LEARNERS = {
-    "forest": lambda seed, kw: RandomForestRegressor(seed=seed, featureSubsetStrategy="0.5", **kw),
+    "forest": lambda seed, kw: RandomForestRegressor(seed=seed, featureSubsetStrategy="0.5", **KEPT_NODES, **kw),
     "boosted": lambda seed, kw: GBTRegressor(seed=seed, maxIter=20, maxDepth=4, stepSize=0.06),
     "ridge": lambda seed, kw: LinearRegression(regParam=1.0, elasticNetParam=0.0, solver="normal"),
     "tree": lambda seed, kw: DecisionTreeRegressor(seed=seed, maxDepth=10, minInstancesPerNode=5),
@@ -42,7 +45,8 @@ def packed(df: DataFrame) -> DataFrame:
 
 def fit_heads(fit: DataFrame, pool: Sequence[str], features: Sequence[str], kind="regret", learner="forest", seed=17,
               threads: int = 3, **params) -> dict:
-    """One regressor per action on its available rows; fits run side by side from a small pool.
+    """One regressor per action on its available rows; fits run side by side from a small pool, at most two forests at once: each
+    fills the cores, and holds its rows' draws and nodes of all trees.
 
     ``kind`` names a target, or is a list with one target expression for each action.
     """
@@ -55,7 +59,7 @@ def fit_heads(fit: DataFrame, pool: Sequence[str], features: Sequence[str], kind
         est = LEARNERS[learner](seed, kw).setFeaturesCol("features").setLabelCol(f"target__{a}").setPredictionCol(f"head__{a}")
         return a, est.fit(x.filter(F.col(f"available__{a}")).select("features", f"target__{a}"))
 
-    with ThreadPoolExecutor(threads) as ex:
+    with ThreadPoolExecutor(min(2, threads) if learner == "forest" else threads) as ex:
         out = dict(ex.map(one, pool))
     x.unpersist()
     return out
@@ -77,7 +81,7 @@ def fit_classifier(fit: DataFrame, features: Sequence[str], target, name: str, l
         x.unpersist()
         return 0.5 if rate is None else float(rate)
     kw = {"numTrees": FOREST.num_trees, "maxDepth": FOREST.max_depth, "minInstancesPerNode": FOREST.min_leaf, **params}
-    est = RandomForestClassifier(seed=seed, **kw) if learner == "forest" else GBTClassifier(seed=seed, maxIter=10, maxDepth=4)
+    est = RandomForestClassifier(seed=seed, **KEPT_NODES, **kw) if learner == "forest" else GBTClassifier(seed=seed, maxIter=10, maxDepth=4)
     est = est.setFeaturesCol("features").setLabelCol("_t").setProbabilityCol(f"_p_{name}").setRawPredictionCol(f"_r_{name}").setPredictionCol(f"_c_{name}")
     if weight:
         est = est.setWeightCol(weight)

@@ -27,3 +27,14 @@ def test_routed_rows_are_a_table_without_the_rows_of_the_fit(spark):
     x, _ = Q.fitted(Q.featured(spark, "/root/testdata/sf0.001"), learner="tree")
     assert "UDF" not in x._jdf.queryExecution().executedPlan().toString()
     assert {r[0] for r in x.select("side").distinct().collect()} == {"val", "test"}
+
+
+def test_forests_keep_the_nodes_of_their_rows(spark):
+    """Rows keep their node in each tree, which changes no tree: at every level they would walk down from the root instead."""
+    x = spark.range(400).select(F.rand(1).alias("a"), F.rand(2).alias("b"), F.rand(3).alias("y"))
+    x = H.assemble(x, ("a", "b")).coalesce(1).persist()
+    est = H.LEARNERS["forest"](17, {"numTrees": 4, "maxDepth": 4}).setLabelCol("y")
+    assert est.getCacheNodeIds()
+    kept, plain = est.fit(x), est.copy({est.cacheNodeIds: False}).fit(x)
+    tree = lambda m: [t.toDebugString.split("\n", 1)[1] for t in m.trees]
+    assert tree(kept) == tree(plain)
