@@ -12,7 +12,9 @@ copies in one linear step; only buckets of at most ``SMALL`` members then try th
 buckets are split by the keys of the following tables, and each split part gets its own star, so a passage shared
 by thousands of otherwise different texts costs one test a member and level. Large buckets that are then not yet one
 component get an exact rest: all pairs of their texts in different components that share one of their rarest words
-are tested, by a prefix filter that no similar pair fails (``_overlapping``). Before any text moves, pairs are dropped whose
+are tested, by a prefix filter that no similar pair fails (``_overlapping``). Before it, every text meets the texts of its
+words that are closest to the middle of the crowd, a few for each word, so the copies a star left apart join the rest of their
+group by a number of tests that grows with the texts, not with the group's pairs. Before any text moves, pairs are dropped whose
 lengths or word bitmaps already rule out the allowed edits (``_possible``). With 24 tables and two minima a pair
 whose 5-mers overlap 0.8 misses all tables with a chance below 1e-9, at 0.5 about 0.1 %; texts without two common
 5-mers meet in no table.
@@ -25,7 +27,7 @@ a repeated doc_id gets the class of the smallest of its texts' classes. Extra co
 from __future__ import annotations
 
 from collections import OrderedDict
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 from itertools import combinations
 
@@ -44,6 +46,7 @@ MINIMA = 2
 SIMILARITY = 0.8
 SMALL = 24
 LEVELS = 4
+MIDDLE = 4
 SLOT_BITS = 20
 BITMAP = 8
 #: longest text and how many common words its keys hold
@@ -237,8 +240,9 @@ def _links(pairs: DataFrame, docs: DataFrame, reps: DataFrame, name: str) -> Dat
     return links
 
 
-def _bucket_levels(reps: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
-    """(members (bucket, digest), counts (bucket, n, leader)) of each level; a level splits the large buckets of the one before."""
+def _bucket_levels(reps: DataFrame) -> list[tuple[DataFrame, DataFrame, DataFrame]]:
+    """(members (bucket, digest), counts (bucket, n, leader), shared (bucket, digest, n, leader)) of each level; a level splits the
+    large buckets of the one before. ``shared`` are the members that are not alone, so later steps neither move nor join the others."""
     # a member carries the keys of its next levels along, so no level joins its members with the sketches again
     further = [f"next_{level}" for level in range(1, LEVELS)]
     members = reps.select("digest", "keys", F.posexplode("keys").alias("t", "key"))
@@ -247,11 +251,11 @@ def _bucket_levels(reps: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
     levels = []
     for level in range(1, LEVELS + 1):
         counts = written(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("digest").alias("leader")).where("n > 1"), "buckets")
-        levels.append((members.select("bucket", "digest"), counts))
-        large = counts.where(F.col("n") > SMALL).select("bucket")
-        if level == LEVELS or large.isEmpty():
+        shared = written(members.join(counts, "bucket"), "shared-members")
+        levels.append((members.select("bucket", "digest"), counts, shared.select("bucket", "digest", "n", "leader")))
+        crowd = shared.where(F.col("n") > SMALL)
+        if level == LEVELS or crowd.isEmpty():
             break
-        crowd = members.join(large, "bucket", "left_semi")
         members = written(crowd.select("digest", F.xxhash64("bucket", further[level - 1]).alias("bucket"), *further[level:]), "members")
     return levels
 
@@ -299,12 +303,14 @@ def _choices(size: int, many: int) -> np.ndarray:
 
 def _rare_words(frequency: np.ndarray, carried: Sequence[str] = ()):
     """Choices of a text's rarest labelled words as keys, with the overlap the text needs and the most it can reach with that choice,
-    and the columns ``carried`` of the text."""
+    how close the text is to the middle (how often its words come in the crowd, in the mean), and the columns ``carried`` of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, n, row, word in _labelled_words(batch.column("text")):
-                order = np.lexsort((word, frequency[(word >> np.uint64(64 - SLOT_BITS)).view(np.int64)], row))
+                often = frequency[(word >> np.uint64(64 - SLOT_BITS)).view(np.int64)]
+                central = np.bincount(row, often, len(n)) / np.maximum(n, 1)
+                order = np.lexsort((word, often, row))
                 word = word[order]
                 at, keys, room = [], [], []
                 for r, (first, size) in enumerate(zip(np.cumsum(n) - n, n)):
@@ -325,16 +331,40 @@ def _rare_words(frequency: np.ndarray, carried: Sequence[str] = ()):
                 at, keys, room = (np.concatenate(x) for x in (at, keys, room))
                 rows = pa.array(at)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("digest").take(rows), batch.column("component").take(rows), pa.array(keys), pa.array((n - _edits(n))[at - lo]), pa.array(room),
+                    [batch.column("digest").take(rows), batch.column("component").take(rows), pa.array(keys), pa.array((n - _edits(n))[at - lo]), pa.array(room), pa.array(central[at - lo]),
                      *[batch.column(c).take(rows) for c in carried]],
-                    names=["digest", "component", "word", "need", "room", *carried],
+                    names=["digest", "component", "word", "need", "room", "central", *carried],
                 )
 
     return run
 
 
-def _overlapping(crowd: DataFrame, docs: DataFrame, reps: DataFrame | None = None) -> DataFrame:
-    """All pairs (a, b) of different components of ``crowd`` (digest, component) whose words may overlap enough for a link.
+def _fits(shared: DataFrame) -> Column:
+    """May two texts ``a`` and ``b`` that share a word be similar, by the overlap that is left and, if carried, by ``_alike``?"""
+    fits = F.expr("ca <> cb and least(room_a, room_b) >= greatest(need_a, need_b)")
+    return fits & _alike("a", "b") if "bits" in shared.columns else fits
+
+
+def _word_side(shared: DataFrame, c: str) -> DataFrame:
+    names = {"digest": "{}", "component": "c{}", "need": "need_{}", "room": "room_{}", "n_words": "n_{}", "bits": "bits_{}"}
+    return shared.select("word", "most", *[F.col(x).alias(y.format(c)) for x, y in names.items() if x in shared.columns])
+
+
+def _all_pairs(shared: DataFrame) -> DataFrame:
+    """All pairs of different components of a word; its largest component never meets itself."""
+    left, right = _word_side(shared, "a").where("ca <> most").drop("most"), _word_side(shared, "b")
+    return left.join(right, "word").where(_fits(shared) & F.expr("cb = most or a < b"))
+
+
+def _middle_pairs(shared: DataFrame) -> DataFrame:
+    """Every text of a word meets its middle: the word's texts fall into ``MIDDLE`` parts, and each part gives its most central one."""
+    row = F.struct("central", *[c for c in shared.columns if c not in ("word", "central")])
+    middle = shared.groupBy("word", F.pmod(F.xxhash64("digest"), F.lit(MIDDLE)).alias("part")).agg(F.max(row).alias("row")).select("word", "row.*")
+    return _word_side(shared, "a").drop("most").join(_word_side(middle, "b"), "word").where(_fits(shared))
+
+
+def _overlapping(crowd: DataFrame, docs: DataFrame, reps: DataFrame | None = None, pairs_of: Callable[[DataFrame], DataFrame] = _all_pairs) -> DataFrame:
+    """Pairs (a, b) of different components of ``crowd`` (digest, component) whose words may overlap enough for a link: all, or those of ``pairs_of``.
 
     Similar texts have at least ``longest - limit`` labelled words in common. With the words of every text in one
     common order, their first k common words are among the first ``limit + k`` of each, and after the k-th both have enough
@@ -351,19 +381,12 @@ def _overlapping(crowd: DataFrame, docs: DataFrame, reps: DataFrame | None = Non
     # one row a text meets its bitmap, not one row a key
     carried = {} if reps is None else {"n_words": "long", "bits": "array<long>"}
     once = once if reps is None else once.join(reps.select("digest", *carried), "digest")
-    schema = ", ".join(["digest binary, component binary, word long, need long, room long", *[f"{c} {t}" for c, t in carried.items()]])
+    schema = ", ".join(["digest binary, component binary, word long, need long, room long, central double", *[f"{c} {t}" for c, t in carried.items()]])
     words = written(once.mapInArrow(_rare_words(frequency, tuple(carried)), schema), "rare-words")
     sizes = words.groupBy("word", "component").agg(F.count(F.lit(1)).alias("n"))
     most = sizes.groupBy("word").agg(F.max_by("component", F.struct("n", "component")).alias("most"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
     shared = written(words.join(most, "word"), "shared-words")
-    fits = F.expr("ca <> cb and (cb = most or a < b) and least(room_a, room_b) >= greatest(need_a, need_b)")
-    if reps is not None:
-        fits &= _alike("a", "b")
-    names = {"digest": "{}", "component": "c{}", "need": "need_{}", "room": "room_{}", "n_words": "n_{}", "bits": "bits_{}"}
-    side = lambda c: shared.select("word", "most", *[F.col(x).alias(y.format(c)) for x, y in names.items() if x in shared.columns])
-    # the largest component of a word never meets itself
-    left, right = side("a").where("ca <> most").drop("most"), side("b")
-    found = left.join(right, "word").where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    found = pairs_of(shared).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     found = written(found, "crowd-overlaps")
     forget(words, shared)
     return found
@@ -393,16 +416,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     levels = _bucket_levels(reps)
 
     pairs = None
-    for members, counts in levels:
-        star = members.join(counts.select("bucket", "leader"), "bucket").where("digest <> leader").select(F.col("leader").alias("a"), F.col("digest").alias("b"))
+    for _, _, shared in levels:
+        star = shared.where("digest <> leader").select(F.col("leader").alias("a"), F.col("digest").alias("b"))
         pairs = star if pairs is None else pairs.union(star)
     tested = pairs.distinct()
     links = _links(tested, named, reps, "star")
     linked = components(links, "a", "b")
 
     rest = None
-    for members, counts in levels:
-        few = members.join(counts.where((F.col("n") > 2) & (F.col("n") <= SMALL)).select("bucket"), "bucket")
+    for _, _, shared in levels:
+        few = shared.where((F.col("n") > 2) & (F.col("n") <= SMALL)).select("bucket", "digest")
         rest = few if rest is None else rest.union(few)
     rest = _apart(rest, linked, "apart")
     left = rest.select("bucket", F.col("digest").alias("a"), F.col("component").alias("ca"))
@@ -412,13 +435,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         links = links.union(_links(others, named, reps, "rest"))
         linked = components(links, "a", "b")
 
-    members, counts = levels[0]
-    crowd = _apart(members.join(counts.where(F.col("n") > SMALL).select("bucket"), "bucket"), linked, "crowd")
-    crowd = written(crowd.select("digest", "component").distinct(), "crowd-texts")
-    if not crowd.isEmpty():
-        others = _overlapping(crowd, named, reps)
+    large = levels[0][2].where(F.col("n") > SMALL).select("bucket", "digest")
+    for name, pairs_of in (("middle", _middle_pairs), ("crowd", _all_pairs)):
+        crowd = written(_apart(large, linked, name).select("digest", "component").distinct(), f"{name}-texts")
+        if crowd.isEmpty():
+            break
+        others = _overlapping(crowd, named, reps, pairs_of)
         if not others.isEmpty():
-            linked = components(links.union(_links(others, named, reps, "crowd")), "a", "b")
+            links = links.union(_links(others, named, reps, name))
+            linked = components(links, "a", "b")
 
     classed = texts.select("digest", "first_id").join(linked.withColumnRenamed("node", "digest"), "digest", "left")
     classed = written(classed.withColumn("component", F.coalesce("component", "digest")), "classed")

@@ -228,3 +228,31 @@ def test_members_and_bitmaps_are_carried_not_joined_back(spark, monkeypatch):
     sizes = crowd.select("digest", F.lit(20).cast("long").alias("n_words"), F.lit([0] * order_minhash.BITMAP).cast("array<long>").alias("bits"))
     found = order_minhash._overlapping(crowd.select("digest", "component"), crowd.select("digest", "text"), sizes)
     assert found.count() == 15 and "digest" not in [line.split("Join Inner, ")[-1].split("#")[0].strip("(") for line in plans["crowd-overlaps"].splitlines() if "Join Inner" in line]
+
+
+def test_copies_a_star_left_apart_join_by_the_middle_of_their_group(spark):
+    """Copies of one text, each with its own edits, are single components: the tests before the exact rest grow with the texts, and leave the rest nothing."""
+    r = random.Random(3)
+    base = [f"b{i}" for i in range(120)]
+    rows = [(i, " ".join(edited(base, 0 if i < 6 else 12 + r.randrange(10), i))) for i in range(400)]
+    crowd = spark.createDataFrame([(bytes(f"{i:04d}", "ascii"), bytes(f"{i:04d}", "ascii"), t) for i, t in rows], "digest binary, component binary, text string")
+    made = {f: order_minhash._overlapping(crowd.select("digest", "component"), crowd.select("digest", "text"), None, f) for f in (order_minhash._middle_pairs, order_minhash._all_pairs)}
+    middle, every = ({(a, b) for a, b in made[f].collect()} for f in (order_minhash._middle_pairs, order_minhash._all_pairs))
+    assert middle <= every and len(middle) < 400 * 60 < len(every)
+    texts = dict((bytes(f"{i:04d}", "ascii"), t.split()) for i, t in rows)
+    links = [(a, b) for a, b in middle if similar(texts[a], texts[b])]
+    assert components(spark.createDataFrame(links, "a binary, b binary"), "a", "b").select("component").distinct().count() == 1
+
+
+def test_members_are_joined_with_their_buckets_once(spark, monkeypatch):
+    """Stars, small buckets and the crowd read the members that are not alone; none of them moves all members again."""
+    rows = [(i, prose(i // 3, 40) + (" end" if i % 3 else "")) for i in range(120)]
+    kept, plans = order_minhash.written, []
+
+    def recorded(df, name):
+        plans.append((name, df._jdf.queryExecution().optimizedPlan().toString()))
+        return kept(df, name)
+
+    monkeypatch.setattr(order_minhash, "written", recorded)
+    near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {n for n, p in plans if "posexplode" in p.lower()} == {"buckets", "shared-members"}
