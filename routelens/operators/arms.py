@@ -160,6 +160,24 @@ def arms_ledger(
     return settle(arm_ledger(rows, plan, keys, arms, digits), "arm-ledger")
 
 
+def tested_arms(
+    rows: DataFrame, keys: Sequence[str], arms: Sequence[Arm], verifiers: int, features: int, grid: Sequence[float], tolerance: float, prior: float = 0.0,
+    settle: Callable[[DataFrame, str], DataFrame] = lambda df, name: df,
+) -> DataFrame:
+    """The ledger of the test rows of every (keys, arm) at the discount that its validation rows choose.
+
+    All discounts meet the validation rows only: the test rows meet the plan of the chosen ones, one entry an arm.
+    """
+    width = max(len(a.members) for a in arms)
+    heads = settle(fit_arms(rows.filter("side = 'fit'"), keys, arms, features, prior), "arm-heads")
+    plan = settle(choices(rows, heads, keys, arms, verifiers, features, grid), "arm-choices")
+    on_validation = settle(arm_ledger(rows.filter("side = 'val'"), plan, keys, arms), "arm-ledger")
+    beta = settle(chosen_discounts(summary(on_validation, [*keys, "arm", "beta"], width), [*keys, "arm"], tolerance), "arm-discounts")
+    entries = plan.select(*keys, "bins", F.explode("plan").alias("entry")).withColumns({"arm": F.col("entry.arm"), "beta": F.col("entry.beta")})
+    kept = entries.join(beta, [*keys, "arm", "beta"]).groupBy(*keys, "bins").agg(F.collect_list("entry").alias("plan"))
+    return settle(arm_ledger(rows.filter("side = 'test'"), settle(kept, "arm-chosen"), keys, arms), "arm-tests")
+
+
 def average_rank(value: str, descending: bool = True) -> Column:
     """Averaged rank over the whole (small) table, cut to an integer; null values have none."""
     order = F.col(value).desc_nulls_last() if descending else F.col(value).asc_nulls_last()

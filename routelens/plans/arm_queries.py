@@ -160,9 +160,7 @@ def pool_confirmation(spark, sf):
     gap = F.pmod(F.col("fold") - F.col("rot"), F.lit(ROTATIONS))
     turned = rows.join(S.fold_groups(rows, SEEDS[0], ROTATIONS), "content_doc_key").withColumn("rot", F.explode(F.sequence(F.lit(0), F.lit(ROTATIONS - 1))))
     turned = settled(turned.withColumn("side", F.when(gap == 0, "test").when(gap == 1, "val").otherwise("fit")).drop("fold"), "turned-rows")
-    led = A.arms_ledger(turned, ["rot"], arms, len(NAMES), 2, BETA_GRID, settle=settled)
-    beta = settled(A.chosen_discounts(A.summary(led.filter("side = 'val'"), ["rot", "arm", "beta"], 3), ["rot", "arm"], EPS), "rotation-discounts")
-    out = A.summary(led.filter("side = 'test'").join(beta, ["rot", "arm", "beta"]), ["arm"], 3)
+    out = A.summary(A.tested_arms(turned, ["rot"], arms, len(NAMES), 2, BETA_GRID, EPS, settle=settled), ["arm"], 3)
     out = out.select("arm", F.col("auroc").alias("a_val_auroc"), F.col("mean_ms").alias("a_val_ms"), "n_rows")
     j = out.join(screen.select("arm", F.col("val_auroc").alias("b_val_auroc"), F.col("val_ms").alias("b_val_ms"), "min_share"), "arm")
     j = j.withColumn("joint_auroc", (F.col("a_val_auroc") + F.col("b_val_auroc")) / 2).withColumn("ra", F.round("a_val_auroc", 12)).withColumn("rj", F.round("joint_auroc", 12))
@@ -201,9 +199,8 @@ def lattice_table(spark, sf):
     """Test quality and cost of all 64 feature subsets and all 8 pool subsets, as (kind, mask) rows."""
     arms = A.lattice_of(POOL, TEXT_FEATURES)
     rows = settled(lattice_rows(spark, sf), "lattice-rows")
-    led = A.arms_ledger(rows, ["run"], arms, len(POOL), len(TEXT_FEATURES), BETA_GRID, PRIOR, settle=settled)
-    beta = settled(A.chosen_discounts(A.summary(led.filter("side = 'val'"), ["run", "arm", "beta"], len(POOL)), ["run", "arm"], EPS), "lattice-discounts")
-    out = A.summary(led.filter("side = 'test'").join(beta, ["run", "arm", "beta"]), ["arm", "beta"], len(POOL))
+    tests = A.tested_arms(rows, ["run"], arms, len(POOL), len(TEXT_FEATURES), BETA_GRID, EPS, PRIOR, settle=settled)
+    out = A.summary(tests, ["arm", "beta"], len(POOL))
     return out.select(F.substring_index("arm", ":", 1).alias("kind"), F.substring_index("arm", ":", -1).cast("int").alias("mask"), "beta", "n_rows", "uncovered", "auroc", "mean_ms")
 
 

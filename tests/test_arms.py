@@ -94,6 +94,24 @@ def test_arms_against_plain_routing(spark, prior):
     assert {r.arm for r in A.chosen_discounts(A.summary(led.filter("side = 'val'"), ["arm", "beta"], 4), ["arm"], 0.01).collect()} == {a.name for a in arms}
 
 
+def test_test_rows_meet_the_chosen_discounts_only(spark):
+    """As many ledger rows as with all discounts and a filter behind them, but the test rows' plan holds one entry an arm."""
+    df, seen = spark.createDataFrame(score_rows(240, 5), SCHEMA), {}
+    arms = A.lattice_of(NAMES[:2], ("f", "g", "h"))
+
+    def settle(x, name):
+        return seen.setdefault(name, x.cache())
+
+    got = A.tested_arms(df, ["run"], arms, 4, 3, GRID, 0.01, 1.0, settle)
+    led = A.arms_ledger(df, ["run"], arms, 4, 3, GRID, 1.0).cache()
+    beta = A.chosen_discounts(A.summary(led.filter("side = 'val'"), ["run", "arm", "beta"], 2), ["run", "arm"], 0.01)
+    want = led.filter("side = 'test'").join(beta, ["run", "arm", "beta"])
+    plain = lambda x: sorted((r.arm, r.beta, round(r.score, 9), r.pos, r.neg, round(r.ms, 6), r.c0, r.c1) for r in x.collect())
+    assert plain(got) == plain(want)
+    assert {r[0] for r in seen["arm-chosen"].select(F.size("plan")).collect()} == {len(arms)}
+    assert seen["arm-choices"].select(F.max(F.size("plan"))).first()[0] > len(arms)
+
+
 def test_rounded_ledger_is_bounded(spark):
     df = spark.createDataFrame(score_rows(600), SCHEMA)
     led = A.arms_ledger(df, ["run"], A.pools_of(NAMES, 3, 0b011), 4, 3, (0.0,), digits=1)
