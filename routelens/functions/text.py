@@ -137,7 +137,8 @@ def openers(s: Column, source_tokens: Column) -> Column:
 
     The names found are bound by an outer one-element transform, so that they are looked up once a text and not once a sentence.
     """
-    first = F.transform(s, lambda x: F.lower(F.get(F.filter(found(x, DISPLAY), lambda t, i: (i == 0) & _proper(t)), F.lit(0))))
+    opening = F.transform(s, lambda x: F.regexp_extract(x, DISPLAY, 0))
+    first = F.transform(opening, lambda t: F.when(_proper(t), F.lower(t)))
     hits = lambda known: F.transform(first, lambda t: F.filter(known, lambda k: k == t))
     return F.get(F.transform(F.array(F.array_intersect(first, source_tokens)), hits), F.lit(0))
 

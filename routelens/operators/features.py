@@ -3,15 +3,18 @@
 Each distinct source is split and tokenised once. Terms become postings (document, sentence,
 term), queries become (pair, term) rows, and BM25 / TF-IDF / coverage are a join on
 (document, term) followed by sums. A popular document is spread over its terms, and no text
-is processed in a Python loop; only the stems and the LCS of ROUGE-L need Arrow functions.
+is processed in a Python loop; only the stems, the LCS of ROUGE-L and the evidence of claims,
+which is found inside a pair's row, need Arrow functions.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -313,31 +316,171 @@ def lexical_entropy(docs: DataFrame, key: str = "doc_key", text: str = "source")
     return docs.select(key).join(g.select(key, e.alias("e")), key, "left").select(key, F.coalesce("e", F.lit(0.0)).alias("source_lexical_entropy"))
 
 
+#: cells of the (claim, source sentence) grid filled at a time, and the shared terms put into them; groups of rows taken from a batch
+GRID, GROUPS = 1 << 21, 64
+CLAIM = pa.struct([("row", pa.int32()), ("cidx", pa.int32()), ("n_src", pa.int32()), ("coverage", pa.float64()), ("strength", pa.float64()),
+                   ("ambiguity", pa.float64()), ("best", pa.int32()), ("top", pa.list_(pa.int32()))])
+CLAIM_TYPE = "array<struct<row:int,cidx:int,n_src:int,coverage:double,strength:double,ambiguity:double,best:int,top:array<int>>>"
+
+
+def _starts(sizes: np.ndarray) -> np.ndarray:
+    return np.cumsum(sizes) - sizes
+
+
+def _sizes(lists: pa.Array) -> np.ndarray:
+    return pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype("int64")
+
+
+def _idf(n: np.ndarray, df: np.ndarray) -> np.ndarray:
+    return np.log(1.0 + (n - df + 0.5) / (df + 0.5))
+
+
+def _best_three(m: np.ndarray, term: np.ndarray, cells: np.ndarray, start: np.ndarray, df: np.ndarray, sidx: np.ndarray, part: np.ndarray) -> tuple:
+    """BM25 of claims against source sentences: per claim the sum of its scores, of score times log score, the best score and the three best positions.
+
+    Entry i says that claim ``m[i]`` (ascending) has term ``term[i]``, whose postings are ``df`` ones from ``start``, each with the
+    position ``sidx`` of its sentence and its ``part`` of the score. As many claims are scored together as fill ``GRID`` cells.
+    """
+    claims = len(cells)
+    mass, mass_log, best, top = np.zeros(claims), np.zeros(claims), np.zeros(claims), np.full((claims, 3), -1, "int64")
+    cost = np.cumsum(cells + np.bincount(m, df[term], claims).astype("int64"))
+    lo = 0
+    while lo < claims:
+        hi = max(lo + 1, int(np.searchsorted(cost, (cost[lo - 1] if lo else 0) + GRID, "right")))
+        e = slice(*np.searchsorted(m, (lo, hi)))
+        times, off = df[term[e]], _starts(cells[lo:hi])
+        at = np.arange(times.sum()) + np.repeat(start[term[e]] - _starts(times), times)
+        grid = np.bincount(np.repeat(off[m[e] - lo], times) + sidx[at], part[at], cells[lo:hi].sum())
+        met = np.flatnonzero(grid)
+        score = grid[met]
+        counts = np.diff(np.searchsorted(met, np.append(off, len(grid))))
+        some = np.flatnonzero(counts)
+        if len(some):
+            first, who = _starts(counts[some]), np.repeat(np.arange(len(some)), counts[some])
+            mass[lo + some], mass_log[lo + some] = np.add.reduceat(score, first), np.add.reduceat(score * np.log(score), first)
+            left = np.round(score, 12)  # of equal scores the first position wins
+            for k in range(3):
+                hit = np.flatnonzero((left == np.maximum.reduceat(left, first)[who]) & (left >= 0))
+                hit = hit[np.flatnonzero(np.diff(who[hit], prepend=-1))]
+                claim = some[who[hit]]
+                top[lo + claim, k] = met[hit] - off[claim]
+                if k == 0:
+                    best[lo + claim] = score[hit]
+                left[hit] = -1.0
+        lo = hi
+    return mass, mass_log, best, top
+
+
+def claim_evidence(rows: pa.Array) -> pa.Array:
+    """For each group of rows with one pair_id, its claims in order with what ``evidence_table`` tells of them.
+
+    A row has (paired, keyed, own, t, u): whether its pair and its source have a key, whether its summary is its source, the tokens of
+    the source's sentences and those of the summary's, which an own row leaves out. Claims of one position in a group add up their terms.
+    """
+    in_group = _sizes(rows)
+    paired, keyed, own, t, u = rows.flatten().flatten()
+    paired, keyed, own = (x.to_numpy(zero_copy_only=False).astype(bool) for x in (paired, keyed, own))
+    n, n_own = _sizes(t), _sizes(u)
+    t, u = t.flatten(), u.flatten()
+    slen, ulen = _sizes(t), _sizes(u)
+    both = pa.concat_arrays([t.flatten(), u.flatten()]).dictionary_encode()
+    code, width = both.indices.to_numpy(zero_copy_only=False).astype("int64"), max(len(both.dictionary), 1)
+    plain = ~pc.is_in(both.dictionary, value_set=pa.array(X.STOPWORDS, both.dictionary.type)).to_numpy(zero_copy_only=False)[code]
+
+    def term_counts(sizes, code, plain):
+        """(sentence, term, count) without stop words."""
+        found, count = np.unique((np.repeat(np.arange(len(sizes)), sizes) * width + code)[plain], return_counts=True)
+        return found // width, found % width, count
+
+    row_of = np.repeat(np.arange(len(n)), n)
+    sent, word, tf = term_counts(slen, code[:slen.sum()], plain[:slen.sum()])
+    row = row_of[sent]
+    position = sent - _starts(n)[row]
+    # postings of the sources, term by term
+    order = np.argsort(row * width + word, kind="stable")
+    order = order[keyed[row[order]]]
+    terms, start, df = np.unique((row * width + word)[order], return_index=True, return_counts=True)
+    avg_len = np.maximum(np.bincount(row_of, slen, len(n)) / np.maximum(n, 1), 1.0)
+    norm = tf + K1 * (1.0 - B + B * slen[sent] / avg_len[row])
+    weight = np.repeat(_idf(n[terms // width], df), df) * (tf * (K1 + 1.0) / norm)[order]
+    # claims and the terms they ask
+    n_claims = np.where(own, n, n_own)
+    first = _starts(n_claims)
+    claim_row = np.repeat(np.arange(len(n)), n_claims)
+    cidx = np.arange(len(claim_row)) - first[claim_row]
+    asked, asked_word, _ = term_counts(ulen, code[slen.sum():], plain[slen.sum():])
+    asked_row = np.repeat(np.arange(len(n)), n_own)[asked]
+    self_asked = own[row]
+    entry_row = np.concatenate([row[self_asked], asked_row])
+    claim = np.concatenate([(first[row] + position)[self_asked], first[asked_row] + asked - _starts(n_own)[asked_row]])
+    term_key = entry_row * width + np.concatenate([word[self_asked], asked_word])
+    group = np.repeat(np.arange(len(in_group)), in_group)
+    if len(group) == len(in_group):
+        merged = np.arange(len(claim_row))
+    else:
+        merged = np.unique(group[claim_row] * (n_claims.max(initial=0) + 1) + cidx, return_inverse=True)[1]
+    kept = np.flatnonzero(paired[entry_row])
+    kept = kept[np.argsort(merged[claim[kept]], kind="stable")]
+    entry_row, term_key, m = entry_row[kept], term_key[kept], merged[claim[kept]]
+    cells = np.zeros(merged.max(initial=-1) + 1, "int64")
+    np.maximum.at(cells, merged, n[claim_row])
+    term = np.searchsorted(terms, term_key)
+    known = np.append(terms, -1)[term] == term_key
+    w = _idf(n[entry_row], np.where(known, np.append(df, 0)[term], 0))
+    total, hit = np.bincount(m, w, len(cells))[merged], np.bincount(m[known], w[known], len(cells))[merged]
+    mass, mass_log, s1, top = (x[merged] for x in _best_three(m[known], term[known], cells, start, df, position[order], weight))
+    n_src = n[claim_row]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        coverage = np.where(total > 0, hit / total, 1.0)
+        strength = np.where(total > 0, s1 / total, 0.0)
+        ambiguity = np.where(n_src <= 1, 0.0, np.where(mass > 0, (np.log(mass) - mass_log / mass) / np.log(n_src), 1.0))
+    # the best positions, filled up with the first ones
+    fill = np.arange(3)
+    free = (fill < n_src[:, None]) & ~(top[:, :, None] == fill).any(axis=1)
+    choice = np.concatenate([top, np.broadcast_to(fill, top.shape)], axis=1)
+    valid = np.concatenate([top >= 0, free], axis=1)
+    valid &= np.cumsum(valid, axis=1) <= 3
+    tops = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(valid.sum(axis=1))), pa.int32()), pa.array(choice[valid], pa.int32()))
+    flat = [claim_row - _starts(in_group)[group[claim_row]], cidx, n_src, coverage, strength, ambiguity, np.maximum(top[:, 0], 0)]
+    out = pa.StructArray.from_arrays([*[pa.array(x, f.type) for x, f in zip(flat, CLAIM)], tops], fields=list(CLAIM))
+    ends = np.cumsum(np.bincount(group[claim_row], minlength=len(in_group)))
+    return pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), out)
+
+
+def _claim_evidence_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for lo in range(0, whole.num_rows, GROUPS):
+            batch = whole.slice(lo, GROUPS)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), claim_evidence(batch.column(2))], names=["pair_id", "_x", "_ev"])
+
+
 def evidence_table(pairs: DataFrame) -> DataFrame:
-    """Per summary sentence: idf coverage, best evidence, ambiguity, the top three positions and its opening name if the source has it."""
-    sent = sentence_table(sources(pairs))
-    post = postings(sent)
-    claims = pairs.select("pair_id", "doc_key", F.size(X.sentences(F.col("source"))).alias("n_src"),
-                          F.posexplode(F.arrays_zip(X.sentences(F.col("summary")).alias("claim"), X.openers(X.sentences(F.col("summary")), X.tokens(F.col("source"))).alias("known"))).alias("cidx", "x"))
-    claims = claims.select("pair_id", "doc_key", "n_src", "cidx", F.col("x")["claim"].alias("claim"), F.col("x")["known"].alias("known"))
-    ids = ["pair_id", "cidx"]
-    q = claims.select(*ids, "doc_key", "n_src", F.explode(_content(X.tokens(F.col("claim")))).alias("term")).withColumn("qf", F.lit(1))
-    vocab = post.select("doc_key", "term", "df").dropDuplicates(["doc_key", "term"])
-    weighed = q.join(vocab, ["doc_key", "term"], "left").withColumn("w", idf(F.col("n_src"), F.coalesce("df", F.lit(0))))
-    weight = weighed.groupBy(*ids).agg(F.sum("w").alias("total_w"), F.sum(F.when(F.col("df").isNotNull(), F.col("w")).otherwise(0.0)).alias("hit_w"))
-    sc = bm25(q, post, ids)
-    s = F.col("score")
-    spread = sc.groupBy(*ids).agg(F.sum("score").alias("mass"), F.sum(s * F.log(s)).alias("mass_log"))
-    top = top_three(sc, ids)
-    j = claims.join(weight, ids, "left").join(spread, ids, "left").join(top, ids, "left")
-    n = F.col("n_src")
-    entropy = F.when(n <= 1, F.lit(0.0)).when(F.col("mass") > 0, (F.log("mass") - F.col("mass_log") / F.col("mass")) / F.log(n.cast("double"))).otherwise(F.lit(1.0))
-    live = F.coalesce(F.col("total_w") > 0, F.lit(False))
-    fill = F.sequence(F.lit(0), F.least(n - 1, F.lit(2)))
-    return j.select(
-        *ids, "doc_key", "claim", "known", "n_src", F.when(live, F.col("hit_w") / F.col("total_w")).otherwise(F.lit(1.0)).alias("coverage"),
-        F.when(live, F.coalesce("s1", F.lit(0.0)) / F.col("total_w")).otherwise(F.lit(0.0)).alias("strength"), entropy.alias("ambiguity"),
-        F.coalesce("i1", F.lit(0)).alias("best"), F.slice(F.array_union(F.coalesce("top", F.array().cast("array<int>")), fill), 1, 3).alias("top"))
+    """Per summary sentence: idf coverage, best evidence, ambiguity, the top three positions with their sentences, and its opening name if the source has it.
+
+    A pair's row holds both texts, so no posting and no score moves: texts do once, to bring rows of one pair_id together, whose
+    sentences of one position ask their terms together. Rows without a pair_id stay alone and find nothing.
+    """
+    own = F.col("summary").eqNullSafe(F.col("source"))
+    text = F.struct("doc_key", own.alias("own"), "source", F.when(~own, F.col("summary")).alias("summary"))
+    x = pairs.groupBy("pair_id", F.when(F.col("pair_id").isNull(), F.xxhash64("source", "summary")).alias("_lone")).agg(F.collect_list(text).alias("_x"))
+    split = lambda r: F.struct(r["doc_key"].alias("doc_key"), r["own"].alias("own"), X.sentences(r["source"]).alias("s"), F.when(~r["own"], X.sentences(r["summary"])).alias("c"))
+    cut = lambda r: F.struct(r["doc_key"].alias("doc_key"), r["own"].alias("own"), r["s"].alias("s"), r["c"].alias("c"), F.transform(r["s"], X.tokens).alias("t"), F.transform(r["c"], X.tokens).alias("u"))
+    x = x.select("pair_id", F.transform(F.transform("_x", split), cut).alias("_x"))
+    known = lambda r: X.openers(F.when(r["own"], r["s"]).otherwise(r["c"]), F.flatten(r["t"]))
+    texts = F.transform("_x", lambda r: F.struct(r["doc_key"].alias("doc_key"), r["s"].alias("s"), r["c"].alias("c"), known(r).alias("known")))
+    toks = F.transform("_x", lambda r: F.struct(F.col("pair_id").isNotNull().alias("paired"), r["doc_key"].isNotNull().alias("keyed"), r["own"].alias("own"), r["t"].alias("t"), r["u"].alias("u")))
+    dtypes = dict(pairs.dtypes)
+    x = x.select("pair_id", texts.alias("_x"), toks.alias("_t")).mapInArrow(
+        _claim_evidence_batches, f"pair_id {dtypes['pair_id']}, _x array<struct<doc_key:{dtypes['doc_key']},s:array<string>,c:array<string>,known:array<array<string>>>>, _ev {CLAIM_TYPE}")
+
+    def claim(e):
+        r = F.get("_x", e["row"])
+        sentences = F.filter(F.transform(e["top"], lambda i: F.get(r["s"], i)), lambda z: z.isNotNull())
+        return F.struct(
+            e["cidx"].alias("cidx"), r["doc_key"].alias("doc_key"), F.get(F.coalesce(r["c"], r["s"]), e["cidx"]).alias("claim"), F.get(r["known"], e["cidx"]).alias("known"),
+            *[e[c].alias(c) for c in ("n_src", "coverage", "strength", "ambiguity", "best", "top")], F.when(r["doc_key"].isNotNull(), sentences).otherwise(F.array().cast("array<string>")).alias("evidence"))
+
+    return x.select("pair_id", F.inline(F.transform("_ev", claim)))
 
 
 def evidence_features(ev: DataFrame) -> DataFrame:
@@ -351,25 +494,29 @@ def evidence_features(ev: DataFrame) -> DataFrame:
 def conflict_features(pairs: DataFrame, ev: DataFrame) -> DataFrame:
     """Entity-value pairs found together in, or contradicted by, the top evidence sentences.
 
-    The at most three evidence sentences of a summary sentence are collected into its row; the
-    entity-value pairs are then tested inside the row.
+    A summary sentence's row holds its at most three evidence sentences, so its entity-value pairs are tested inside the row. A value
+    has a digit: a sentence without one states none and contradicts none. Rows of one pair_id with the same spans are tested together.
     """
-    c = ev.select("pair_id", "cidx", "doc_key", "top", X.summary_entity_spans(F.col("claim"), F.col("known")).alias("es"), X.value_spans(F.col("claim")).alias("vs"))
+    digit = lambda x: x.rlike(r"(?U)\d")
+    c = ev.filter(digit(F.col("claim")) & (F.size("evidence") > 0)).select(
+        "pair_id", "cidx", X.summary_entity_spans(F.col("claim"), F.col("known")).alias("es"), X.value_spans(F.col("claim")).alias("vs"), "evidence")
     c = c.filter((F.size("es") > 0) & (F.size("vs") > 0))
-    sents = sentence_table(sources(pairs)).select("doc_key", "sidx", F.lower("sentence").alias("low"), X.entity_spans(F.col("sentence")).alias("ents"), X.value_spans(F.col("sentence")).alias("vals"))
-    x = c.withColumn("sidx", F.explode("top")).join(sents, ["doc_key", "sidx"])
-    g = x.groupBy("pair_id", "cidx", "es", "vs").agg(F.collect_list(F.struct("low", "ents", "vals")).alias("evd"))
-
-    def holds(e):
-        return F.filter("evd", lambda d: F.contains(d["low"], e) | F.array_contains(d["ents"], e))
-
-    def count(test):
-        per = F.transform("es", lambda e: F.size(F.filter("vs", lambda v: test(holds(e), v))))
-        return F.aggregate(per, F.lit(0), lambda a, n: a + n)
-
-    together = lambda ds, v: F.exists(ds, lambda d: F.array_contains(d["vals"], v))
-    other = lambda ds, v: F.exists(ds, lambda d: F.size(F.array_except(d["vals"], F.array(v))) > 0)
-    t = g.select("pair_id", (F.size("es") * F.size("vs")).alias("n"), count(together).alias("same"), count(lambda ds, v: ~together(ds, v) & other(ds, v)).alias("conf"))
+    spans = F.transform(F.filter("evidence", digit), lambda d: F.struct(F.lower(d).alias("low"), X.entity_spans(d).alias("ents"), X.value_spans(d).alias("vals")))
+
+    def tests(evd):
+        def one(e, v):
+            holds = F.filter(evd, lambda d: F.contains(d["low"], e) | F.array_contains(d["ents"], e))
+            return F.struct(F.exists(holds, lambda d: F.array_contains(d["vals"], v)).alias("same"), F.exists(holds, lambda d: F.size(F.array_except(d["vals"], F.array(v))) > 0).alias("other"))
+
+        return F.flatten(F.transform("es", lambda e: F.transform("vs", lambda v: one(e, v))))
+
+    # the spans are bound by an outer one-element transform, so that they are looked up once a row
+    g = c.select("pair_id", "cidx", "es", "vs", F.get(F.transform(F.array(spans), tests), F.lit(0)).alias("tests"))
+    g = g.groupBy("pair_id", "cidx", "es", "vs").agg(F.collect_list("tests").alias("tests"))
+    at = F.sequence(F.lit(0), F.size("es") * F.size("vs") - 1)
+    any_of = lambda i, name: F.exists("tests", lambda t: F.get(t, i)[name])
+    count = lambda test: F.size(F.filter(at, test))
+    t = g.select("pair_id", (F.size("es") * F.size("vs")).alias("n"), count(lambda i: any_of(i, "same")).alias("same"), count(lambda i: ~any_of(i, "same") & any_of(i, "other")).alias("conf"))
     t = t.groupBy("pair_id").agg(F.sum("n").alias("n"), F.sum("same").alias("same"), F.sum("conf").alias("conf"))
     return pairs.select("pair_id").join(t, "pair_id", "left").select(
         "pair_id", F.coalesce(F.col("same") / F.col("n"), F.lit(1.0)).alias("entity_value_colocation"), F.coalesce(F.col("conf") / F.col("n"), F.lit(0.0)).alias("conflicting_value_rate"))

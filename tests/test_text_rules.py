@@ -120,3 +120,38 @@ def test_own_terms_of_documents_move_no_postings(spark):
     key = lambda df: sorted((r.doc_id, r.sidx, round(r.score, 9)) for r in df.collect())
     assert key(got) == key(want) and len(key(got)) == 5
     assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_evidence_of_claims_moves_no_postings(spark):
+    """Scores, weights and best positions as a join of claims and postings by term has them; texts move once, nothing is joined."""
+    a, b = "Alpha beta 3 km. Beta beta delta! The one. Gamma alpha beta.", "Beta wins. Alpha lost 4 km. Zeta beta alpha."
+    rows = [("p", "ka", a, a), ("q", "ka", a, "Beta delta alpha 4 km. Unheard words."), ("r", "ka", a, "beta gamma"), ("r", "kb", b, "alpha zeta. beta"),
+            ("s", "kb", b, b), ("s", "kb", b, b), ("t", "kc", "...", ""), ("u", None, None, "Alpha 3 km."), (None, "kb", b, "Beta wins.")]
+    p = spark.createDataFrame(rows, "pair_id string, doc_key string, source string, summary string")
+    ids = ["pair_id", "cidx"]
+    claims = p.select("pair_id", "doc_key", F.size(X.sentences(F.col("source"))).alias("n"), F.posexplode(X.sentences(F.col("summary"))).alias("cidx", "claim"))
+    q = claims.select(*ids, "doc_key", "n", F.explode(FT._content(X.tokens(F.col("claim")))).alias("term")).withColumn("qf", F.lit(1))
+    post = FT.postings(FT.sentence_table(FT.sources(p)))
+    df = post.select("doc_key", "term", "df").distinct()
+    weigh = q.join(df, ["doc_key", "term"], "left").groupBy(*ids).agg(F.sum(FT.idf(F.col("n"), F.coalesce("df", F.lit(0)))).alias("w"))
+    top = FT.top_three(FT.bm25(q, post, ids), ids)
+    want = {(r.pair_id, r.cidx): (r.s1 / r.w, r.i1, r.top) for r in weigh.join(top, ids).collect() if r.pair_id}
+    ev = FT.evidence_table(p)
+    got = {(r.pair_id, r.cidx): (r.strength, r.best, r.top[:len(want.get((r.pair_id, r.cidx), ((), (), ()))[2])]) for r in ev.collect() if r.strength > 0}
+    assert got == {k: (pytest.approx(s), i, t) for k, (s, i, t) in want.items()} and len(got) == 10
+    assert ev.count() == claims.count() and ev.filter("pair_id is null").first().top == [0, 1, 2]
+    plan = FT.evidence_table(p)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") == 1
+    rate = {r.pair_id: (r.entity_value_colocation, r.conflicting_value_rate) for r in FT.conflict_features(p, ev).filter("pair_id in ('p', 'q', 'u')").collect()}
+    assert rate == {"p": (1.0, 0.0), "q": (0.0, 1.0), "u": (1.0, 0.0)}
+
+
+def test_claims_are_scored_alike_in_grids_of_any_size(spark, monkeypatch):
+    text = " ".join(f"W{i % 7} x{i % 3} y{i % 5} z." for i in range(40))
+    p = spark.createDataFrame([(str(i), str(i), text[i:], text[i:]) for i in range(5)], "pair_id string, doc_key string, source string, summary string")
+    cut = lambda c, f: F.transform(X.sentences(F.col(c)), f)
+    row = F.struct(F.lit(True).alias("paired"), F.lit(True).alias("keyed"), F.lit(True).alias("own"), cut("source", X.tokens).alias("t"), F.lit(None).cast("array<array<string>>").alias("u"))
+    rows = p.select(F.array(row).alias("x")).coalesce(1).toArrow().column(0).combine_chunks()
+    whole = FT.claim_evidence(rows)
+    monkeypatch.setattr(FT, "GRID", 1)
+    assert FT.claim_evidence(rows).equals(whole) and len(whole.flatten()) > 150
