@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import SparkContext
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressionModel, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -126,15 +127,27 @@ def apply_multinomial(df: DataFrame, model, label: str = "oracle_action", abstai
     return x.withColumn("cand", who).withColumn("conf", top - probs.get(abstain, F.lit(0.0))).drop("_y", "_x", "_xs", "_prob", "_raw", "_pred")
 
 
+def _forest_of(model: RandomForestRegressionModel, lo: int, hi: int) -> RandomForestRegressionModel:
+    """The trees from ``lo`` to before ``hi`` as a forest of their own."""
+    gateway, java = SparkContext._active_spark_context._gateway, model._java_obj
+    trees, own = java.trees(), gateway.new_array(gateway.jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, hi - lo)
+    for i in range(lo, hi):
+        own[i - lo] = trees[i]
+    made = gateway.jvm.org.apache.spark.ml.regression.RandomForestRegressionModel(f"{model.uid}_{lo}_{hi}", own, java.numFeatures())
+    return RandomForestRegressionModel(made)._set(featuresCol="features", numTrees=hi - lo)
+
+
 def forest_prefixes(df: DataFrame, model, features: Sequence[str], sizes: Sequence[int], out: str) -> DataFrame:
-    """Mean prediction of the first k trees for every k: one pass, no refit."""
-    x = assemble(df, features)
-    trees = model.trees[: max(sizes)]
-    for i, t in enumerate(trees):
-        x = t.setPredictionCol(f"_t{i}").transform(x)
+    """Mean prediction of the first k trees for every k: one pass over all trees, no refit.
+
+    The trees between two sizes are one forest, so a row has one column a size however many trees there are.
+    """
+    x, sizes = assemble(df, features), sorted(sizes)
+    if sizes[-1] > model.getNumTrees:
+        raise ValueError(f"{sizes[-1]} of {model.getNumTrees} trees")
     made, run = {}, F.lit(0.0)
-    for i in range(len(trees)):
-        run = run + F.col(f"_t{i}")
-        if i + 1 in sizes:
-            made[f"{out}_{i + 1}"] = clip(run / (i + 1), 0.0, 1.0)
-    return x.withColumns(made).drop("features", *[f"_t{i}" for i in range(len(trees))])
+    for lo, hi in zip([0, *sizes], sizes):
+        x = _forest_of(model, lo, hi).setPredictionCol(f"_t{hi}").transform(x)
+        run = run + F.col(f"_t{hi}") * (hi - lo)
+        made[f"{out}_{hi}"] = clip(run / hi, 0.0, 1.0)
+    return x.withColumns(made).drop("features", *[f"_t{k}" for k in sizes])

@@ -38,3 +38,25 @@ def test_forests_keep_the_nodes_of_their_rows(spark):
     kept, plain = est.fit(x), est.copy({est.cacheNodeIds: False}).fit(x)
     tree = lambda m: [t.toDebugString.split("\n", 1)[1] for t in m.trees]
     assert tree(kept) == tree(plain)
+
+
+def test_prefixes_are_means_of_the_first_trees_up_to_the_whole_forest(spark):
+    x = spark.range(300).select(F.rand(1).alias("a"), F.rand(2).alias("b"), F.rand(3).alias("y"), F.lit(True).alias("available__v"))
+    x = x.withColumn("y", F.col("y") * F.col("a")).coalesce(1).persist()
+    model = H.fit_heads(x, ["v"], ("a", "b"), [F.col("y")], numTrees=30, maxDepth=4)["v"]
+    got = H.forest_prefixes(x, model, ("a", "b"), (25, 1, 7, 30), "h")
+    assert got.columns == [*x.columns, "h_1", "h_7", "h_25", "h_30"]
+    each = H.assemble(x, ("a", "b"))
+    for i, t in enumerate(model.trees):
+        each = t.setPredictionCol(f"t{i}").transform(each)
+    rows = lambda df: {(r.a, r.b): r for r in df.collect()}
+    trees, whole = rows(each), rows(model.transform(H.assemble(x, ("a", "b"))))
+    for key, r in rows(got).items():
+        for k in (1, 7, 25, 30):
+            assert abs(r[f"h_{k}"] - sum(trees[key][f"t{i}"] for i in range(k)) / k) < 1e-12
+        assert abs(r.h_30 - whole[key].head__v) < 1e-12
+
+
+def test_the_curve_of_first_trees_ends_at_the_frozen_forest(spark):
+    got = {r.system for r in Q.forest_prefix_curve(spark, "/root/testdata/sf0.001").collect()}
+    assert got == {f"trees_{k:02d}" for k in (1, 2, 5, 10, 20, 25, 50, 100, 200)}
