@@ -1,9 +1,12 @@
 """Rows of fits: few partitions whatever the input has, and short plans for what several fits read."""
 
+import os
+
 from pyspark.sql import functions as F
 
 from routelens.operators import heads as H
 from routelens.plans import model_queries as Q
+from routelens.sources.files import dropped, settled
 
 
 def test_a_fit_has_few_tasks_a_job(spark):
@@ -60,3 +63,29 @@ def test_prefixes_are_means_of_the_first_trees_up_to_the_whole_forest(spark):
 def test_the_curve_of_first_trees_ends_at_the_frozen_forest(spark):
     got = {r.system for r in Q.forest_prefix_curve(spark, "/root/testdata/sf0.001").collect()}
     assert got == {f"trees_{k:02d}" for k in (1, 2, 5, 10, 20, 25, 50, 100, 200)}
+
+
+def test_the_search_tries_the_candidates_of_the_reference(spark, monkeypatch):
+    all_of_them = Q.candidates()
+    assert len(all_of_them) == 16 and {c["numTrees"] for c in all_of_them} == {200, 400, 800} and max(c["maxDepth"] for c in all_of_them) == 24
+    assert all_of_them[0] == {"numTrees": 800, "minInstancesPerNode": 5, "featureSubsetStrategy": "log2", "maxDepth": 10}
+    assert {"numTrees": H.FOREST.num_trees, "minInstancesPerNode": H.FOREST.min_leaf, "featureSubsetStrategy": "0.5", "maxDepth": H.FOREST.max_depth} in all_of_them
+    few = [{"numTrees": n, "minInstancesPerNode": leaf, "featureSubsetStrategy": "sqrt", "maxDepth": 2} for n, leaf in ((1, 5), (2, 1), (3, 20))]
+    monkeypatch.setattr(Q, "candidates", lambda: few)
+    got = sorted(Q.hyper_parameter_search(spark, "/root/testdata/sf0.001").collect())
+    assert [(r.trees, r.min_leaf, r.feature_share) for r in sorted(got, key=lambda r: r.candidate)] == [(1, 5, "sqrt"), (2, 1, "sqrt"), (3, 20, "sqrt")]
+    best = min(got, key=lambda r: r.loss)
+    assert [r for r in got if r.selected] == [best]
+    assert {r.auroc_forgone for r in got} == {round(max(r.auroc for r in got) - best.auroc, 6)}
+
+
+def test_rank_agreement():
+    assert Q.rank_agreement([1.0, 2.0, 2.0, 5.0], [3.0, 4.0, 4.0, 9.0]) == 1.0
+    assert abs(Q.rank_agreement([1.0, 2.0, 3.0, None], [9.0, 9.0, 1.0, 2.0]) + 0.75 ** 0.5) < 1e-12
+    assert Q.rank_agreement([1.0, 2.0], [5.0, 5.0]) is None and Q.rank_agreement([], []) is None
+
+
+def test_used_up_tables_are_deleted(spark):
+    t = settled(spark.range(3), "gone")
+    dropped(t)
+    assert not os.path.exists(t._settled_at)
