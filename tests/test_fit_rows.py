@@ -4,7 +4,9 @@ import os
 
 from pyspark.sql import functions as F
 
+from routelens.config import RouterConfig
 from routelens.operators import heads as H
+from routelens.operators import splits as S
 from routelens.plans import model_queries as Q
 from routelens.sources.files import dropped, settled
 
@@ -85,6 +87,24 @@ def test_rank_agreement():
     assert Q.rank_agreement([1.0, 2.0], [5.0, 5.0]) is None and Q.rank_agreement([], []) is None
 
 
+def test_few_shots_of_every_corpus_by_count_and_by_share(spark, monkeypatch):
+    assert S.shot_counts(5, (0, 2, 9), (0.0, 0.5, 1.0)) == [("count", None, 0), ("count", None, 2), ("count", None, 5), ("fraction", 0.0, 0), ("fraction", 0.5, 2), ("fraction", 1.0, 5)]
+    assert len(S.shot_counts(10_000, Q.SHOTS, Q.SHARES)) == 24
+    monkeypatch.setattr(H, "FOREST", RouterConfig(num_trees=2, max_depth=3))
+    monkeypatch.setattr(Q, "SHOTS", (0, 2))
+    monkeypatch.setattr(Q, "SHARES", (0.0, 1.0))
+    d = Q.featured(spark, "/root/testdata/sf0.001")
+    pool = {r[0]: r[1] for r in d.filter("side = 'fit'").groupBy("dataset_key").count().collect()}
+    test = {r[0]: r[1] for r in d.filter("side = 'test'").groupBy("dataset_key").count().collect()}
+    got = Q.few_shot_curve(spark, "/root/testdata/sf0.001").collect()
+    want = {(c, curve, k) for c in test for curve, ks in (("count", (0, 2, pool.get(c, 0))), ("fraction", (0, pool.get(c, 0)))) for k in ks if k <= pool.get(c, 0)}
+    assert {(r.system, r.curve, r.k) for r in got} == want and {r[0] for r in want} == {"de", "en", "es", "fr"}
+    assert all(r.n_rows == test[r.system] and r.pool_rows == pool.get(r.system, 0) for r in got)
+    same = {}
+    for r in got:
+        assert same.setdefault((r.system, r.k), r.auroc) == r.auroc
+
+
 def test_used_up_tables_are_deleted(spark):
     t = settled(spark.range(3), "gone")
     dropped(t)
