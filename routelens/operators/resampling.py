@@ -10,20 +10,25 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator, Sequence
-from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from routelens.functions.hashing import SEPARATOR, uniform
 from routelens.operators.ordered import dense_index, quantiles, with_grid
 
+try:
+    from _sha2 import sha256  # the same digests with less to set up for each of very many short messages
+except ImportError:
+    from hashlib import sha256
+
 # cells of a system's score range; the vectors of one cell meet in one task
 DRAW_CELLS = 256
 # group numbers whose vectors are put together at a time, slots hashed at a time, vectors unpacked at a time
-BLOCK, SLOTS, VECTORS = 1024, 512, 256
+BLOCK, SLOTS, VECTORS = 1024, 1024, 256
 
 
 def pack(counts: np.ndarray) -> bytes:
@@ -54,18 +59,20 @@ def _picks(draws: int, seed: int, tag: str):
             for st in dict.fromkeys(strata):
                 own = np.flatnonzero(strata == st)
                 for at in (own[i:i + SLOTS] for i in range(0, len(own), SLOTS)):
-                    tails = [f"{st}{SEPARATOR}{i}".encode() for i in idx[at]]
-                    words = b"".join([sha256(h + t).digest()[:4] for t in tails for h in heads])
-                    u = np.frombuffer(words, ">u4").reshape(len(at), draws) / 4294967296.0
-                    pick = np.floor(u * n[at][:, None]).astype("int64")
+                    pick = np.empty((len(at), draws), "int64")
+                    for row, i, groups in zip(pick, idx[at], n[at]):
+                        tail = f"{st}{SEPARATOR}{i}".encode()
+                        words = np.frombuffer(b"".join([sha256(h + tail).digest() for h in heads]), ">u4")[::8]
+                        row[:] = np.floor(words / 4294967296.0 * groups)
                     place = np.sort((pick * draws + np.arange(draws)).ravel())
                     block = place // (BLOCK * draws)
                     cuts = np.flatnonzero(np.diff(block, prepend=-1))
-                    out = []
-                    for b, own_places in zip(block[cuts], np.split(place, cuts[1:])):
-                        step = np.diff(own_places, prepend=b * BLOCK * draws)
-                        width = 2 if step.max() < 1 << 16 else 4
-                        out.append(bytes([width]) + step.astype(f"<u{width}").tobytes())
+                    step = np.diff(place, prepend=0)
+                    step[cuts] = place[cuts] - block[cuts] * (BLOCK * draws)
+                    widths = np.where(np.maximum.reduceat(step, cuts) < 1 << 16, 2, 4).tolist()
+                    steps = {w: step.astype(f"<u{w}").tobytes() for w in set(widths)}
+                    ends = [*cuts[1:].tolist(), len(step)]
+                    out = [bytes([w]) + steps[w][w * lo:w * hi] for w, lo, hi in zip(widths, cuts.tolist(), ends)]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([st] * len(cuts), pa.string()), pa.array(block[cuts], pa.int64()), pa.array(out, pa.binary())], ["_st", "_block", "picks"])
 
@@ -76,9 +83,16 @@ def _vectors(draws: int):
     """The vectors of one block of group numbers; numbers that no draw takes have none."""
 
     def run(table: pa.Table) -> pa.Table:
-        m = np.zeros(BLOCK * draws, "int64")
+        # pieces are counted once there are as many places as counts: the more groups, the smaller is a piece
+        m, held, places = np.zeros(BLOCK * draws, "int64"), [], 0
         for picks in table.column("picks").to_pylist():
-            m += np.bincount(np.cumsum(np.frombuffer(picks[1:], f"<u{picks[0]}"), dtype="int64"), minlength=len(m))
+            held.append(np.cumsum(np.frombuffer(picks, f"<u{picks[0]}", offset=1), dtype="int64"))
+            places += len(held[-1])
+            if places >= len(m):
+                m += np.bincount(np.concatenate(held), minlength=len(m))
+                held, places = [], 0
+        if held:
+            m += np.bincount(np.concatenate(held), minlength=len(m))
         m = m.reshape(BLOCK, draws)
         taken = np.flatnonzero(m.any(axis=1))
         st, block = table.column("_st")[0].as_py(), table.column("_block")[0].as_py()
@@ -103,13 +117,18 @@ def _collapsed(keys: Sequence[str], on: str | None, place: dict):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            t = batch.to_pandas()
             if on is not None:
-                t = t[t[on].isin(place.keys())].reset_index(drop=True)
-                t["m"] = [pack(unpack(m)[place[v]]) for v, m in zip(t[on], t["m"])]
+                batch = batch.filter(pc.is_in(batch.column(on), value_set=pa.array([*place], batch.schema.field(on).type)))
+                few, last, counts = [], None, None
+                for v, m in zip(batch.column(on).to_pylist(), batch.column("m").to_pylist()):
+                    if m != last:  # rows of a group come one after another
+                        last, counts = m, unpack(m)
+                    few.append(pack(counts[place[v]]))
+                batch = batch.set_column(batch.schema.get_field_index("m"), batch.schema.field("m"), pa.array(few, pa.binary()))
+            t = batch.to_pandas()
             code = t.groupby([*keys, "_cell", "score"], dropna=False, sort=False).ngroup().to_numpy()
             many = np.flatnonzero(np.bincount(code) > 2) if len(t) else []
-            keep = t[~np.isin(code, many)]
+            yield batch.filter(pa.array(~np.isin(code, many)))
             more = []
             for c in many:
                 tied = t[code == c]
@@ -117,7 +136,8 @@ def _collapsed(keys: Sequence[str], on: str | None, place: dict):
                     total = sum(unpack(m).astype("int64") * w for m, w in zip(tied["m"], tied[side]) if w)
                     if not np.isscalar(total):
                         more.append({**tied.iloc[0].to_dict(), "pos": 0, "neg": 0, side: 1, "m": pack(total)})
-            yield pa.RecordBatch.from_pylist(keep.to_dict("records") + more, batch.schema)
+            if more:
+                yield pa.RecordBatch.from_pylist(more, batch.schema)
 
     return run
 

@@ -4,6 +4,7 @@ import random
 from hashlib import sha256
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -69,3 +70,23 @@ def test_areas_and_totals_of_every_draw(spark, batch):
             assert areas[s, d] == pytest.approx(_auroc(own, m, d))
             assert sums[s, d] == sum(y * m[g][d] for g, _, y in own if g in m)
             assert kept[s, d] == pytest.approx(_auroc([x for x in own if (x[1] > 0) == half[d]], m, d))
+
+
+def test_places_of_many_pieces_are_counted_at_once(spark, monkeypatch):
+    """A block's pieces grow with the number of groups, each of them fewer places: counting piece by piece grows with the square."""
+    rows = pa.RecordBatch.from_arrays([pa.array(["ALL"] * 300), pa.array(range(300), pa.int64()), pa.array([300] * 300, pa.int64())], ["_st", "idx", "n"])
+    whole = pa.Table.from_batches(B._picks(DRAWS, 3, "boot")([rows]))
+    monkeypatch.setattr(B, "SLOTS", 3)
+    pieces = pa.Table.from_batches(B._picks(DRAWS, 3, "boot")([rows]))
+    assert (len(whole), len(pieces)) == (1, 100)
+    want = [np.zeros(300, int) for _ in range(DRAWS)]
+    for d in range(DRAWS):
+        for i in range(300):
+            want[d][int(_u("boot", 3, d, "ALL", i) * 300)] += 1
+    calls, count = [], np.bincount
+    monkeypatch.setattr(np, "bincount", lambda *a, **k: calls.append(len(a[0])) or count(*a, **k))
+    for table in (whole, pieces):
+        got = B._vectors(DRAWS)(table)
+        vectors = {i: B.unpack(m).tolist() for i, m in zip(got.column("idx").to_pylist(), got.column("m").to_pylist())}
+        assert vectors == {i: [int(w[i]) for w in want] for i in range(300) if any(w[i] for w in want)}
+    assert calls == [300 * DRAWS] * 2
